@@ -12,6 +12,11 @@ WORD_START = r"(?<![\p{L}\p{N}_])"
 WORD_END = r"(?![\p{L}\p{N}_])"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def any_of(c: Column, needles) -> Column:
     """True when the text contains one of the literal needles."""
     test = F.lit(False)
@@ -53,18 +58,19 @@ def stem(c: Column, suffixes=None, prefixes=None) -> Column:
     """Strip the first matching suffix, then the first matching prefix, keeping three characters or more."""
     suffixes = suffixes or lexicon.STEM_SUFFIXES
     prefixes = prefixes or lexicon.STEM_PREFIXES
-    base = F.trim(F.lower(c))
-    cut = F
-    for s in suffixes:
-        cut = cut.when(
-            base.endswith(s) & (F.length(base) > len(s) + 2),
-            F.substring(base, F.lit(1), F.length(base) - len(s)),
-        )
-    tailless = cut.otherwise(base)
-    cut = F
-    for p in prefixes:
-        cut = cut.when(
-            tailless.startswith(p) & (F.length(tailless) > len(p) + 2),
-            F.substring(tailless, F.lit(len(p) + 1), F.length(tailless)),
-        )
-    return cut.otherwise(tailless)
+
+    def cut_tail(base: Column) -> Column:
+        cut = F
+        for s in suffixes:
+            fits = base.endswith(s) & (F.length(base) > len(s) + 2)
+            cut = cut.when(fits, F.substring(base, F.lit(1), F.length(base) - len(s)))
+        return cut.otherwise(base)
+
+    def cut_head(base: Column) -> Column:
+        cut = F
+        for p in prefixes:
+            fits = base.startswith(p) & (F.length(base) > len(p) + 2)
+            cut = cut.when(fits, F.substring(base, F.lit(len(p) + 1), F.length(base)))
+        return cut.otherwise(base)
+
+    return let(let(F.trim(F.lower(c)), cut_tail), cut_head)

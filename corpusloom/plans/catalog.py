@@ -1,4 +1,4 @@
 """Imports every module with registered queries."""
 
-from corpusloom.plans import retrieval_queries  # noqa: F401
+from corpusloom.plans import question_queries, retrieval_queries, text_queries  # noqa: F401
 from corpusloom.plans.registry import QUERIES, SQL  # noqa: F401

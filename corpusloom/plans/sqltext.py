@@ -113,3 +113,38 @@ fused AS MATERIALIZED (SELECT question_id, collection, place, chunk_id, source,
 DOCS = "chunks AS (SELECT 'all' AS collection, doc_id AS chunk_id, text, source FROM documents)"
 DOCS_BY_LANG = "chunks AS (SELECT lang AS collection, doc_id AS chunk_id, text, source FROM documents)"
 ASKED = "questions AS (SELECT item_id AS question_id, text FROM benchmark)"
+
+
+def stem(c: str, suffixes, prefixes) -> str:
+    base = f"trim(lower({c}))"
+    tailless = "CASE " + " ".join(
+        f"WHEN ends_with({base}, '{x}') AND len({base}) > {len(x) + 2} THEN left({base}, len({base}) - {len(x)})"
+        for x in suffixes
+    ) + f" ELSE {base} END"
+    return "CASE " + " ".join(
+        f"WHEN starts_with(({tailless}), '{p}') AND len({tailless}) > {len(p) + 2} THEN substr(({tailless}), {len(p) + 1})"
+        for p in prefixes
+    ) + f" ELSE {tailless} END"
+
+
+PART_QUESTIONS = """questions AS (SELECT p_partkey AS question_id, CASE p_size % 10
+  WHEN 0 THEN 'Berapa harga ' || p_name || '?'
+  WHEN 1 THEN 'Jelaskan tentang ' || p_name || ' dari file catalog_' || p_brand
+  WHEN 2 THEN 'Bandingkan ' || p_name || ' lebih murah mana vs ' || p_type
+  WHEN 3 THEN 'Siapa yang handle ' || p_name || ' di departemen IT atau Finance Manager'
+  WHEN 4 THEN 'Hitung total order dan jumlah stok ' || p_name
+  WHEN 5 THEN 'Apa itu proses auction dan settlement ' || p_name
+  WHEN 6 THEN 'Average price of product ' || p_name || ' by Project Manager and QA lead'
+  WHEN 7 THEN 'Tampilkan data karyawan Engineer ' || p_name || ' Rp 500.000 dan 5 juta sejak 12/03/2024 nomor ' || p_size
+  WHEN 8 THEN 'Explain the conversation about ' || p_name || ' in notes_' || p_size || '.txt email kontak'
+  ELSE split_part(p_name, ' ', 2) || ' ' || p_size END AS text FROM part)"""
+
+SP = r"[\s\x0b\x1c-\x1f\x{0085}\p{Z}]"
+
+
+def strip(c: str) -> str:
+    return f"regexp_replace({c}, '^{SP}+|{SP}+$', '', 'g')"
+
+
+def split_words(c: str) -> str:
+    return f"list_filter(regexp_split_to_array({c}, '{SP}+'), lambda w: w <> '')"
