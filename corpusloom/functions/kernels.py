@@ -94,28 +94,31 @@ def bucket_vectors(buckets, dim):
     return pd.Series(out)
 
 
-def lcs_lengths(left, right):
-    """Length of the longest common subsequence of two token lists, per row."""
+def token_overlap(left, right):
+    """Per row of two token lists: longest common subsequence and clipped token matches."""
     import numpy as np
     import pandas as pd
 
-    out = []
+    lcs, clipped = [], []
     for a, b in zip(left, right):
         if a is None or b is None or len(a) == 0 or len(b) == 0:
-            out.append(0)
+            lcs.append(0)
+            clipped.append(0)
             continue
         codes = {}
-        x = [codes.setdefault(t, len(codes)) for t in a]
+        x = np.array([codes.setdefault(t, len(codes)) for t in a])
         y = np.array([codes.setdefault(t, len(codes)) for t in b])
+        size = len(codes)
+        clipped.append(int(np.minimum(np.bincount(x, minlength=size), np.bincount(y, minlength=size)).sum()))
         if len(x) > len(y):
-            x, y = list(y), np.array(x)
-        prev = np.zeros(len(y) + 1, dtype=np.int32)
+            x, y = y, x
+        best = np.zeros(len(y) + 1, dtype=np.int32)
         for token in x:
-            # a row of the table is the running maximum of "diagonal + match" and the row above
-            cand = np.where(y == token, prev[:-1] + 1, prev[1:])
-            prev[1:] = np.maximum.accumulate(np.maximum(cand, prev[1:]))
-        out.append(int(prev[-1]))
-    return pd.Series(out, dtype="int32")
+            # next row of the table: a match extends the diagonal, then the row never falls
+            diagonal = np.where(y == token, best[:-1] + 1, best[1:])
+            best[1:] = np.maximum.accumulate(diagonal)
+        lcs.append(int(best[-1]))
+    return pd.DataFrame({"lcs": np.array(lcs, np.int32), "clipped": np.array(clipped, np.int32)})
 
 
 def split_texts(texts, size, overlap, separators):

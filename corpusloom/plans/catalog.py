@@ -1,4 +1,9 @@
 """Imports every module with registered queries."""
 
-from corpusloom.plans import question_queries, retrieval_queries, text_queries  # noqa: F401
+from corpusloom.plans import (  # noqa: F401
+    metric_queries,
+    question_queries,
+    retrieval_queries,
+    text_queries,
+)
 from corpusloom.plans.registry import QUERIES, SQL  # noqa: F401
