@@ -1,6 +1,7 @@
 """Imports every module with registered queries."""
 
 from corpusloom.plans import (  # noqa: F401
+    chat_queries,
     metric_queries,
     question_queries,
     retrieval_queries,
