@@ -227,14 +227,15 @@ def search_all_words(questions: DataFrame, tables: list[Searchable], limit: int
     return best(reduce(DataFrame.unionByName, found), ["question_id"], order, limit)
 
 
-def like_any(rows: DataFrame, columns: list[str], terms: list[str], limit: int = 10) -> DataFrame:
-    """Rows where any column contains any of the given terms, ignoring case."""
+def like_any(rows: DataFrame, columns: list[str], terms: list[str], limit: int | None = 10) -> DataFrame:
+    """Rows where any column contains any of the given terms, ignoring case; all of them without a limit."""
     test = F.lit(False)
     for c in columns:
         low = F.lower(F.col(c).cast("string"))
         for term in terms:
             test = test | low.contains(term.lower())
-    return rows.filter(test).limit(limit)
+    found = rows.filter(test)
+    return found if limit is None else found.limit(limit)
 
 
 # tables as text -----------------------------------------------------------------------------------

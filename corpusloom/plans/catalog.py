@@ -5,6 +5,7 @@ from corpusloom.plans import (  # noqa: F401
     metric_queries,
     question_queries,
     retrieval_queries,
+    table_queries,
     text_queries,
 )
 from corpusloom.plans.registry import QUERIES, SQL  # noqa: F401
