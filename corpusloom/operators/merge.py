@@ -132,7 +132,7 @@ def value_conflicts(results: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         F.array_sort(F.collect_set("source")).alias("sources"),
         F.array_sort(F.collect_set("type")).alias("types"),
-        F.round(F.avg("confidence"), 6).alias("avg_confidence"),
+        F.round(F.avg("confidence"), 8).alias("avg_confidence"),
         F.round(F.sum("confidence"), 6).alias("total"),
         F.min(F.struct("rank", "p")).alias("first"),
     )

@@ -2,6 +2,7 @@
 
 from corpusloom.plans import (  # noqa: F401
     chat_queries,
+    merge_queries,
     metric_queries,
     question_queries,
     retrieval_queries,
