@@ -6,6 +6,8 @@ from corpusloom.plans import (  # noqa: F401
     metric_queries,
     question_queries,
     retrieval_queries,
+    search_queries,
+    source_queries,
     table_queries,
     text_queries,
 )

@@ -84,10 +84,10 @@ dist AS MATERIALIZED (SELECT q.question_id, c.collection, c.chunk_id,
     )
 
 
-def fused(k: int, pool: int, chunks: str = "chunks") -> str:
+def fused(k: int, pool: int, chunks: str = "chunks", near: int | None = None) -> str:
     """CTEs from ``bm`` and ``dist`` up to ``fused(question_id, collection, place, chunk_id, source, shown, fused)``."""
     return f"""
-dense AS ({best('dist', 'question_id, collection', 'distance, chunk_id', k, 'rank', '*, 1 / (1 + distance) AS similarity')}),
+dense AS ({best('dist', 'question_id, collection', 'distance, chunk_id', near or k, 'rank', '*, 1 / (1 + distance) AS similarity')}),
 lex AS ({best('bm', 'question_id, collection', 'score DESC, chunk_id', pool)}),
 sims AS (SELECT question_id, collection, greatest(min(similarity), 0.1) AS floor FROM dense GROUP BY ALL),
 contrib AS (SELECT question_id, collection, chunk_id, 0 AS origin, rank, 1.0 / (60 + rank)::DOUBLE AS share, similarity AS shown FROM dense
