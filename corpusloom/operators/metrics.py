@@ -73,6 +73,36 @@ def contexts(hits: DataFrame, relevant: Column) -> DataFrame:
     )
 
 
+def hit_metrics(hits: DataFrame, k: int, relevant: Column, digits: int = 6) -> DataFrame:
+    """Precision at k, reciprocal rank, source coverage and mean score of every question's hits."""
+    return hits.groupBy("question_id").agg(
+        F.round(F.sum(relevant.cast("int")) / k, digits).alias("precision_at_k"),
+        F.round(F.coalesce(1.0 / F.min(F.when(relevant, F.col("rank"))), F.lit(0.0)), digits).alias("mrr"),
+        F.round(F.size(F.collect_set("source")) / F.count(F.lit(1)), digits).alias("context_coverage"),
+        F.round(F.avg("score"), digits).alias("avg_chunk_score"),
+    )
+
+
+def text_metrics(pairs: DataFrame, keys: list[str], digits: int = 6) -> DataFrame:
+    """Token metrics of an answer ``hyp`` against ``ref``, which stands for context, question and gold alike."""
+    rows = (
+        pairs.select(*keys, eval_tokens(F.col("hyp")).alias("a"), eval_tokens(F.col("ref")).alias("r"))
+        .withColumn("o", overlap(F.col("a"), F.col("r")))
+        .withColumn("as", F.array_distinct("a"))
+        .withColumn("rs", F.array_distinct("r"))
+        .withColumn("common", F.size(F.array_intersect("as", "rs")))
+    )
+    m, n = F.size("a"), F.size("r")
+    penalty = F.when(m >= n, F.lit(1.0)).otherwise(F.exp(1 - n / m))
+    return rows.select(
+        *keys,
+        F.round(f_measure(F.col("common"), F.size("as"), F.size("rs")), digits).alias("faithfulness"),
+        F.round(F.when(F.size("rs") > 0, F.col("common") / F.size("rs")).otherwise(0.0), digits).alias("completeness"),
+        F.round(f_measure(F.col("o.lcs"), m, n), digits).alias("rouge_l"),
+        F.round(F.when((m > 0) & (n > 0), penalty * F.col("o.clipped") / m).otherwise(0.0), digits).alias("bleu_1"),
+    )
+
+
 def score_answers(
     questions: DataFrame, hits: DataFrame, answers: DataFrame, k: int | None = None,
     relevant: Column | None = None, settings: Settings = DEFAULTS,

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpusloom import lexicon
 from corpusloom.functions import questions as qf
 from corpusloom.functions.words import stem
-from corpusloom.operators.sizing import best, fits
+from corpusloom.operators.sizing import best, cut_lineage, fits
 from corpusloom.settings import DEFAULTS
 
 PART = r"[\p{L}\p{N}_+]+"
@@ -123,7 +123,7 @@ def search_ranked(questions: DataFrame, table: Searchable, limit: int = DEFAULTS
         ).alias("term"),
     )
     bounded = fits(stems)
-    matches = prefix_matches(vocabulary(table, table.index), stems).select("question_id", "term", "word")
+    matches = cut_lineage(prefix_matches(vocabulary(table, table.index), stems).select("question_id", "term", "word"))
     hits = _by_row(
         table, row_words(text_of(table.index)), matches, [F.count_distinct("term").alias("n_hit")],
         bounded and fits(matches),
@@ -157,7 +157,7 @@ def search_parts(questions: DataFrame, table: Searchable, limit: int = DEFAULTS.
     bounded = fits(terms)
     per_column = []
     for c in table.text_columns:
-        matches = part_matches(vocabulary(table, [c]), terms).select("question_id", "term", "times", "word")
+        matches = cut_lineage(part_matches(vocabulary(table, [c]), terms).select("question_id", "term", "times", "word"))
         found = _by_row(
             table, row_words(F.col(c).cast("string")), matches,
             [F.collect_set(F.struct("term", "times")).alias("found")], bounded and fits(matches),
@@ -191,6 +191,8 @@ def search_parts(questions: DataFrame, table: Searchable, limit: int = DEFAULTS.
 def search_table(questions: DataFrame, table: Searchable, limit: int = DEFAULTS.table_hit_limit) -> DataFrame:
     """Word search first; substring search only for questions without any word hit."""
     ranked = search_ranked(questions, table, limit)
+    if table.name_column is not None:
+        ranked = cut_lineage(ranked)
     rest = questions.join(ranked.select("question_id").distinct(), "question_id", "left_anti")
     return ranked.unionByName(search_parts(rest, table, limit)).withColumn("table", F.lit(table.label))
 

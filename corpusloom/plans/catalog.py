@@ -4,6 +4,7 @@ from corpusloom.plans import (  # noqa: F401
     chat_queries,
     merge_queries,
     metric_queries,
+    plan_queries,
     question_queries,
     retrieval_queries,
     search_queries,

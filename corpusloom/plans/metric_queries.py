@@ -92,11 +92,15 @@ def first_sentences(c):
     return F.array_join(F.slice(F.split(c, r"\."), 1, 2), ".")
 
 
+NO_HITS = "question_id long, rank int, content string, source string, score double, vec array<float>"
+
+
 def _scenario_inputs(t: Tables, scenario: str):
     asked = benchmark_questions(t)
     if scenario == "none":
         answers = asked.select("question_id", F.col("text").alias("answer"), F.col("text").alias("gold"))
-        return with_hashed(_lexical_hits(t).filter(F.lit(False)).withColumnRenamed("content", "text")).withColumnRenamed("text", "content"), answers
+        nothing = t.spark.createDataFrame([], NO_HITS)
+        return nothing, answers
     hits = _lexical_hits(t) if scenario == "lexical" else _dense_hits(t)
     top = hits.filter(F.col("rank") == 1).join(
         t.labels.select(F.col("doc_id").alias("chunk_id"), "quality"), "chunk_id", "left"

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.functions import urls
 from corpusloom.functions.text import strip
-from corpusloom.operators.sizing import best
+from corpusloom.operators.sizing import best, cut_lineage
 
 ANCHOR = r'(?is)<a[^>]+href="([^"]+)"[^>]*>(.*?)</a>'
 
@@ -46,14 +44,6 @@ def folder_items(links: DataFrame, file_id: Column, folder_id: Column, noun: str
     return counted.select("page_id", "item_type", "id", name.alias("name"), "url")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder the cluster names; a temporary one only where none is named, as in tests."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loom-"))
-    return df.checkpoint()
-
-
 def below(roots: DataFrame, edges: DataFrame, max_depth: int = 5) -> DataFrame:
     """Everything reachable from each root: (root, id, item_type, name, depth), breadth first.
 
