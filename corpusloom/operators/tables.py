@@ -20,6 +20,7 @@ from corpusloom.operators.sizing import best, cut_lineage, fits
 from corpusloom.settings import DEFAULTS
 
 PART = r"[\p{L}\p{N}_+]+"
+PHRASE_SLOT = 1000
 
 
 @dataclass(frozen=True)
@@ -50,25 +51,37 @@ def _keyed(table: Searchable) -> DataFrame:
     return table.rows.select(F.col(table.key).cast("string").alias("row_id"), *table.text_columns)
 
 
-def _by_row(table: Searchable, words: Column, mapping: DataFrame, found: list[Column], bounded: bool) -> DataFrame:
-    """Join the words of every row with (word, question_id, ...) and group by row and question.
+def _spread(table: Searchable, slots: list[Column]) -> DataFrame:
+    """(row_id, slot, word): the distinct words of each slot, and known phrases of each text column.
 
-    Rows are partitioned by their key before the words are spread out, so with a
-    small mapping the grouping happens where the row is.
+    Rows are partitioned by their key before they are spread out, so that
+    whatever is grouped by row afterwards needs no further shuffle.
     """
-    spread = _keyed(table).repartition("row_id").select("row_id", F.explode(F.array_distinct(words)).alias("word"))
-    side = F.broadcast(mapping) if bounded else mapping
-    return spread.join(side, "word").groupBy("question_id", "row_id").agg(*found)
+    known = F.array(*[F.lit(f"{a} {b}") for a, b in lexicon.PHRASES])
+    parts = [F.struct(F.lit(i).alias("slot"), F.array_distinct(words).alias("words")) for i, words in enumerate(slots)]
+    for i, c in enumerate(table.text_columns):
+        low = F.lower(F.col(c).cast("string"))
+        parts.append(
+            F.struct(F.lit(PHRASE_SLOT + i).alias("slot"), F.filter(known, lambda p: low.contains(p)).alias("words"))  # noqa: B023
+        )
+    rows = _keyed(table).repartition("row_id").select("row_id", F.explode(F.array(*parts)).alias("x"))
+    return rows.select("row_id", "x.slot", F.explode("x.words").alias("word"))
 
 
-def vocabulary(table: Searchable, columns) -> DataFrame:
-    return table.rows.select(F.explode(F.array_distinct(row_words(text_of(columns)))).alias("word")).distinct()
+def vocabulary(table: Searchable, slots: list[Column]) -> DataFrame:
+    """Distinct (slot, word) of a table."""
+    parts = [F.struct(F.lit(i).alias("slot"), F.array_distinct(words).alias("words")) for i, words in enumerate(slots)]
+    rows = table.rows.select(F.explode(F.array(*parts)).alias("x"))
+    return rows.select("x.slot", F.explode("x.words").alias("word")).distinct()
 
 
 def prefix_matches(vocab: DataFrame, terms: DataFrame) -> DataFrame:
     """terms (.., term) with every word that starts with the term."""
     prefixes = vocab.select(
-        "word", F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda n: F.substring(F.col("word"), F.lit(1), n))).alias("term")
+        "*",
+        F.explode(
+            F.transform(F.sequence(F.lit(1), F.length("word")), lambda n: F.substring(F.col("word"), F.lit(1), n))
+        ).alias("term"),
     )
     return prefixes.join(terms, "term")
 
@@ -77,7 +90,7 @@ def part_matches(vocab: DataFrame, terms: DataFrame) -> DataFrame:
     """terms (.., term) with every word that contains the term."""
     size = F.length("word")
     parts = vocab.select(
-        "word",
+        "*",
         F.explode(
             F.array_distinct(
                 F.flatten(
@@ -94,13 +107,42 @@ def part_matches(vocab: DataFrame, terms: DataFrame) -> DataFrame:
     return parts.join(terms, "term")
 
 
-def phrase_hits(columns, phrases: Column) -> Column:
-    """How many (column, phrase) pairs match."""
-    total = F.lit(0)
-    for c in columns:
-        low = F.lower(F.col(c).cast("string"))
-        total = total + F.size(F.filter(phrases, lambda p: low.contains(p)))
-    return total
+def _phrase_map(questions: DataFrame, table: Searchable) -> DataFrame:
+    slots = F.array(*[F.lit(PHRASE_SLOT + i) for i in range(len(table.text_columns))])
+    return questions.select("question_id", F.explode(F.array_distinct("phrases")).alias("word")).select(
+        F.explode(slots).alias("slot"), "word", "question_id", F.lit(0).alias("pos")
+    )
+
+
+def _matched(table: Searchable, slots: list[Column], mapping: DataFrame, bounded: bool, n_terms: int) -> DataFrame:
+    """Per row and question: how many different terms each slot holds (n0, n1, ..) and its phrase hits.
+
+    Terms are numbered per question; the numbers found are gathered as bits, so
+    the grouping carries a few integers and runs in the partition of the row.
+    """
+    side = F.broadcast(mapping) if bounded and fits(mapping) else mapping
+    masks = range(-(-n_terms // 63) or 1)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("pos") % 63)
+    aggs = [
+        F.bit_or(F.when((F.col("slot") == i) & (F.floor(F.col("pos") / 63) == j), bit).otherwise(F.lit(0).cast("long"))).alias(f"m{i}_{j}")
+        for i in range(len(slots)) for j in masks
+    ]
+    grouped = _spread(table, slots).join(side, ["slot", "word"]).groupBy("question_id", "row_id").agg(
+        *aggs, F.sum((F.col("slot") >= PHRASE_SLOT).cast("int")).alias("n_phrases")
+    )
+    counts = [
+        reduce(lambda a, b: a + b, [F.bit_count(f"m{i}_{j}") for j in masks]).alias(f"n{i}") for i in range(len(slots))
+    ]
+    return grouped.select("question_id", "row_id", *counts, "n_phrases")
+
+
+def _most(questions: DataFrame, column: Column) -> int:
+    return questions.agg(F.max(F.size(column)).alias("n")).first()["n"] or 1
+
+
+def _first_rows(scored: DataFrame, limit: int) -> DataFrame:
+    order = [F.desc("score"), F.asc(F.col("row_id").cast("long"))]
+    return best(scored, ["question_id"], order, limit).drop("rank")
 
 
 def search_ranked(questions: DataFrame, table: Searchable, limit: int = DEFAULTS.table_hit_limit) -> DataFrame:
@@ -113,79 +155,42 @@ def search_ranked(questions: DataFrame, table: Searchable, limit: int = DEFAULTS
     shape = "question_id {0}, row_id string, score double".format(questions.schema["question_id"].dataType.simpleString())
     if table.name_column is None:
         return questions.sparkSession.createDataFrame([], shape)
-    stems = questions.select(
-        "question_id",
-        F.explode(
-            F.filter(
-                F.array_distinct(F.transform("terms", lambda t: stem(t, lexicon.STEM_SUFFIXES_TABLE))),
-                lambda t: F.length(t) >= 2,
-            )
-        ).alias("term"),
-    )
-    bounded = fits(stems)
-    matches = cut_lineage(prefix_matches(vocabulary(table, table.index), stems).select("question_id", "term", "word"))
-    hits = _by_row(
-        table, row_words(text_of(table.index)), matches, [F.count_distinct("term").alias("n_hit")],
-        bounded and fits(matches),
+    stems = F.filter(
+        F.array_distinct(F.transform("terms", lambda t: stem(t, lexicon.STEM_SUFFIXES_TABLE))), lambda t: F.length(t) >= 2
     )
-    asked = questions.select(
-        "question_id", "terms", "phrases",
-        F.size(
-            F.filter(
-                F.array_distinct(F.transform("terms", lambda t: stem(t, lexicon.STEM_SUFFIXES_TABLE))),
-                lambda t: F.length(t) >= 2,
-            )
-        ).alias("n_stems"),
+    asked = cut_lineage(questions.select("question_id", F.array_distinct("terms").alias("terms"), "phrases", stems.alias("stems")))
+    slots = [row_words(text_of(table.index)), row_words(F.col(table.name_column).cast("string"))]
+    vocab = vocabulary(table, slots)
+    by_stem = asked.select("question_id", F.posexplode("stems").alias("pos", "term"))
+    by_term = asked.select("question_id", F.posexplode(F.transform("terms", lambda t: F.lower(t))).alias("pos", "term"))
+    columns = ["slot", "word", "question_id", "pos"]
+    mapping = cut_lineage(
+        prefix_matches(vocab.filter(F.col("slot") == 0), by_stem).select(*columns)
+        .unionByName(part_matches(vocab.filter(F.col("slot") == 1), by_term).select(*columns))
+        .unionByName(_phrase_map(asked, table).select(*columns))
     )
-    full = hits.join(_keyed(table), "row_id").join(F.broadcast(asked) if bounded else asked, "question_id")
-    name = F.lower(F.col(table.name_column).cast("string"))
-    score = (
-        F.col("n_hit") / F.col("n_stems")
-        + 50.0 * F.size(F.filter("terms", lambda t: name.contains(F.lower(t))))
-        + 20.0 * phrase_hits(table.text_columns, F.col("phrases"))
+    n_terms = _most(asked, F.concat("terms", "stems"))
+    hits = _matched(table, slots, mapping, fits(asked), n_terms).filter(F.col("n0") > 0)
+    sizes = asked.select("question_id", F.size("stems").alias("n_stems"))
+    scored = hits.join(F.broadcast(sizes) if fits(asked) else sizes, "question_id").select(
+        "question_id", "row_id",
+        F.round(F.col("n0") / F.col("n_stems") + 50.0 * F.col("n1") + 20.0 * F.col("n_phrases"), 6).alias("score"),
     )
-    scored = full.select("question_id", "row_id", F.round(score, 6).alias("score"))
-    return best(scored, ["question_id"], [F.desc("score"), F.asc(F.col("row_id").cast("long"))], limit).drop("rank")
+    return _first_rows(scored, limit)
 
 
 def search_parts(questions: DataFrame, table: Searchable, limit: int = DEFAULTS.table_hit_limit) -> DataFrame:
-    """Substring search: one point per term and column, ten per phrase and column."""
-    terms = questions.select("question_id", F.explode(F.array_distinct("terms")).alias("term"), "terms").select(
-        "question_id", F.lower("term").alias("term"),
-        F.size(F.filter("terms", lambda t: t == F.col("term"))).alias("times"),
+    """Substring search: one point per different term and column, ten per phrase and column."""
+    asked = cut_lineage(questions.select("question_id", F.array_distinct(F.transform("terms", lambda t: F.lower(t))).alias("terms"), "phrases"))
+    slots = [row_words(F.col(c).cast("string")) for c in table.text_columns]
+    columns = ["slot", "word", "question_id", "pos"]
+    by_term = asked.select("question_id", F.posexplode("terms").alias("pos", "term"))
+    mapping = cut_lineage(
+        part_matches(vocabulary(table, slots), by_term).select(*columns).unionByName(_phrase_map(asked, table).select(*columns))
     )
-    bounded = fits(terms)
-    per_column = []
-    for c in table.text_columns:
-        matches = cut_lineage(part_matches(vocabulary(table, [c]), terms).select("question_id", "term", "times", "word"))
-        found = _by_row(
-            table, row_words(F.col(c).cast("string")), matches,
-            [F.collect_set(F.struct("term", "times")).alias("found")], bounded and fits(matches),
-        )
-        per_column.append(
-            found.select(
-                "question_id", "row_id",
-                F.aggregate("found", F.lit(0), lambda s, x: s + x["times"]).alias("points"),
-            )
-        )
-    with_phrases = questions.filter(F.size("phrases") > 0).select("question_id", F.explode(F.array_distinct("phrases")).alias("phrase"))
-    known = [f"{a} {b}" for a, b in lexicon.PHRASES]
-    low = F.array(*[F.lower(F.col(c).cast("string")) for c in table.text_columns])
-    held = _keyed(table).select(
-        "row_id",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(p).alias("phrase"), (10 * F.size(F.filter(low, lambda x: x.contains(p)))).alias("points"))  # noqa: B023
-                    for p in known
-                ]
-            )
-        ).alias("h"),
-    ).select("row_id", "h.*").filter(F.col("points") > 0)
-    per_column.append(held.join(with_phrases, "phrase").select("question_id", "row_id", "points"))
-    points = reduce(DataFrame.unionByName, per_column)
-    scored = points.groupBy("question_id", "row_id").agg(F.sum("points").cast("double").alias("score"))
-    return best(scored, ["question_id"], [F.desc("score"), F.asc(F.col("row_id").cast("long"))], limit).drop("rank")
+    hits = _matched(table, slots, mapping, fits(asked), _most(asked, F.col("terms")))
+    points = reduce(lambda a, b: a + b, [F.col(f"n{i}") for i in range(len(slots))]) + 10 * F.col("n_phrases")
+    return _first_rows(hits.select("question_id", "row_id", points.cast("double").alias("score")), limit)
 
 
 def search_table(questions: DataFrame, table: Searchable, limit: int = DEFAULTS.table_hit_limit) -> DataFrame:
@@ -201,6 +206,7 @@ def search_tables(
     questions: DataFrame, tables: list[Searchable], routes: DataFrame | None = None, limit: int = DEFAULTS.table_hit_limit
 ) -> DataFrame:
     """Search every table, or only the tables that ``routes`` (question_id, table) names for a question."""
+    questions = cut_lineage(questions)
     found = []
     for table in tables:
         asked = questions
@@ -214,13 +220,16 @@ def search_tables(
 
 def search_all_words(questions: DataFrame, tables: list[Searchable], limit: int = DEFAULTS.table_hit_limit) -> DataFrame:
     """Rows that hold all words of a question, one ranking over all tables.  questions (question_id, words)."""
-    asked = questions.select("question_id", F.explode(F.array_distinct("words")).alias("word"), F.size(F.array_distinct("words")).alias("n_words"))
-    bounded = fits(asked)
+    asked = questions.select("question_id", F.array_distinct("words").alias("terms"))
+    wanted = asked.select("question_id", F.size("terms").alias("n_words"), F.explode("terms").alias("word"))
+    bounded = fits(wanted)
     found = []
     for table in tables:
-        hits = _by_row(
-            table, row_words(text_of(table.index)), asked,
-            [F.count(F.lit(1)).alias("n"), F.max("n_words").alias("n_words")], bounded,
+        spread = _keyed(table).repartition("row_id").select(
+            "row_id", F.explode(F.array_distinct(row_words(text_of(table.index)))).alias("word")
+        )
+        hits = spread.join(F.broadcast(wanted) if bounded else wanted, "word").groupBy("question_id", "row_id").agg(
+            F.count(F.lit(1)).alias("n"), F.max("n_words").alias("n_words")
         )
         found.append(
             hits.filter(F.col("n") == F.col("n_words")).select("question_id", "row_id", F.lit(table.label).alias("table"))

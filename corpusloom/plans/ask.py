@@ -78,7 +78,7 @@ def hybrid_results(
     terms = asked.select("question_id", qf.expanded_terms(qf.search_terms(F.col("text"))).alias("terms")).withColumn(
         "phrases", qf.phrases(F.col("terms"))
     )
-    found = tb.search_tables(cut_lineage(terms), tables, None, settings.table_hit_limit)
+    found = tb.search_tables(terms, tables, None, settings.table_hit_limit)
     records = union_all(
         [
             table.rows.select(

@@ -6,6 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.operators.sizing import spread
+
+# tables of long texts, whose few files would otherwise be worked on by few cores
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -17,7 +22,8 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
 
 
 def query(name: str, sql: str | None = None):
