@@ -48,7 +48,7 @@ def row_words(c: Column) -> Column:
 
 
 def _keyed(table: Searchable) -> DataFrame:
-    return table.rows.select(F.col(table.key).cast("string").alias("row_id"), *table.text_columns)
+    return table.rows.select(F.col(table.key).alias("row_id"), *table.text_columns)
 
 
 def _spread(table: Searchable, slots: list[Column]) -> DataFrame:
@@ -141,8 +141,8 @@ def _most(questions: DataFrame, column: Column) -> int:
 
 
 def _first_rows(scored: DataFrame, limit: int) -> DataFrame:
-    order = [F.desc("score"), F.asc(F.col("row_id").cast("long"))]
-    return best(scored, ["question_id"], order, limit).drop("rank")
+    top = best(scored, ["question_id"], [F.desc("score"), F.asc("row_id")], limit).drop("rank")
+    return top.withColumn("row_id", F.col("row_id").cast("string"))
 
 
 def search_ranked(questions: DataFrame, table: Searchable, limit: int = DEFAULTS.table_hit_limit) -> DataFrame:
@@ -232,9 +232,11 @@ def search_all_words(questions: DataFrame, tables: list[Searchable], limit: int
             F.count(F.lit(1)).alias("n"), F.max("n_words").alias("n_words")
         )
         found.append(
-            hits.filter(F.col("n") == F.col("n_words")).select("question_id", "row_id", F.lit(table.label).alias("table"))
+            hits.filter(F.col("n") == F.col("n_words")).select(
+                "question_id", F.col("row_id").cast("string").alias("row_id"), F.lit(table.label).alias("table")
+            )
         )
-    order = [F.asc("table"), F.asc(F.col("row_id").cast("long"))]
+    order = [F.asc("table"), F.asc(F.length("row_id")), F.asc("row_id")]
     return best(reduce(DataFrame.unionByName, found), ["question_id"], order, limit)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.operators import lexical
+from corpusloom.operators.sizing import cut_lineage
 from corpusloom.settings import DEFAULTS, Settings
 
 TABLES = ("chunks", "postings", "terms")
@@ -20,7 +21,7 @@ def save_collections(chunks: DataFrame, folder: str, settings: Settings = DEFAUL
     frames = {
         "chunks": chunks,
         "postings": lexical.postings(tokens),
-        "terms": lexical.term_weights(lexical.term_documents(tokens), settings),
+        "terms": lexical.term_weights(cut_lineage(lexical.term_documents(tokens)), settings),
     }
     for name, df in frames.items():
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection").parquet(f"{folder}/{name}")
