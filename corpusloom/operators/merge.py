@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpusloom import lexicon
 from corpusloom.functions.text import question_keywords, snippet
 from corpusloom.functions.words import let
-from corpusloom.operators.sizing import best
+from corpusloom.operators.sizing import best, small
 from corpusloom.settings import DEFAULTS
 
 TYPES = list(lexicon.CONFIDENCE)
@@ -30,27 +30,32 @@ def type_order(kind: Column) -> Column:
 
 
 def merged(results: DataFrame, intents: DataFrame, k: int = DEFAULTS.merged_k) -> DataFrame:
-    """Confidence by type and intent, k best per question.  intents (question_id, is_aggregation, is_explanation)."""
+    """Confidence by type and intent, k best per question.  intents (question_id, is_aggregation, is_explanation).
+
+    Factor and boost are the same for all results of one type, so each type is
+    cut to its k best before the join; a question with very many results never
+    meets in one task.
+    """
     kind = F.col("type")
+    first = best(results, ["question_id", "type"], [F.desc("score"), F.asc("item")], k).drop("rank")
     boost = (
         F.when(F.col("is_aggregation"), F.when(kind.isin(*lexicon.TABLE_TYPES), lexicon.INTENT_BOOST).otherwise(1.0))
         .when(F.col("is_explanation"), F.when(kind == "pdf", lexicon.INTENT_BOOST).otherwise(1.0))
         .otherwise(1.0)
     )
-    scored = (
-        results.withColumn("base", F.col("score") * by_type(kind, lexicon.CONFIDENCE))
-        .join(intents, "question_id")
-        .withColumn("confidence", F.round(F.col("base") * boost, 6))
+    scored = first.join(small(intents), "question_id").withColumn(
+        "confidence", F.col("score") * by_type(kind, lexicon.CONFIDENCE) * boost
     )
-    order = [F.desc("confidence"), F.asc(type_order(kind)), F.asc("item")]
-    return best(scored, ["question_id"], order, k).drop("base", "is_aggregation", "is_explanation")
+    order = [F.desc("confidence"), F.asc(type_order(kind)), F.desc("score"), F.asc("item")]
+    top = best(scored, ["question_id"], order, k).drop("is_aggregation", "is_explanation")
+    return top.withColumn("confidence", F.round("confidence", 6))
 
 
 def combined(results: DataFrame, terms: DataFrame) -> DataFrame:
     """Older merge: table records score the share of search terms they contain.  terms (question_id, terms)."""
     low = F.lower("content")
     share = F.size(F.filter("terms", lambda t: low.contains(F.lower(t)))) / F.greatest(F.size("terms"), F.lit(1))
-    scored = results.join(terms, "question_id").withColumn(
+    scored = results.join(small(terms), "question_id").withColumn(
         "score", F.round(F.when(F.col("type") == "database", share).otherwise(F.col("score")), 6)
     )
     kept = scored.filter(F.col("type").isin("pdf", "database", "chat"))
@@ -65,7 +70,11 @@ def weighted(results: DataFrame, weights: DataFrame, aggregates: DataFrame, k: i
     """
     kind = F.col("type")
     weight = F.when(kind == "pdf", F.col("document_weight")).when(kind == "chat", F.col("chat_weight")).otherwise(F.col("table_weight"))
-    rows = results.filter(kind.isin("pdf", "chat", "database")).join(weights, "question_id").select(
+    first = best(
+        results.filter(kind.isin("pdf", "chat", "database")), ["question_id", "type"],
+        [F.desc("score"), F.asc("item"), F.asc("content")], k,
+    )
+    rows = first.join(small(weights), "question_id").select(
         "question_id", "type", "item", "content", (F.col("score") * weight).alias("score")
     )
     direct = aggregates.join(weights, "question_id").select(
@@ -74,8 +83,9 @@ def weighted(results: DataFrame, weights: DataFrame, aggregates: DataFrame, k: i
         F.concat("agg", F.lit("("), "column", F.lit(") dari tabel "), "table", F.lit(": "), F.round("value", 2).cast("decimal(38,2)").cast("string")).alias("content"),
         F.col("table_weight").alias("score"),
     )
-    both = rows.unionByName(direct).withColumn("score", F.round("score", 6))
-    return best(both, ["question_id"], [F.desc("score"), F.asc("type"), F.asc("item"), F.asc("content")], k)
+    both = rows.unionByName(direct)
+    top = best(both, ["question_id"], [F.desc("score"), F.asc("type"), F.asc("item"), F.asc("content")], k)
+    return top.withColumn("score", F.round("score", 6))
 
 
 def evidence(results: DataFrame, terms: DataFrame, first: int = 5, keep: int = 10) -> DataFrame:
@@ -188,7 +198,7 @@ def fallback_answers(questions: DataFrame, results: DataFrame) -> DataFrame:
     low = F.lower("content")
     documents = (
         results.filter(F.col("type") == "pdf")
-        .join(asked, "question_id")
+        .join(small(asked), "question_id")
         .withColumn("fit", F.round(F.col("score") + 0.1 * F.size(F.filter("keywords", lambda w: low.contains(w))), 6))
     )
     top = best(documents, ["question_id"], [F.desc("fit"), F.asc("item")], 1)

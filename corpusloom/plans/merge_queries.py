@@ -75,9 +75,9 @@ ORDER = "CASE type " + " ".join(f"WHEN '{n}' THEN {i}" for i, n in enumerate(lex
 FACTOR = "CASE type " + " ".join(f"WHEN '{n}' THEN {v}::DOUBLE" for n, v in lexicon.CONFIDENCE.items()) + " END"
 MERGED_SQL = f"""WITH {s.PART_QUESTIONS}, {RESULTS_SQL},
 intents AS (SELECT question_id, {_intent('aggregation')} AS agg, {_intent('explanation')} AS expl FROM questions),
-conf AS (SELECT r.*, round(score * {FACTOR} * CASE WHEN agg THEN CASE WHEN type IN ('database', 'external_db') THEN 1.5 ELSE 1.0 END::DOUBLE
-  WHEN expl THEN CASE WHEN type = 'pdf' THEN 1.5 ELSE 1.0 END::DOUBLE ELSE 1.0::DOUBLE END, 6) AS confidence FROM results r JOIN intents USING (question_id)),
-merged AS MATERIALIZED ({s.best('conf', 'question_id', f'confidence DESC, {ORDER}, item', 20)})"""
+conf0 AS (SELECT r.*, score * {FACTOR} * CASE WHEN agg THEN CASE WHEN type IN ('database', 'external_db') THEN 1.5 ELSE 1.0 END::DOUBLE
+  WHEN expl THEN CASE WHEN type = 'pdf' THEN 1.5 ELSE 1.0 END::DOUBLE ELSE 1.0::DOUBLE END AS conf FROM results r JOIN intents USING (question_id)),
+merged AS MATERIALIZED ({s.best('conf0', 'question_id', f'conf DESC, {ORDER}, score DESC, item', 20, cols='* EXCLUDE (conf), round(conf, 6) AS confidence')})"""
 
 
 @query("r16_merged_results", MERGED_SQL + " SELECT question_id, type, item, source, score, confidence, rank, content FROM merged")
@@ -113,10 +113,10 @@ AGG_ROWS_SQL = (
     f"WITH {s.PART_QUESTIONS}, {RESULTS_SQL}, k AS (SELECT question_id, {KEYWORD_CLASS} AS kind FROM questions), "
     "w AS (SELECT question_id, " + ", ".join(
         f"{_weight('kind', lexicon.KEYWORD_WEIGHTS, i)} AS {n}" for i, n in enumerate(["tw", "dw", "cw"])
-    ) + f" FROM k), {AGG_ROWS_SQL}, u AS (SELECT question_id, type, item, content, round(score * CASE type WHEN 'pdf' THEN dw WHEN 'chat' THEN cw ELSE tw END, 6) AS score "
+    ) + f" FROM k), {AGG_ROWS_SQL}, u AS (SELECT question_id, type, item, content, score * CASE type WHEN 'pdf' THEN dw WHEN 'chat' THEN cw ELSE tw END AS score "
     "FROM results JOIN w USING (question_id) WHERE type IN ('pdf', 'chat', 'database') UNION ALL "
-    "SELECT question_id, 'database_aggregation', 0, agg || '(' || col || ') dari tabel ' || tab || ': ' || value::DECIMAL(38,2), round(tw, 6) FROM aggs JOIN w USING (question_id)) "
-    + s.best("u", "question_id", "score DESC, type, item, content", 5),
+    "SELECT question_id, 'database_aggregation', 0, agg || '(' || col || ') dari tabel ' || tab || ': ' || value::DECIMAL(38,2), tw FROM aggs JOIN w USING (question_id)) "
+    + s.best("u", "question_id", "score DESC, type, item, content", 5, cols="question_id, type, item, content, rank, round(score, 6) AS score"),
 )
 def weighted_results(t: Tables):
     asked = part_questions(t)
