@@ -245,6 +245,12 @@ CHAT_SYSTEM_PATTERNS = [
 # Date and time formats, tried in this order.
 CHAT_DATE_FORMATS = ["yyyy-M-d", "d/M/yyyy", "d/M/yy", "M/d/yyyy", "M/d/yy", "yyyy/M/d"]
 CHAT_TIME_FORMATS = ["H:m:s", "H:m", "h:m:s a", "h:m a", "h:ma"]
+# The digit shape each format can read at all.
+CHAT_SHAPES = {
+    "yyyy-M-d": r"^\d{4}-\d+-\d+$", "d/M/yyyy": r"/\d{4}$", "d/M/yy": r"/\d{2}$", "M/d/yyyy": r"/\d{4}$", "M/d/yy": r"/\d{2}$",
+    "yyyy/M/d": r"^\d{4}/", "H:m:s": r"^\d+:\d+:\d+$", "H:m": r"^\d+:\d+$", "h:m:s a": r":\d+:\d+ [AP]M$",
+    "h:m a": r"^\d+:\d+ [AP]M$", "h:ma": r"^\d+:\d+[AP]M$",
+}
 
 # Lines of a pasted Teams chat that carry no message.
 PASTED_NOISE = (

@@ -34,11 +34,16 @@ def lines_of(files: DataFrame) -> DataFrame:
     )
 
 
+def read_as(c: Column, fmt: str) -> Column:
+    """Timestamp in one format; texts of another digit shape are not tried, since a failed try is costly."""
+    return F.when(c.rlike(lexicon.CHAT_SHAPES[fmt]), F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz"))
+
+
 def parsed_date(c: Column) -> Column:
     """First date format that fits; two-digit years from 69 on are 19xx."""
     tries = []
     for fmt in lexicon.CHAT_DATE_FORMATS:
-        day = F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz")
+        day = read_as(c, fmt)
         if "yyyy" not in fmt:
             day = F.when(F.year(day) >= 2069, day - F.expr("INTERVAL '100' YEAR")).otherwise(day)
         tries.append(day)
@@ -51,7 +56,7 @@ def parsed_timestamp(date: Column, time: Column) -> Column:
     seconds = F.coalesce(
         *[
             F.hour(x) * 3600 + F.minute(x) * 60 + F.second(x)
-            for x in [F.try_to_timestamp(clock, F.lit(f)).cast("timestamp_ntz") for f in lexicon.CHAT_TIME_FORMATS]
+            for x in [read_as(clock, f) for f in lexicon.CHAT_TIME_FORMATS]
         ],
         F.lit(0),
     )

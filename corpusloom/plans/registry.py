@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusloom.operators.sizing import spread
 
 # tables of long texts, whose few files would otherwise be worked on by few cores
-TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
