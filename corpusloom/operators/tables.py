@@ -65,14 +65,15 @@ def _spread(table: Searchable, slots: list[Column]) -> DataFrame:
             F.struct(F.lit(PHRASE_SLOT + i).alias("slot"), F.filter(known, lambda p: low.contains(p)).alias("words"))  # noqa: B023
         )
     rows = _keyed(table).repartition("row_id").select("row_id", F.explode(F.array(*parts)).alias("x"))
-    return rows.select("row_id", "x.slot", "x.words").select("row_id", "slot", F.explode("words").alias("word"))
+    return rows.select("row_id", "x.slot", "x.words").select("row_id", "slot", F.explode_outer("words").alias("word"))
 
 
 def vocabulary(table: Searchable, slots: list[Column]) -> DataFrame:
     """Distinct (slot, word) of a table."""
     parts = [F.struct(F.lit(i).alias("slot"), F.array_distinct(words).alias("words")) for i, words in enumerate(slots)]
     rows = table.rows.select(F.explode(F.array(*parts)).alias("x"))
-    return rows.select("x.slot", "x.words").select("slot", F.explode("words").alias("word")).distinct()
+    words = rows.select("x.slot", "x.words").select("slot", F.explode_outer("words").alias("word"))
+    return words.filter(F.col("word").isNotNull()).distinct()
 
 
 def prefix_matches(vocab: DataFrame, terms: DataFrame) -> DataFrame:
