@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import jaccard_join
+from corpusloom.llm import decontam, exact_dedup, jaccard_join, line_dedup, packing, quality, repeats, url_filter
+from corpusloom.llm.common import text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -30,3 +31,78 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     out = jaccard_join.jaccard_components(table(spark, folder, "documents"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS w FROM documents),
+b AS (
+  SELECT item_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS w FROM benchmark),
+p AS (
+  SELECT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS phrase
+  FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT n FROM p),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+hits AS (
+  SELECT s.doc_id, s.i, lens.n, p.item_id FROM s JOIN lens ON s.i + lens.n - 1 <= len(s.w)
+  JOIN p ON p.n = lens.n AND p.phrase = array_to_string(s.w[s.i:s.i + lens.n - 1], ' ')),
+pos AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS q FROM hits) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+
+@query("op2_decontamination", OP2_SQL)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    out = decontam.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return out.select(
+        F.col("doc").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP8_SQL = """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+@query("op8_exact_dedup", OP8_SQL)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    out = exact_dedup.exact_groups(docs, carry={"text_sha256": F.sha2(text_of(docs), 256)})
+    return out.withColumnRenamed("id", "doc_id")
+
+
+@query("op10_url_filter")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    out = url_filter.judged(table(spark, folder, "pages"))
+    return out.select("page.page_id", "host", "path", "rule", "verdict", "score")
+
+
+@query("op5_repeats")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.kept_texts(repeats.repeated_bytes(table(spark, folder, "documents")))
+
+
+@query("op4_packing")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(table(spark, folder, "documents"))
+
+
+@query("op3_line_dedup")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    out = line_dedup.without_similar_lines(table(spark, folder, "documents"))
+    return out.select(
+        "doc_id", F.size(F.split(text_of(out), "\n")).cast("long").alias("n_lines"), F.size("removed_lines").cast("long").alias("n_removed"),
+        F.array_join("removed_lines", ",").alias("removed_lines"), F.sha2(text_of(out, "kept_text"), 256).alias("kept_sha256"))
+
+
+@query("op9_quality")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    out = quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return out.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
