@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import decontam, exact_dedup, jaccard_join, line_dedup, packing, quality, repeats, url_filter
+from corpusloom.llm import decontam, exact_dedup, jaccard_join, lang_crf, line_dedup, packing, quality, repeats, url_filter
 from corpusloom.llm.common import text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     out = quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return out.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op7_language_id")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return lang_crf.languages(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
