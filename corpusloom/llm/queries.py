@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import decontam, exact_dedup, jaccard_join, lang_crf, line_dedup, packing, quality, repeats, url_filter
+from corpusloom.llm import decontam, exact_dedup, jaccard_join, lang_crf, licenses, line_dedup, packing, quality, repeats, url_filter
 from corpusloom.llm.common import text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,12 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_language_id")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return lang_crf.languages(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op6_licenses")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    out = licenses.licenses(table(spark, folder, "documents"))
+    families = F.array_sort(F.array_distinct(F.transform("found", lambda x: x["family"])))
+    return out.select(
+        F.col("id").alias("doc_id"), "n_paragraphs", F.size("found").cast("long").alias("n_licensed"), F.array_join(families, ",").alias("families"),
+        F.array_join(F.transform("found", lambda x: x["line"]), ",").alias("lines"))
