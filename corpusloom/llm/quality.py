@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from corpusloom.llm.common import text_of, written
 from corpusloom.llm.textkernel import LOWER, mix, pieces, span_hashes
@@ -113,28 +114,6 @@ def word_vectors(texts: DataFrame) -> np.ndarray:
     return (unit(table) + unit(own)).astype(np.float32)
 
 
-def pooled(texts: DataFrame, vectors: np.ndarray, carry: list[str]) -> DataFrame:
-    """The carried columns and ``features``: mean vector of the tokens, then of their shapes."""
-    fields = [f for f in texts.schema if f.name in carry]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", features array<float>"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = np.zeros((batch.num_rows, 2 * DIM), np.float32)
-            for row, end, data, offsets in pieces(batch.column("text")):
-                word, shape, first = tokens(data, offsets)
-                n = np.diff(first)
-                some = np.flatnonzero(n)
-                if len(some):
-                    for k, ids in enumerate((word, shape)):
-                        sums = np.add.reduceat(vectors[ids], first[:-1][some])
-                        out[row + some, k * DIM : (k + 1) * DIM] = sums / n[some, None]
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, 2 * DIM, dtype=np.int32)), pa.array(out.ravel()))
-            yield pa.record_batch([*[batch.column(f.name) for f in fields], flat], names=[*[f.name for f in fields], "features"])
-
-    return texts.mapInArrow(run, schema)
-
-
 class Network:
     """Two layers with a temperature; ``fit`` is deterministic."""
 
@@ -182,20 +161,69 @@ def held_out(doc: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc.cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
+def features(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
+    """Mean vector of the tokens, then of their shapes, for each text."""
+    out = np.zeros((len(column), 2 * DIM), np.float32)
+    for row, _, data, offsets in pieces(column):
+        word, shape, first = tokens(data, offsets)
+        n = np.diff(first)
+        some = np.flatnonzero(n)
+        if len(some):
+            for k, ids in enumerate((word, shape)):
+                sums = np.add.reduceat(vectors[ids], first[:-1][some])
+                out[row + some, k * DIM : (k + 1) * DIM] = sums / n[some, None]
+    return out
+
+
+def pooled(texts: DataFrame, vectors: np.ndarray) -> DataFrame:
+    """(id, features) of rows of (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = features(batch.column("text"), vectors)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, 2 * DIM, dtype=np.int32)), pa.array(out.ravel()))
+            yield pa.record_batch([batch.column("id"), flat], names=["id", "features"])
+
+    return texts.mapInArrow(run, "id bigint, features array<float>")
+
+
+def fitted(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality",
+           sample: int = SAMPLE) -> tuple[np.ndarray, Network]:
+    """Word vectors of all texts, and the network fitted on labelled rows that are not held out."""
+    doc = docs[id_column].cast("bigint")
+    texts = docs.select(doc.alias("id"), text_of(docs, text_column).alias("text"))
+    vectors = word_vectors(texts)
+    known = labels.groupBy(labels[id_column].cast("bigint").alias("id")).agg(F.avg(labels[label_column]).alias("y")).filter("y is not null and id is not null")
+    known = written(known.filter(~held_out(F.col("id"))).orderBy(F.xxhash64("id")).limit(sample))
+    rows = pooled(texts.join(F.broadcast(known.select("id")), "id", "left_semi"), vectors)
+    rows = rows.join(known, "id").orderBy("id", F.xxhash64("features")).limit(sample).toPandas()
+    x = np.stack(rows["features"].to_numpy()).astype(float) if len(rows) else np.zeros((0, 2 * DIM))
+    return vectors, Network(x, (rows["y"].to_numpy(float) >= 0.5).astype(float))
+
+
+def with_scores(docs: DataFrame, vectors: np.ndarray, network: Network, text_column: str = "text", score: str = "_score") -> DataFrame:
+    """The rows with their score in one more column."""
+    schema = StructType([*docs.schema.fields, StructField(score, DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chance = network.probability(features(batch.column(text_column), vectors).astype(float))
+            yield pa.record_batch([*batch.columns, pa.array(chance, pa.float64())], names=[*batch.schema.names, score])
+
+    return docs.mapInArrow(run, schema)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality",
                    sample: int = SAMPLE) -> DataFrame:
     """(id, held_out, score) for every row."""
+    vectors, network = fitted(docs, labels, id_column, text_column, label_column, sample)
     doc = docs[id_column].cast("bigint")
     texts = docs.select(doc.alias("id"), held_out(doc).alias("held_out"), text_of(docs, text_column).alias("text"))
-    made = written(pooled(texts, word_vectors(texts), ["id", "held_out"]))
-    known = labels.groupBy(labels[id_column].cast("bigint").alias("id")).agg(F.avg(labels[label_column]).alias("y")).filter("y is not null and id is not null")
-    rows = made.filter(~F.col("held_out")).join(known, "id").orderBy(F.xxhash64("id"), F.xxhash64("features")).limit(sample).toPandas()
-    x = np.stack(rows["features"].to_numpy()).astype(float) if len(rows) else np.zeros((0, 2 * DIM))
-    network = Network(x, (rows["y"].to_numpy(float) >= 0.5).astype(float))
+    kept = StructType([f for f in texts.schema.fields if f.name != "text"] + [StructField("score", DoubleType())])
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = batch.column("features").flatten().to_numpy().reshape(-1, 2 * DIM).astype(float)
-            yield pa.record_batch([batch.column("id"), batch.column("held_out"), pa.array(network.probability(flat), pa.float64())], names=["id", "held_out", "score"])
+            chance = network.probability(features(batch.column("text"), vectors).astype(float))
+            yield pa.record_batch([batch.column("id"), batch.column("held_out"), pa.array(chance, pa.float64())], names=["id", "held_out", "score"])
 
-    return made.mapInArrow(score, "id bigint, held_out boolean, score double")
+    return texts.mapInArrow(run, kept)
