@@ -27,32 +27,25 @@ def contributions(dense: DataFrame, lexical: DataFrame, settings: Settings = DEF
     )
 
 
-def fuse(
-    dense: DataFrame, lexical: DataFrame, chunks: DataFrame, k: int, settings: Settings = DEFAULTS,
-    probe: DataFrame | None = None,
-) -> DataFrame:
+def fuse(dense: DataFrame, lexical: DataFrame, chunks: DataFrame, k: int, settings: Settings = DEFAULTS) -> DataFrame:
     """Fused ranking of ``dense`` (.., chunk_id, rank, similarity) and ``lexical`` (.., chunk_id, rank).
 
-    ``chunks`` (collection, chunk_id, text, source) supplies the grouping key,
-    which is the first 200 characters of the text, and the source of each hit.
-    Every window below runs over the candidates of one question and collection,
-    at most k + max(3k, 10) rows.
+    ``chunks`` (collection, chunk_id, source) supplies the source of each hit; no
+    text is moved.  Every window below runs over the candidates of one question
+    and collection, at most k + max(3k, 10) rows.
     """
     by = ["question_id", "collection"]
-    found = contributions(dense, lexical, settings)
-    side = small(found, probe) if probe is not None else found
-    described = chunks.select(
-        "collection", "chunk_id", F.substring("text", 1, 200).alias("prefix"), "source"
-    ).join(side, ["collection", "chunk_id"])
-    first = F.struct("origin", "rank", "chunk_id", "source", "shown")
+    side = small(contributions(dense, lexical, settings), settings)
+    described = chunks.select("collection", "chunk_id", "source").join(side, ["collection", "chunk_id"])
+    first = F.struct("origin", "rank", "source", "shown")
     fused = (
-        described.groupBy(*by, "prefix")
+        described.groupBy(*by, "chunk_id")
         .agg(
             F.round(F.sum("share"), 9).alias("fused"),
             F.min(first).alias("first"),
             F.min(F.when(F.col("origin") == 1, F.col("rank"))).alias("lexical_rank"),
         )
-        .select(*by, "fused", "lexical_rank", "first.*")
+        .select(*by, "chunk_id", "fused", "lexical_rank", "first.*")
     )
     order = [F.desc("fused"), F.asc("origin"), F.asc("rank"), F.asc("chunk_id")]
     per_source = Window.partitionBy(*by, "source").orderBy(*order)

@@ -7,7 +7,7 @@ works on the few best results of a question.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom import lexicon
 from corpusloom.functions.text import question_keywords, snippet
@@ -52,14 +52,17 @@ def merged(results: DataFrame, intents: DataFrame, k: int = DEFAULTS.merged_k) -
 
 
 def combined(results: DataFrame, terms: DataFrame) -> DataFrame:
-    """Older merge: table records score the share of search terms they contain.  terms (question_id, terms)."""
-    low = F.lower("content")
-    share = F.size(F.filter("terms", lambda t: low.contains(F.lower(t)))) / F.greatest(F.size("terms"), F.lit(1))
-    scored = results.join(small(terms), "question_id").withColumn(
+    """Older merge: table records score the share of search terms in their values.  terms (question_id, terms).
+
+    Records read ``name: value`` per line; the names are no hits.  Ranked by score.
+    """
+    values = F.lower(F.regexp_replace("content", r"(?m)^[^:\n]*: ", ""))
+    share = F.size(F.filter("terms", lambda t: values.contains(F.lower(t)))) / F.greatest(F.size("terms"), F.lit(1))
+    scored = results.filter(F.col("type").isin("pdf", "database", "chat")).join(small(terms), "question_id").withColumn(
         "score", F.round(F.when(F.col("type") == "database", share).otherwise(F.col("score")), 6)
     )
-    kept = scored.filter(F.col("type").isin("pdf", "database", "chat"))
-    return kept.drop("terms")
+    along = Window.partitionBy("question_id").orderBy(F.desc("score"), F.asc("type"), F.asc("item"), F.asc("content"))
+    return scored.withColumn("rank", F.row_number().over(along)).drop("terms")
 
 
 def weighted(results: DataFrame, weights: DataFrame, aggregates: DataFrame, k: int = 5) -> DataFrame:
@@ -104,12 +107,13 @@ def evidence(results: DataFrame, terms: DataFrame, first: int = 5, keep: int = 1
 
 
 def people_first(results: DataFrame, questions: DataFrame) -> DataFrame:
-    """For person questions chat comes first, then tables, then the rest.  questions (question_id, is_person)."""
+    """For person questions chat comes first, then tables, then the rest; nothing is cut.  questions (question_id, is_person)."""
     kind = F.col("type")
     group = F.when(kind == "chat", 0).when(kind.isin(*lexicon.TABLE_TYPES), 1).otherwise(2)
     joined = results.join(questions, "question_id").withColumnRenamed("rank", "old_rank")
     place = F.when(F.col("is_person"), group).otherwise(0)
-    return best(joined, ["question_id"], [place, F.asc("old_rank")], DEFAULTS.merged_k).drop("is_person")
+    along = Window.partitionBy("question_id").orderBy(place, F.asc("old_rank"))
+    return joined.withColumn("rank", F.row_number().over(along)).drop("is_person")
 
 
 # conflicts ----------------------------------------------------------------------------------------

@@ -12,14 +12,21 @@ from corpusloom.settings import DEFAULTS
 
 
 def running_sum(
-    df: DataFrame, keys: list[str], order: str, value: Column, out: str, block: int = DEFAULTS.order_block
+    df: DataFrame, keys: list[str], order: str, value: Column, out: str, block: int = DEFAULTS.order_block, tie: str | None = None
 ) -> DataFrame:
-    """Add the running sum of ``value`` per key, up to and including each row."""
-    cut = df.withColumn("__block", F.floor(F.col(order) / block)).withColumn("__value", value)
+    """Add the running sum of ``value`` per key, up to and including each row; equal order values go by ``tie``.
+
+    The order column is a whole number, or a timestamp, whose blocks are of as many seconds.
+    """
+    number = F.unix_seconds(order) if df.schema[order].dataType.typeName() == "timestamp" else F.col(order)
+    if df.schema[order].dataType.typeName() == "timestamp_ntz":
+        number = F.unix_seconds(F.col(order).cast("timestamp"))
+    along_rows = [order] if tie is None else [order, tie]
+    cut = df.withColumn("__block", F.floor(number / block)).withColumn("__value", value)
     totals = cut.groupBy(*keys, "__block").agg(F.sum("__value").alias("__total"))
     along = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "__block", F.coalesce(F.sum("__total").over(along), F.lit(0)).alias("__before"))
-    within = Window.partitionBy(*keys, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(*keys, "__block").orderBy(*along_rows).rowsBetween(Window.unboundedPreceding, 0)
     return (
         cut.withColumn("__inner", F.sum("__value").over(within))
         .join(offsets, [*keys, "__block"])
@@ -28,6 +35,6 @@ def running_sum(
     )
 
 
-def numbered(df: DataFrame, keys: list[str], order: str, out: str, block: int = DEFAULTS.order_block) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: str, out: str, block: int = DEFAULTS.order_block, tie: str | None = None) -> DataFrame:
     """Row number from 1 per key along the order column."""
-    return running_sum(df, keys, order, F.lit(1), out, block)
+    return running_sum(df, keys, order, F.lit(1), out, block, tie)

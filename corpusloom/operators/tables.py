@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpusloom import lexicon
 from corpusloom.functions import questions as qf
 from corpusloom.functions.words import stem
-from corpusloom.operators.sizing import best, cut_lineage, fits
+from corpusloom.operators.sizing import best, cut_lineage, hinted, small
 from corpusloom.settings import DEFAULTS
 
 PART = r"[\p{L}\p{N}_+]+"
@@ -75,36 +75,43 @@ def vocabulary(table: Searchable, slots: list[Column]) -> DataFrame:
     return rows.select("x.slot", "x.words").select("slot", F.explode("words").alias("word")).distinct()
 
 
+def _sizes(terms: DataFrame) -> Column:
+    """The lengths that occur among the terms: only parts of those lengths are cut from words."""
+    found = sorted(r[0] for r in terms.select(F.length("term")).distinct().collect() if r[0])
+    return F.array(*[F.lit(n) for n in found]).cast("array<int>")
+
+
 def prefix_matches(vocab: DataFrame, terms: DataFrame) -> DataFrame:
     """terms (.., term) with every word that starts with the term."""
-    prefixes = vocab.select(
-        "*",
-        F.explode(
-            F.transform(F.sequence(F.lit(1), F.length("word")), lambda n: F.substring(F.col("word"), F.lit(1), n))
-        ).alias("term"),
-    )
+    fitting = F.filter(_sizes(terms), lambda n: n <= F.length("word"))
+    prefixes = vocab.select("*", F.explode(F.transform(fitting, lambda n: F.substring(F.col("word"), F.lit(1), n))).alias("term"))
     return prefixes.join(terms, "term")
 
 
 def part_matches(vocab: DataFrame, terms: DataFrame) -> DataFrame:
     """terms (.., term) with every word that contains the term."""
     size = F.length("word")
-    parts = vocab.select(
-        "*",
-        F.explode(
-            F.array_distinct(
-                F.flatten(
-                    F.transform(
-                        F.sequence(F.lit(1), size),
-                        lambda i: F.transform(
-                            F.sequence(F.lit(1), size - i + 1), lambda n: F.substring(F.col("word"), i, n)
-                        ),
-                    )
-                )
-            )
-        ).alias("term"),
-    )
-    return parts.join(terms, "term")
+    fitting = F.filter(_sizes(terms), lambda n: n <= size)
+    parts = F.transform(fitting, lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(F.col("word"), i, n)))
+    return vocab.select("*", F.explode(F.array_distinct(F.flatten(parts))).alias("term")).join(terms, "term")
+
+
+def _across_words(table: Searchable, slots: list[Column], texts: dict[int, Column], vocab: DataFrame, by_term: DataFrame) -> DataFrame:
+    """(question_id, row_id, slot, pos) of terms that are no single word, such as ``x-ray`` or ``quality lead``.
+
+    The longest word part of the term finds the rows, whose text must then hold
+    the whole term.  ``texts`` has the text of each slot; a term without a word
+    part matches nothing.
+    """
+    parts = F.regexp_extract_all("term", F.lit(PART), F.lit(0))
+    longest = F.array_max(F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
+    multi = by_term.filter(~F.col("term").rlike(f"^{PART}$") & (F.size(parts) > 0)).select(
+        "question_id", "pos", F.col("term").alias("whole"), longest.alias("term"))
+    words = part_matches(vocab.filter(F.col("slot").isin(*texts)), multi).select("slot", "word", "question_id", "pos", "whole")
+    met = _spread(table, slots).join(small(words), ["slot", "word"]).select("row_id", "slot", "question_id", "pos", "whole").distinct()
+    whole = F.create_map(*[x for i, c in texts.items() for x in (F.lit(i), F.lower(c))])
+    rows = _keyed(table).select("row_id", whole.alias("texts"))
+    return rows.join(small(met), "row_id").filter(F.col("texts")[F.col("slot")].contains(F.col("whole"))).select("question_id", "row_id", "slot", "pos")
 
 
 def _phrase_map(questions: DataFrame, table: Searchable) -> DataFrame:
@@ -114,20 +121,22 @@ def _phrase_map(questions: DataFrame, table: Searchable) -> DataFrame:
     )
 
 
-def _matched(table: Searchable, slots: list[Column], mapping: DataFrame, bounded: bool, n_terms: int) -> DataFrame:
+def _matched(table: Searchable, slots: list[Column], mapping: DataFrame, more: DataFrame, n_terms: int) -> DataFrame:
     """Per row and question: how many different terms each slot holds (n0, n1, ..) and its phrase hits.
 
     Terms are numbered per question; the numbers found are gathered as bits, so
     the grouping carries a few integers and runs in the partition of the row.
+    ``more`` has matches (question_id, row_id, slot, pos) that no single word makes.
     """
-    side = F.broadcast(mapping) if bounded and fits(mapping) else mapping
+    columns = ["question_id", "row_id", "slot", "pos"]
+    found = _spread(table, slots).join(hinted(mapping), ["slot", "word"]).select(*columns).unionByName(more.select(*columns))
     masks = range(-(-n_terms // 63) or 1)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("pos") % 63)
     aggs = [
         F.bit_or(F.when((F.col("slot") == i) & (F.floor(F.col("pos") / 63) == j), bit).otherwise(F.lit(0).cast("long"))).alias(f"m{i}_{j}")
         for i in range(len(slots)) for j in masks
     ]
-    grouped = _spread(table, slots).join(side, ["slot", "word"]).groupBy("question_id", "row_id").agg(
+    grouped = found.groupBy("question_id", "row_id").agg(
         *aggs, F.sum((F.col("slot") >= PHRASE_SLOT).cast("int")).alias("n_phrases")
     )
     counts = [
@@ -160,7 +169,7 @@ def search_ranked(questions: DataFrame, table: Searchable, limit: int = DEFAULTS
     )
     asked = cut_lineage(questions.select("question_id", F.array_distinct("terms").alias("terms"), "phrases", stems.alias("stems")))
     slots = [row_words(text_of(table.index)), row_words(F.col(table.name_column).cast("string"))]
-    vocab = vocabulary(table, slots)
+    vocab = cut_lineage(vocabulary(table, slots))
     by_stem = asked.select("question_id", F.posexplode("stems").alias("pos", "term"))
     by_term = asked.select("question_id", F.posexplode(F.transform("terms", lambda t: F.lower(t))).alias("pos", "term"))
     columns = ["slot", "word", "question_id", "pos"]
@@ -170,9 +179,10 @@ def search_ranked(questions: DataFrame, table: Searchable, limit: int = DEFAULTS
         .unionByName(_phrase_map(asked, table).select(*columns))
     )
     n_terms = _most(asked, F.concat("terms", "stems"))
-    hits = _matched(table, slots, mapping, fits(asked), n_terms).filter(F.col("n0") > 0)
+    more = _across_words(table, slots, {1: F.col(table.name_column).cast("string")}, vocab, by_term)
+    hits = _matched(table, slots, mapping, more, n_terms).filter(F.col("n0") > 0)
     sizes = asked.select("question_id", F.size("stems").alias("n_stems"))
-    scored = hits.join(F.broadcast(sizes) if fits(asked) else sizes, "question_id").select(
+    scored = hits.join(small(sizes), "question_id").select(
         "question_id", "row_id",
         F.round(F.col("n0") / F.col("n_stems") + 50.0 * F.col("n1") + 20.0 * F.col("n_phrases"), 6).alias("score"),
     )
@@ -185,10 +195,12 @@ def search_parts(questions: DataFrame, table: Searchable, limit: int = DEFAULTS.
     slots = [row_words(F.col(c).cast("string")) for c in table.text_columns]
     columns = ["slot", "word", "question_id", "pos"]
     by_term = asked.select("question_id", F.posexplode("terms").alias("pos", "term"))
+    vocab = cut_lineage(vocabulary(table, slots))
     mapping = cut_lineage(
-        part_matches(vocabulary(table, slots), by_term).select(*columns).unionByName(_phrase_map(asked, table).select(*columns))
+        part_matches(vocab, by_term).select(*columns).unionByName(_phrase_map(asked, table).select(*columns))
     )
-    hits = _matched(table, slots, mapping, fits(asked), _most(asked, F.col("terms")))
+    more = _across_words(table, slots, {i: F.col(c).cast("string") for i, c in enumerate(table.text_columns)}, vocab, by_term)
+    hits = _matched(table, slots, mapping, more, _most(asked, F.col("terms")))
     points = reduce(lambda a, b: a + b, [F.col(f"n{i}") for i in range(len(slots))]) + 10 * F.col("n_phrases")
     return _first_rows(hits.select("question_id", "row_id", points.cast("double").alias("score")), limit)
 
@@ -222,13 +234,13 @@ def search_all_words(questions: DataFrame, tables: list[Searchable], limit: int
     """Rows that hold all words of a question, one ranking over all tables.  questions (question_id, words)."""
     asked = questions.select("question_id", F.array_distinct("words").alias("terms"))
     wanted = asked.select("question_id", F.size("terms").alias("n_words"), F.explode("terms").alias("word"))
-    bounded = fits(wanted)
+    wanted = small(wanted)
     found = []
     for table in tables:
         spread = _keyed(table).repartition("row_id").select(
             "row_id", F.explode(F.array_distinct(row_words(text_of(table.index)))).alias("word")
         )
-        hits = spread.join(F.broadcast(wanted) if bounded else wanted, "word").groupBy("question_id", "row_id").agg(
+        hits = spread.join(wanted, "word").groupBy("question_id", "row_id").agg(
             F.count(F.lit(1)).alias("n"), F.max("n_words").alias("n_words")
         )
         found.append(
@@ -240,7 +252,7 @@ def search_all_words(questions: DataFrame, tables: list[Searchable], limit: int
     return best(reduce(DataFrame.unionByName, found), ["question_id"], order, limit)
 
 
-def like_any(rows: DataFrame, columns: list[str], terms: list[str], limit: int | None = 10) -> DataFrame:
+def like_any(rows: DataFrame, columns: list[str], terms: list[str], limit: int | None = None, order: str | None = None) -> DataFrame:
     """Rows where any column contains any of the given terms, ignoring case; all of them without a limit."""
     test = F.lit(False)
     for c in columns:
@@ -248,7 +260,11 @@ def like_any(rows: DataFrame, columns: list[str], terms: list[str], limit: int |
         for term in terms:
             test = test | low.contains(term.lower())
     found = rows.filter(test)
-    return found if limit is None else found.limit(limit)
+    if limit is None:
+        return found
+    if order is None:
+        raise ValueError("a limit needs an order")
+    return found.orderBy(order).limit(limit)
 
 
 # tables as text -----------------------------------------------------------------------------------
@@ -266,7 +282,7 @@ def record_text(columns: list[str]) -> Column:
     )
 
 
-def markdown_blocks(rows: DataFrame, label: str, columns: list[str], order: str, block_rows: int = DEFAULTS.connected_max_rows) -> DataFrame:
+def markdown_blocks(rows: DataFrame, label: str, columns: list[str], order: str, block_rows: int = DEFAULTS.connected_block_rows) -> DataFrame:
     """(label, block, content): markdown tables of at most ``block_rows`` key values each.
 
     A block covers a range of the integer key, so a large table becomes many

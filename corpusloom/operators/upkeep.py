@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.operators.ordering import numbered
-from corpusloom.operators.sizing import fits
+from corpusloom.operators.sizing import cut_lineage, small
 
 
 def active(collections: DataFrame, selected: DataFrame | None = None, key: str = "collection_id") -> DataFrame:
@@ -18,18 +18,19 @@ def owned(rows: DataFrame, user: Column, enforce: bool = True) -> DataFrame:
     return rows.filter(F.col("user_id") == user) if enforce else rows
 
 
-def sessions_with_counts(sessions: DataFrame, messages: DataFrame, limit: int = 200) -> DataFrame:
-    """Newest sessions with their number of messages.  Messages are counted before the join."""
+def sessions_with_counts(sessions: DataFrame, messages: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` newest sessions with their number of messages.  Only messages of those sessions are counted."""
     newest = sessions.orderBy(F.desc("updated_at"), F.asc("session_id")).limit(limit)
-    counts = messages.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+    newest = cut_lineage(newest)
+    counts = messages.join(F.broadcast(newest.select("session_id")), "session_id", "left_semi").groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
     return newest.join(counts, "session_id", "left").select(
         *sessions.columns, F.coalesce("n", F.lit(0)).alias("message_count")
     )
 
 
-def with_children(parents: DataFrame, children: DataFrame, key: str, order: str) -> DataFrame:
+def with_children(parents: DataFrame, children: DataFrame, key: str, order: str, tie: str | None = None) -> DataFrame:
     """Parents with their children as ordered rows, one row per child, so no parent becomes one big cell."""
-    return parents.join(numbered(children, [key], order, "position"), key, "left")
+    return parents.join(numbered(children, [key], order, "position", tie=tie), key, "left")
 
 
 def orphans(stored: DataFrame, registered: DataFrame, key: str) -> DataFrame:
@@ -58,7 +59,7 @@ def upserted(existing: DataFrame, incoming: DataFrame, key: str, replace: list[s
 
 def deleted(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows without the deleted keys; the same call on a child table is the cascade."""
-    return rows.join(F.broadcast(keys.select(key)) if fits(keys) else keys.select(key), key, "left_anti")
+    return rows.join(small(keys.select(key)), key, "left_anti")
 
 
 def children_replaced(children: DataFrame, fresh: DataFrame, key: str) -> DataFrame:

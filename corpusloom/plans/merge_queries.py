@@ -94,12 +94,12 @@ def terms(t: Tables):
 
 @query(
     "r17_combined_results",
-    f"WITH {s.PART_QUESTIONS}, {RESULTS_SQL}, {SEARCH_TERMS_SQL} SELECT question_id, type, item, source, round(CASE WHEN type = 'database' THEN "
-    "len(list_filter(terms, lambda x: contains(lower(content), x))) / greatest(len(terms), 1) ELSE score END, 6)::DOUBLE AS score "
-    "FROM results JOIN terms USING (question_id) WHERE type IN ('pdf', 'database', 'chat')",
+    f"WITH {s.PART_QUESTIONS}, {RESULTS_SQL}, {SEARCH_TERMS_SQL} SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, type, item) AS rank FROM (SELECT question_id, type, item, source, round(CASE WHEN type = 'database' THEN "
+    "len(list_filter(terms, lambda x: contains(lower(array_to_string(list_transform(string_split(content, chr(10)), lambda l: regexp_replace(l, '^[^:]*: ', '')), chr(10))), x))) / greatest(len(terms), 1) ELSE score END, 6)::DOUBLE AS score "
+    "FROM results JOIN terms USING (question_id) WHERE type IN ('pdf', 'database', 'chat'))",
 )
 def combined_results(t: Tables):
-    return merge.combined(results(t), terms(t)).select("question_id", "type", "item", "source", "score")
+    return merge.combined(results(t), terms(t)).select("question_id", "type", "item", "source", "score", "rank")
 
 
 AGG_ROWS_SQL = (

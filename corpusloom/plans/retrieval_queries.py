@@ -122,7 +122,7 @@ def fused_documents(t: Tables, k: int = K, by_language: bool = False):
         "similarity", dense.similarity(F.col("distance"))
     )
     words = lexical.bm25_top(questions, chunks, fuse.lexical_pool(k))
-    return fuse.fuse(near, words, chunks, k, probe=questions)
+    return fuse.fuse(near, words, chunks, k)
 
 
 @query(

@@ -27,12 +27,17 @@ C = lambda name: F.col(name)
 )
 def merged_pages(t: Tables):
     pages = t.conversations.select("conv_id", (C("turn") + 1).alias("page"), "text")
-    return folder.merged_pages(pages, "conv_id").drop("part")
+    return folder.merged_pages(pages, "conv_id")
 
 
-@query("s12_inventory")
+@query(
+    "s12_inventory",
+    "SELECT CASE WHEN contains(last, '.') THEN lower(regexp_extract(last, '(\\.[^./]+)$', 1)) ELSE '' END AS suffix, count(*) AS n_files, sum(strlen(html)) AS n_bytes "
+    "FROM (SELECT html, regexp_extract(url, '([^/]*)$', 1) AS last FROM pages) GROUP BY 1",
+)
 def inventory(t: Tables):
-    return folder.inventory(folder.files(t.spark, t.folder))
+    """Pages as files: by the suffix of their urls."""
+    return folder.inventory(t.pages.select(F.regexp_extract("url", "([^/]*)$", 1).alias("path"), F.octet_length("html").alias("length")))
 
 
 @query(
@@ -85,13 +90,13 @@ LAYOUT = {
     "s10_catalog_profile",
     " UNION ALL ".join(
         f"SELECT '{n}' AS \"table\", (SELECT count(*) FROM {n}) AS row_count, {i} AS ordinal, '{c}' AS \"column\", '{k}' AS type, true AS nullable, {str(c in KEYS[n]).lower()} AS primary_key"
-        for n, cols in LAYOUT.items() for i, (c, k) in enumerate(cols, 1) if n in sorted(LAYOUT)[:4]
+        for n, cols in LAYOUT.items() for i, (c, k) in enumerate(cols, 1)
     ),
 )
 def catalog_profile(t: Tables):
     frames = {n: getattr(t, n) for n in LAYOUT}
     # parquet timestamps are read with or without a zone; the profile names both the same
-    profile = relations.catalog_profile(*relations.catalog_frames(frames, KEYS), max_tables=4)
+    profile = relations.catalog_profile(*relations.catalog_frames(frames, KEYS))
     return profile.withColumn("type", F.regexp_replace("type", "_ntz$", ""))
 
 
@@ -248,7 +253,7 @@ def sessions(t: Tables):
     "GROUP BY ALL ORDER BY updated_at DESC, s.session_id LIMIT 200",
 )
 def sessions_with_counts(t: Tables):
-    return upkeep.sessions_with_counts(sessions(t), t.conversations.select(F.col("conv_id").alias("session_id")))
+    return upkeep.sessions_with_counts(sessions(t), t.conversations.select(F.col("conv_id").alias("session_id")), 200)
 
 
 @query(
@@ -356,9 +361,10 @@ def top_orders(t: Tables):
     return t.orders.select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), F.asc("o_orderkey")).limit(20)
 
 
-@query("w6_first_seen", "SELECT left(text, 100) AS prefix, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source FROM documents GROUP BY 1")
+@query("w6_first_seen", "SELECT sha256(text) AS text_hash, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source FROM documents GROUP BY text")
 def first_seen(t: Tables):
-    return upkeep.first_seen(t.documents.select("doc_id", "source", "text"), [F.substring("text", 1, 100)], ["prefix"], "doc_id").drop("text")
+    rows = t.documents.select("doc_id", "source", F.sha2("text", 256).alias("h"))
+    return upkeep.first_seen(rows, [F.col("h")], ["text_hash"], "doc_id").drop("h")
 
 
 @query("w6_last_seen", "SELECT split_part(url, '/', 3) AS host, max(page_id) AS page_id, arg_max(url, page_id) AS url FROM pages GROUP BY 1")

@@ -93,13 +93,12 @@ sims AS (SELECT question_id, collection, greatest(min(similarity), 0.1) AS floor
 contrib AS (SELECT question_id, collection, chunk_id, 0 AS origin, rank, 1.0 / (60 + rank)::DOUBLE AS share, similarity AS shown FROM dense
   UNION ALL SELECT question_id, collection, chunk_id, 1, rank, 1.0 / (60 + rank)::DOUBLE, coalesce(floor, 0.1)
   FROM lex LEFT JOIN sims USING (question_id, collection)),
-keyed AS (SELECT contrib.*, left(text, 200) AS prefix, source,
-    row_number() OVER (PARTITION BY question_id, collection, left(text, 200) ORDER BY origin, rank) AS nth
+keyed AS (SELECT contrib.*, source, row_number() OVER (PARTITION BY question_id, collection, chunk_id ORDER BY origin, rank) AS nth
   FROM contrib JOIN {chunks} USING (collection, chunk_id)),
-summed AS (SELECT question_id, collection, prefix, round(sum(share), 9) AS fused,
+summed AS (SELECT question_id, collection, chunk_id, round(sum(share), 9) AS fused,
     min(CASE WHEN origin = 1 THEN rank END) AS lexical_rank FROM keyed GROUP BY ALL),
-reps AS (SELECT s.*, k.origin, k.rank, k.chunk_id, k.source, k.shown FROM summed s
-  JOIN keyed k USING (question_id, collection, prefix) WHERE nth = 1),
+reps AS (SELECT s.*, k.origin, k.rank, k.source, k.shown FROM summed s
+  JOIN keyed k USING (question_id, collection, chunk_id) WHERE nth = 1),
 overs AS (SELECT *, (row_number() OVER (PARTITION BY question_id, collection, source
     ORDER BY fused DESC, origin, rank, chunk_id) > 2)::INT AS over FROM reps),
 placed AS (SELECT *, row_number() OVER (PARTITION BY question_id, collection

@@ -95,6 +95,20 @@ def substring_search(t: Tables):
     return hits.withColumn("row_id", F.col("row_id").cast("long"))
 
 
+MULTIWORD_SQL = """asked AS (SELECT s_suppkey AS question_id, list_distinct([lower(substr(p_name, 3, 8)), lower(p_brand), lower(p_type)]) AS terms, []::VARCHAR[] AS stems, []::VARCHAR[] AS phrases
+  FROM supplier JOIN part ON p_partkey = s_suppkey)"""
+
+
+@query("r13_multiword_search", f"WITH {MULTIWORD_SQL} {_parts_sql('part')}")
+def multiword_search(t: Tables):
+    """Terms with blanks and signs inside, as a substring search finds them."""
+    made = t.supplier.join(t.part, F.col("p_partkey") == F.col("s_suppkey")).select(
+        F.col("s_suppkey").alias("question_id"),
+        F.array_distinct(F.array(F.lower(F.substring("p_name", 3, 8)), F.lower("p_brand"), F.lower("p_type"))).alias("terms"),
+        F.array().cast("array<string>").alias("phrases"))
+    return tb.search_parts(made, searchables(t)[0]).withColumn("row_id", F.col("row_id").cast("long"))
+
+
 def _searched_sql() -> str:
     ctes, unions = [], []
     for label in LAYOUT:

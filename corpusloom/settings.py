@@ -29,16 +29,15 @@ class Settings:
     b: float = 0.75
     epsilon: float = 0.25
     # table scans
-    max_table_rows: int = 1000
-    connected_max_rows: int = 200
-    connected_max_tables: int = 20
+    block_rows: int = 1000
+    connected_block_rows: int = 200
     table_hit_limit: int = 10
     # chat windows
     window_size: int = 10
     window_overlap: int = 2
     # physical bounds
     vector_dim: int = 64
-    broadcast_rows: int = 2_000_000
+    broadcast_bytes: int = 64 << 20
     order_block: int = 65_536
     question_block: int = 1024
 

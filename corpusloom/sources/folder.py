@@ -19,9 +19,13 @@ def name_of(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+)$", 1)
 
 
-def files(spark: SparkSession, folder: str) -> DataFrame:
-    """path, modificationTime, length and content of all files below a folder."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+def files(spark: SparkSession, folder: str, suffixes: tuple[str, ...] | None = None) -> DataFrame:
+    """path, modificationTime, length and content of the files below a folder; only files of the suffixes are opened."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if suffixes:
+        any_case = ["".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in x) for x in suffixes]
+        reader = reader.option("pathGlobFilter", "*{" + ",".join(any_case) + "}")
+    return reader.load(folder)
 
 
 def eligible(found: DataFrame, folder: str, suffixes=SUFFIXES, max_depth: int | None = None, exclude: list[str] | None = None) -> DataFrame:
@@ -39,7 +43,7 @@ def eligible(found: DataFrame, folder: str, suffixes=SUFFIXES, max_depth: int |
 
 def text_documents(spark: SparkSession, folder: str, max_depth: int | None = None, exclude: list[str] | None = None) -> DataFrame:
     """(source, doc_type, text) of text files: undecodable bytes are dropped, blank files too."""
-    found = eligible(files(spark, folder), folder, SUFFIXES[1:], max_depth, exclude)
+    found = eligible(files(spark, folder, SUFFIXES[1:]), folder, SUFFIXES[1:], max_depth, exclude)
     text = strip(F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit("")))
     suffix = suffix_of(F.col("path"))
     kind = F.when(suffix == ".md", "markdown").when(suffix == ".log", "log").otherwise("txt")
@@ -67,12 +71,11 @@ def extracted_pages(found: DataFrame, extract: Callable[[bytes], list[str]]) ->
     return pages.withColumn("text", strip(squeeze(F.col("text")))).filter(F.col("text") != "")
 
 
-def merged_pages(pages: DataFrame, key: str = "source", separator: str = "\n\n", pages_per_document: int = 1000) -> DataFrame:
-    """Pages of a file as one document; a file with very many pages becomes several documents."""
-    part = F.floor((F.col("page") - 1) / pages_per_document).cast("long")
+def merged_pages(pages: DataFrame, key: str = "source", separator: str = "\n\n") -> DataFrame:
+    """All pages of a file as one document."""
     return (
         pages.filter(F.trim("text") != "")
-        .groupBy(key, part.alias("part"))
+        .groupBy(key)
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), separator).alias("text"))
     )
 
@@ -86,8 +89,14 @@ def json_documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def csv_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """CSV files as one text each, as they are."""
+    raw = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.[cC][sS][vV]")
+    return raw.select(F.col("_metadata.file_path").alias("source"), F.lit("csv").alias("doc_type"), strip(F.col("value")).alias("text")).filter(F.col("text") != "")
+
+
 def inventory(found: DataFrame) -> DataFrame:
-    """Number and size of files by suffix."""
+    """Number and size of files (path, length) by suffix; files without one have an empty suffix."""
     return found.select(suffix_of(F.col("path")).alias("suffix"), "length").groupBy("suffix").agg(
         F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("n_bytes")
     )

@@ -11,9 +11,19 @@ from corpusloom.operators.tables import markdown_blocks
 from corpusloom.settings import DEFAULTS
 
 
-def jdbc_table(spark: SparkSession, url: str, table: str, options: dict[str, str] | None = None, max_rows: int | None = DEFAULTS.max_table_rows) -> DataFrame:
-    """A table of a database.  Give partitionColumn, bounds and numPartitions in the options to read in parallel."""
-    df = spark.read.format("jdbc").options(url=url, dbtable=f'"{table}"', **(options or {})).load()
+def quoted(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+def jdbc_table(
+    spark: SparkSession, url: str, table: str, options: dict[str, str] | None = None, max_rows: int | None = None, schema: str | None = None
+) -> DataFrame:
+    """A table of a database, whole unless ``max_rows`` is given.
+
+    Give partitionColumn, bounds and numPartitions in the options to read in parallel.
+    """
+    name = quoted(table) if schema is None else f"{quoted(schema)}.{quoted(table)}"
+    df = spark.read.format("jdbc").options(url=url, dbtable=name, **(options or {})).load()
     return df if max_rows is None else df.limit(max_rows)
 
 
@@ -21,7 +31,7 @@ def jdbc_query(spark: SparkSession, url: str, sql: str, options: dict[str, str]
     return spark.read.format("jdbc").options(url=url, query=sql, **(options or {})).load()
 
 
-def label_queries(frames: dict[str, DataFrame], row_key: str, columns: dict[str, list[str]], block_rows: int = DEFAULTS.max_table_rows) -> DataFrame:
+def label_queries(frames: dict[str, DataFrame], row_key: str, columns: dict[str, list[str]], block_rows: int = DEFAULTS.block_rows) -> DataFrame:
     """Results of labelled queries as documents (source, doc_type, block, text).  Empty results give no document."""
     parts = []
     for label, df in frames.items():
@@ -34,7 +44,7 @@ def label_queries(frames: dict[str, DataFrame], row_key: str, columns: dict[str,
     return reduce(DataFrame.unionByName, parts)
 
 
-def table_documents(df: DataFrame, label: str, columns: list[str], order: str, block_rows: int = DEFAULTS.max_table_rows) -> DataFrame:
+def table_documents(df: DataFrame, label: str, columns: list[str], order: str, block_rows: int = DEFAULTS.block_rows) -> DataFrame:
     return markdown_blocks(df, label, columns, order, block_rows).select(
         F.concat(F.lit("table:"), "label").alias("source"), F.lit("db_table").alias("doc_type"), "block",
         F.col("content").alias("text"),
@@ -59,12 +69,12 @@ def corpus_of(spec: str, readers: dict[str, callable]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def catalog_profile(tables: DataFrame, columns: DataFrame, keys: DataFrame, max_tables: int = DEFAULTS.connected_max_tables) -> DataFrame:
-    """First tables by name with their columns: type, nullability and whether part of the primary key.
+def catalog_profile(tables: DataFrame, columns: DataFrame, keys: DataFrame, max_tables: int | None = None) -> DataFrame:
+    """Tables by name (all, or the first ones) with their columns: type, nullability and whether part of the primary key.
 
     tables (table, row_count), columns (table, ordinal, column, type, nullable), keys (table, column).
     """
-    first = tables.orderBy("table").limit(max_tables)
+    first = tables if max_tables is None else tables.orderBy("table").limit(max_tables)
     marked = keys.select("table", "column").distinct().withColumn("primary_key", F.lit(True))
     return (
         columns.join(first, "table")
