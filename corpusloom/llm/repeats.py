@@ -37,12 +37,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.llm.common import small, text_of, written
 from corpusloom.llm.jaccard_join import shared_signatures
-from corpusloom.llm.textkernel import BYTE_VALUES, distinct, mix, pieces, powers
+from corpusloom.llm.textkernel import BYTE_VALUES, POWERS, distinct, mix, pieces
 
 LENGTH = 50
 GRAM = 24
 HOT = 1000
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 LAST = (1 << 63) - 1
 
 
@@ -60,7 +60,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     n, width = len(data), length - GRAM + 1
     if n < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    up, down = powers(n + 1)
+    up, down = POWERS.first(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(BYTE_VALUES[data] * up[:-1], out=sums[1:])
     grams = mix((sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1])
@@ -172,36 +172,38 @@ def stretches(rows: DataFrame, length: int) -> DataFrame:
 
 def ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Dense ranks of keys, and the sorted order."""
-    order = np.argsort(keys, kind="stable")
-    sorted_ = keys[order]
-    out = np.empty(len(keys), np.int64)
-    out[order] = np.cumsum(np.concatenate(([0], sorted_[1:] != sorted_[:-1])))
+    order = np.argsort(keys, kind="stable").astype(np.int32)
+    keys = keys[order]
+    out = np.empty(len(keys), np.int32)
+    out[order] = np.cumsum(np.concatenate(([False], keys[1:] != keys[:-1])), dtype=np.int32)
     return out, order
 
 
 def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Suffixes sorted by their first ``depth`` (at least 8) bytes, common prefixes of neighbours up to there, and left bytes.
 
-    Bytes past the end count as 0.
+    Works on bytes, eight at a time to begin with, or on numbers.  What is past the end sorts first.
     """
-    n = len(data)
-    padded = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint64)
-    key = np.zeros(n, np.uint64)
-    for i in range(8):
-        key = (key << np.uint64(8)) | padded[i : i + n]
+    n, size = len(data), 8 if data.dtype == np.uint8 else 1
+    key = data.copy()
+    if size == 8:
+        padded, key = np.concatenate((data, np.zeros(8, np.uint8))), np.zeros(n, np.uint64)
+        for i in range(8):
+            key <<= np.uint64(8)
+            key |= padded[i : i + n]
     rank, order = ranks(key)
-    known = {8: rank}
-    size = 8
+    known = {size: rank}
     while size < depth:
         step = min(size, depth - size)
-        after = np.zeros(n, np.int64)
-        if step < n:
-            after[: n - step] = rank[step:] + 1
-        rank, order = ranks(rank * (n + 1) + after)
+        key = rank.astype(np.int64)
+        key *= n + 1
+        key[: max(0, n - step)] += rank[step:] + 1
+        rank, order = ranks(key)
         size += step
         known[size] = rank
+    del key
     a, b = order[:-1], order[1:]
-    common = np.zeros(len(a), np.int64)
+    common = np.zeros(len(a), np.int32)
     for size in sorted(known, reverse=True):
         at, bt = a + common, b + common
         fits = (common + size <= depth) & (at < n) & (bt < n)
@@ -211,7 +213,7 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray,
         at, bt = a + common, b + common
         fits = (common < depth) & (at < n) & (bt < n)
         common[fits & (data[np.minimum(at, n - 1)] == data[np.minimum(bt, n - 1)])] += 1
-    left = np.where(order > 0, data[np.maximum(order - 1, 0)].astype(np.int16), -1)
+    left = np.where(order > 0, data[np.maximum(order - 1, 0)].astype(np.int32), -1)
     return order, common, left
 
 
@@ -220,7 +222,7 @@ def removed_spans(stretch: list[tuple[int, int, int, bytes]], length: int) -> li
     sizes = np.array([len(x[3]) for x in stretch])
     data = np.frombuffer(b"".join(x[3] for x in stretch), np.uint8)
     first = np.cumsum(sizes) - sizes
-    of = np.repeat(np.arange(len(stretch)), sizes)
+    of = np.repeat(np.arange(len(stretch), dtype=np.int32), sizes)
     docs = np.array([x[0] for x in stretch])
     order, common, _ = suffix_array(data, length)
     order_of = of[order]
@@ -247,16 +249,15 @@ def repeat_groups(texts: list[bytes], length: int = LENGTH) -> list[tuple[int, l
     A stack over the common prefixes keeps the open intervals of the tree; one
     that closes is given out if the bytes before its occurrences differ.
     """
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    sizes = np.array([len(t) for t in texts])
-    if not len(data):
+    if not texts:
         return []
+    # an end mark of its own after each text keeps common prefixes within texts
+    data = np.concatenate([np.append(np.frombuffer(t, np.uint8).astype(np.int64) + len(texts), i) for i, t in enumerate(texts)])
+    sizes = np.array([len(t) + 1 for t in texts])
     order, common, left = suffix_array(data, max(8, int(sizes.max())))
     first = np.cumsum(sizes) - sizes
     of = np.repeat(np.arange(len(texts)), sizes)[order]
-    room = (first + sizes)[of] - order
-    left = np.where(order == first[of], -1 - np.arange(len(order)), left)
-    bound = np.concatenate((np.minimum(common, np.minimum(room[:-1], room[1:])), [0]))
+    bound = np.append(common, 0)
     out, stack = [], []  # of (bytes, first suffix)
     for i, depth in enumerate(bound.tolist()):
         low = i

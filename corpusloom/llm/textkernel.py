@@ -41,19 +41,28 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
-_BASE, _BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+BASE, BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse."""
-    if len(_powers[0]) < n:
-        size = max(n, PIECE_BYTES + 1)
-        for i, base in enumerate((_BASE, _BACK)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
+class Powers:
+    """The powers of the base and of its inverse, as many as were asked for; not sent along with functions."""
+
+    def __init__(self):
+        self.held = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+    def __reduce__(self):
+        return Powers, ()
+
+    def first(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.held[0]) < n:
+            for i, base in enumerate((BASE, BACK)):
+                steps = np.full(max(n, PIECE_BYTES + 1), base, np.uint64)
+                steps[0] = 1
+                self.held[i] = np.multiply.accumulate(steps)
+        return self.held[0][:n], self.held[1][:n]
+
+
+POWERS = Powers()
 
 
 def pieces(column: pa.Array | pa.ChunkedArray, size: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -86,7 +95,7 @@ def word_bounds(apart: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of byte spans."""
-    up, down = powers(len(data) + 1)
+    up, down = POWERS.first(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(BYTE_VALUES[data] * up[:-1], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts])
