@@ -1 +1,10 @@
-"""Operators for preparing training corpora; nothing else in the library imports this package."""
+"""Operators for preparing training corpora; nothing else in the library imports this package.
+
+Its functions are pickled by value, so executors need no copy of it.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
