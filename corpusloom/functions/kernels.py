@@ -20,19 +20,18 @@ def pack_vectors(key_names):
             vec = batch.column("vec")
             flat = np.asarray(vec.flatten()).astype(np.float32, copy=False)
             mat = flat.reshape(batch.num_rows, -1)
-            ids = np.asarray(batch.column("id"))
-            keys = [batch.column(k).to_pylist() for k in key_names]
-            groups = {}
-            for i, key in enumerate(zip(*keys)):
-                groups.setdefault(key, []).append(i)
-            rows = list(groups.items())
+            ids = np.asarray(batch.column("id")).astype(np.int64)
+            codes = np.zeros(batch.num_rows, np.int64)
+            for k in key_names:
+                coded = batch.column(k).dictionary_encode()
+                codes = codes * (len(coded.dictionary) + 1) + np.asarray(coded.indices.fill_null(len(coded.dictionary)))
+            order = np.lexsort((ids, codes))
+            first = np.flatnonzero(np.concatenate(([True], codes[order][1:] != codes[order][:-1])))
+            parts = np.split(order, first[1:])
             out = {
-                **{
-                    k: pa.array([key[j] for key, _ in rows], batch.column(k).type)
-                    for j, k in enumerate(key_names)
-                },
-                "ids": [ids[ix].astype(np.int64).tobytes() for _, ix in rows],
-                "mat": [mat[ix].tobytes() for _, ix in rows],
+                **{k: batch.column(k).take(pa.array(order[first])) for k in key_names},
+                "ids": [ids[ix].tobytes() for ix in parts],
+                "mat": [mat[ix].tobytes() for ix in parts],
             }
             yield pa.RecordBatch.from_pydict(out)
 
@@ -60,22 +59,25 @@ def nearest_in_blocks(k, key_names, dim):
                 m = np.frombuffer(cols["mat"][r], dtype=np.float32).reshape(-1, dim).astype(np.float64)
                 dist = (q * q).sum(1)[:, None] + (m * m).sum(1)[None, :] - 2.0 * (q @ m.T)
                 dist = np.round(np.maximum(dist, 0.0), 9)
+                # ids are in order, so equal distances come out by id
                 take = min(k, len(ids))
-                for row in range(len(q_ids)):
-                    d = dist[row]
-                    near = np.arange(len(ids))
-                    if take < len(ids):
-                        near = np.flatnonzero(d <= np.partition(d, take - 1)[take - 1])
-                    near = near[np.lexsort((ids[near], d[near]))][:take]
-                    out["question_id"].extend([int(q_ids[row])] * len(near))
-                    for n in key_names:
-                        out[n].extend([cols[n][r]] * len(near))
-                    out["chunk_id"].extend(ids[near].tolist())
-                    out["distance"].extend(d[near].tolist())
+                limit = np.partition(dist, take - 1, axis=1)[:, take - 1]
+                row, col = np.nonzero(dist <= limit[:, None])
+                near = np.lexsort((col, dist[row, col], row))
+                row, col = row[near], col[near]
+                start = np.searchsorted(row, np.arange(len(q_ids)))
+                kept = np.arange(len(row)) - start[row] < take
+                row, col = row[kept], col[kept]
+                out["question_id"].append(q_ids[row])
+                for n in key_names:
+                    out[n].extend([cols[n][r]] * len(row))
+                out["chunk_id"].append(ids[col])
+                out["distance"].append(dist[row, col])
+            if not out["question_id"]:
+                continue
             out.update({n: pa.array(out[n], batch.column(n).type) for n in key_names})
-            out["question_id"] = pa.array(out["question_id"], pa.int64())
-            out["chunk_id"] = pa.array(out["chunk_id"], pa.int64())
-            out["distance"] = pa.array(out["distance"], pa.float64())
+            for n in ("question_id", "chunk_id", "distance"):
+                out[n] = pa.array(np.concatenate(out[n]))
             yield pa.RecordBatch.from_pydict(out)
 
     return run

@@ -1,18 +1,19 @@
 """Exact dense top-k for many questions, without ever forming all pairs as rows.
 
-Vectors are packed into byte blocks.  Blocks of questions meet blocks of vectors
-in an equi-join on the question block number, and a kernel emits only the k
-nearest per question of each pair of blocks; a window keeps the k best overall.
+Vectors are packed into byte blocks.  Question blocks are broadcast in slices of a
+bounded size and meet every block of vectors where it was read; a kernel emits only
+the k nearest per question of each pair of blocks, and a window keeps the k best.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from math import sqrt
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from corpusloom.functions import kernels
-from corpusloom.operators.sizing import best
+from corpusloom.operators.sizing import best, cut_lineage
 from corpusloom.settings import DEFAULTS, Settings
 
 
@@ -57,10 +58,15 @@ def nearest(
         )
         .select("block", F.col("ids").alias("q_ids"), F.col("mat").alias("q_mat"))
     )
-    # every question block is at most a few hundred kilobytes; all of them travel only while they stay few
-    if n_blocks <= 64:
-        asked = F.broadcast(asked)
-    pairs = blocks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(asked, "block")
+    # a slice of question blocks is at most as large as a broadcast may be, and each slice is one pass over the vectors
+    per_slice = max(1, settings.broadcast_bytes // (settings.question_block * (4 * dim + 8)))
+    asked = cut_lineage(asked)
+    slices = []
+    for low in range(0, n_blocks, per_slice):
+        high = min(low + per_slice, n_blocks) - 1
+        part = F.broadcast(asked.filter(F.col("block").between(low, high)))
+        slices.append(blocks.withColumn("block", F.explode(F.sequence(F.lit(low), F.lit(high)))).join(part, "block"))
+    pairs = reduce(DataFrame.unionByName, slices)
     found = pairs.select("collection", "q_ids", "q_mat", "ids", "mat").mapInArrow(
         kernels.nearest_in_blocks(k, ["collection"], dim),
         T.StructType(

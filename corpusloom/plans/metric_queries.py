@@ -9,6 +9,7 @@ from corpusloom.functions.words import eval_tokens
 from corpusloom.operators import context, dense, lexical, metrics, reports
 from corpusloom.plans import sqltext as s
 from corpusloom.plans.inputs import benchmark_questions, document_chunks, with_hashed
+from corpusloom.operators.sizing import small
 from corpusloom.plans.registry import Tables, query
 from corpusloom.settings import DEFAULTS
 
@@ -31,13 +32,13 @@ def eval_token_counts(t: Tables):
 def _lexical_hits(t: Tables):
     """Best chunks per question with their text, source and vector."""
     hits = lexical.bm25_top(benchmark_questions(t), document_chunks(t), K)
-    return document_chunks(t).drop("collection").join(hits.drop("collection"), "chunk_id").withColumnRenamed("text", "content")
+    return document_chunks(t).drop("collection").join(small(hits.drop("collection")), "chunk_id").withColumnRenamed("text", "content")
 
 
 def _dense_hits(t: Tables):
     hits = dense.retrieve(with_hashed(benchmark_questions(t)), with_hashed(document_chunks(t)), K)
     return document_chunks(t).drop("collection").join(
-        hits.drop("collection", "distance"), "chunk_id"
+        small(hits.drop("collection", "distance")), "chunk_id"
     ).withColumnRenamed("text", "content")
 
 

@@ -19,7 +19,7 @@ def save_collections(chunks: DataFrame, folder: str, settings: Settings = DEFAUL
     tokens = lexical.tokenised(chunks)
     frames = {
         "chunks": chunks,
-        "postings": lexical.postings(tokens),
+        "postings": lexical.postings(tokens).sortWithinPartitions("collection", "term"),  # readers skip row groups of other terms
         "terms": lexical.term_weights(lexical.term_documents(tokens), settings),
     }
     for name, df in frames.items():

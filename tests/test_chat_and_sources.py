@@ -148,12 +148,43 @@ def test_sinks(spark, tmp_path):
 
 def test_ingest_takes_changes(spark, tmp_path):
     src, table, mark = (str(tmp_path / n) for n in ("in", "chunks", "mark"))
+
+    def run():
+        ingest.ingest(ingest.arriving(spark, src), table, mark).awaitTermination()
+        return {(r.source, r.text) for r in ingest.current(spark, table).collect()}
+
     write(f"{src}/one.txt", b"first text")
     write(f"{src}/two.txt", b"stays")
-    ingest.ingest(ingest.arriving(spark, src), table, mark).awaitTermination()
+    write(f"{src}/a/readme.txt", b"in a")
+    write(f"{src}/b/readme.txt", b"in b")
+    write(f"{src}/b/readme.md", b"marked down")
+    write(f"{src}/x__v1.txt", b"old x")
+    write(f"{src}/x__v2.txt", b"new x")
+    others = {("two.txt", "stays"), ("a/readme.txt", "in a"), ("b/readme.txt", "in b"), ("b/readme.md", "marked down"), ("x.txt", "new x")}
+    assert run() == {("one.txt", "first text")} | others
     write(f"{src}/one__v2.txt", b"changed text")
-    ingest.ingest(ingest.arriving(spark, src), table, mark).awaitTermination()
-    assert {(r.source, r.text) for r in ingest.current(spark, table).collect()} == {("one", "changed text"), ("two", "stays")}
+    assert run() == {("one.txt", "changed text")} | others
+    write(f"{src}/one__v1.txt", b"late old text")
+    write(f"{src}/a/readme__v1.txt", b"  ")
+    assert run() == {("one.txt", "changed text")} | others - {("a/readme.txt", "in a")}
+
+
+def test_children_along_timestamps(spark):
+    parents = spark.createDataFrame([(1,), (2,)], "k int")
+    children = spark.sql("SELECT * FROM VALUES (1, TIMESTAMP'2024-01-02 00:00:00', 'b'), (1, TIMESTAMP'2024-01-01 00:00:00', 'a'), (1, TIMESTAMP'2024-01-02 00:00:00', 'c') AS t(k, at, v)")
+    got = upkeep.with_children(parents, children, "k", "at", tie="v").collect()
+    assert sorted((r.k, r.v or "", r.position or 0) for r in got) == [(1, "a", 1), (1, "b", 2), (1, "c", 3), (2, "", 0)]
+
+
+def test_csv_files_as_text(spark, tmp_path):
+    write(f"{tmp_path}/in/a.csv", b"x,y\n1,2\n")
+    write(f"{tmp_path}/in/b.CSV", b"z\n")
+    write(f"{tmp_path}/in/c.txt", b"no")
+    assert {(os.path.basename(r.source), r.text) for r in folder.csv_documents(spark, str(tmp_path / "in")).collect()} == {("a.csv", "x,y\n1,2"), ("b.CSV", "z")}
+
+
+def test_table_names_are_quoted():
+    assert relations.quoted('a"b') == '"a""b"'
 
 
 def test_answer_hook_retries(spark, tmp_path):

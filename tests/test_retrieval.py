@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 from corpusloom.operators import dense, fuse, lexical
 from corpusloom.operators.ordering import numbered, running_sum
+from corpusloom.settings import Settings
 from pyspark.sql import functions as F
 
 TEXTS = {
@@ -54,10 +55,9 @@ def test_nearest_equals_plain(spark):
     questions = [(i, vec()) for i in range(5)]
     c = spark.createDataFrame(chunks, "collection string, chunk_id long, vec array<float>").repartition(5)
     q = spark.createDataFrame(questions, "question_id long, vec array<float>")
-    from corpusloom.settings import Settings
 
     got = defaultdict(list)
-    for r in dense.nearest(q, c, 4, 8, Settings(question_block=2)).orderBy("rank").collect():
+    for r in dense.nearest(q, c, 4, 8, Settings(question_block=2, broadcast_bytes=100)).orderBy("rank").collect():
         got[r.question_id, r.collection].append(r.chunk_id)
     for qid, x in questions:
         for name in "ab":
@@ -94,7 +94,7 @@ def plain_fusion(near, words, source, prefix, k):
 
 def test_fusion_equals_plain(spark):
     rng = random.Random(5)
-    docs = {i: (f"text {i % 17}", f"s{i % 3}") for i in range(20)}  # some texts are copies
+    docs = {i: (f"text {i % 17}", f"s{i % 3}") for i in range(20)}  # some texts are copies, but other chunks
     chunks = spark.createDataFrame([("c", i, t, s) for i, (t, s) in docs.items()], "collection string, chunk_id long, text string, source string")
     near_rows, word_rows, want = [], [], {}
     for q in range(25):
@@ -103,7 +103,7 @@ def test_fusion_equals_plain(spark):
         words = rng.sample(range(20), 8)
         near_rows += [(q, "c", d, n, s) for n, (d, s) in enumerate(near, 1)]
         word_rows += [(q, "c", d, n) for n, d in enumerate(words, 1)]
-        want[q] = plain_fusion(near, words, {i: s for i, (_, s) in docs.items()}, {i: t for i, (t, _) in docs.items()}, k)
+        want[q] = plain_fusion(near, words, {i: s for i, (_, s) in docs.items()}, {i: i for i in docs}, k)
     near_df = spark.createDataFrame(near_rows, "question_id long, collection string, chunk_id long, rank int, similarity double")
     word_df = spark.createDataFrame(word_rows, "question_id long, collection string, chunk_id long, rank int")
     got = defaultdict(list)
@@ -121,3 +121,19 @@ def test_running_sum_crosses_blocks(spark):
         total[file] += head
         assert got[file, line] == total[file]
     assert sorted(r.n for r in numbered(df, ["file"], "line_no", "n", block=10).filter("file = 'hot'").collect()) == list(range(1, 500))
+
+
+def test_chunks_with_a_common_header_stay_apart(spark):
+    head = "header " * 60
+    chunks = spark.createDataFrame([("c", 1, head + "red fox", "s1"), ("c", 2, head + "red dog", "s2")], "collection string, chunk_id long, text string, source string")
+    near = spark.createDataFrame([(7, "c", 1, 1, 0.9), (7, "c", 2, 2, 0.8)], "question_id long, collection string, chunk_id long, rank int, similarity double")
+    words = spark.createDataFrame([(7, "c", 2, 1)], "question_id long, collection string, chunk_id long, rank int")
+    assert {r.chunk_id for r in fuse.fuse(near, words, chunks, 5).collect()} == {1, 2}
+
+
+def test_shuffled_sides_give_the_same_scores(spark):
+    chunks = spark.createDataFrame([("c", k, v) for k, v in TEXTS.items()], "collection string, chunk_id long, text string")
+    questions = spark.createDataFrame([(10, "red fox"), (11, "the dog dog")], "question_id long, text string")
+    plain = lexical.bm25_scores(questions, chunks)
+    none = lexical.bm25_scores(questions, chunks, Settings(broadcast_bytes=0))
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, none.collect()))

@@ -12,7 +12,7 @@ NAMES = [
     "a1_answered_aggregates", "c2_timestamps", "c4_messages", "c9_conversation_summary", "c10_message_windows", "c11_keywords",
     "e5_hit_metrics", "e8_text_metrics", "e13_score_rows_lexical", "j1_sessions_with_counts", "j2_parents_with_children",
     "j5_orphans", "q1_intent", "q3_source_weights", "q5_table_routing", "q6_entities", "q7_expanded_documents", "q8_expanded_terms",
-    "q10_phrases", "q12_resolved_aggregates", "r1_dense_topk", "r4_lexical_index", "r5_bm25_topk", "r6_rank_fusion", "r13_substring_search",
+    "q10_phrases", "q12_resolved_aggregates", "r1_dense_topk", "r4_lexical_index", "r5_bm25_topk", "r6_rank_fusion", "r13_substring_search", "r13_multiword_search",
     "r16_merged_results", "r20_value_conflicts", "r22_context", "s7_table_blocks", "s9_clean_export", "s13_folder_items",
     "s14_folder_tree", "s15_urls", "s16_file_names", "s17_persisted_index", "t2_clean_context", "t6_snippet", "t8_degenerate",
     "t1_chunk_words", "u3_upserted", "w3_renumbered",
