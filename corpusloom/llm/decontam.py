@@ -1,18 +1,18 @@
 """Benchmark decontamination with a positional inverted index of the training texts.
 
 1. Count, over all texts, the terms that occur in the phrases.
-2. Store postings (term, document, position) of the rarest terms of every
-   phrase, in the partition of their document and sorted by term.
-3. Shift each posting by the term's offset in the phrase and intersect the
-   lists: a start that all stored terms agree on is a candidate.
-4. Compare the words at the candidates with the phrase (exact), or slide over
-   the postings of all terms of a phrase in the documents that hold its rarest
-   ones (proximity).
-
-Only built-in functions are used.  A document is known by its id and a hash of
-its text, so repeated rows get the same result and rows that share an id but
-not a text are kept apart.  Null texts have no words; null items never match;
-an item without words makes no phrase.
+2. Store the postings of the rarest term of every phrase: term, document,
+   position and the terms around that position, as far as a phrase can reach.
+   Each partition holds the postings of its own documents, sorted by term.
+3. Shift each posting by the term's offset in the phrase and intersect: the
+   second rarest term must stand at its offset, then all others (exact), or all
+   terms must stand close together (proximity).
+
+Nothing but matches leaves its partition.  Only built-in functions are used.  A
+document is known by its id and a hash of its text, so repeated rows get the
+same result and rows that share an id but not a text are kept apart.  Null texts
+have no words; a null item id marks words as hit but is no counted item; an item
+without words makes no phrase.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corpusloom.llm.common import small, text_of, written
 
 BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-RAREST = 3
 
 
 def lowered(word: Column) -> Column:
@@ -62,64 +61,51 @@ def phrases(items: DataFrame, id_column: str, text_column: str, window: int) ->
     rows = items.select(items[id_column].cast("string").alias("item"), words.alias("words")).filter(F.size("words") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - window + 1))
     rows = rows.select("item", "words", F.explode(starts).alias("at")).select("item", F.slice("words", F.col("at"), window).alias("terms"))
-    rows = written(rows.withColumn("phrase", F.sha2(F.concat_ws(" ", "terms"), 256)))
-    return rows.select("item", "phrase").distinct(), rows.select("phrase", "terms").distinct()
+    made = written(rows.select("terms").distinct().withColumn("phrase", F.monotonically_increasing_id()))
+    return rows.join(made, "terms").select("item", "phrase").distinct(), made
 
 
 def ranked_terms(rows: DataFrame, made: DataFrame) -> DataFrame:
-    """(phrase, offset, term, rank, n): the terms of each phrase from the rarest in all texts; phrases with an unseen term go."""
+    """(phrase, offset, term, rank): the terms of each phrase from the rarest in all texts; phrases with an unseen term go."""
     listed = made.select("phrase", F.size("terms").alias("n"), F.posexplode("terms").alias("offset", "term"))
     vocabulary = written(listed.select("term").distinct())
     counts = written(tokens(rows).join(small(vocabulary), "term", "left_semi").groupBy("term").count())
     found = listed.join(counts, "term")
     order = Window.partitionBy("phrase").orderBy("count", "offset")
     found = found.withColumn("rank", F.row_number().over(order)).withColumn("seen", F.count("*").over(Window.partitionBy("phrase")))
-    return written(found.filter("seen = n").select("phrase", "offset", "term", "rank", "n"))
+    return written(found.filter("seen = n").select("phrase", "offset", "term", "rank"))
 
 
-def postings(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """The stored index: term, doc, version, pos, each partition sorted by term."""
+def postings(rows: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
+    """The stored index: term, doc, version, pos, and the terms from position ``low`` on, up to ``reach`` on either side."""
     wanted = small(written(terms.select("term").distinct()))
-    return written(tokens(rows).join(wanted, "term", "left_semi").sortWithinPartitions("term", "doc", "pos"))
+    every = rows.select("doc", "version", "words", F.posexplode("words").alias("pos", "word")).filter("word <> ''").withColumn("term", lowered(F.col("word")))
+    low = F.greatest(F.col("pos") - reach, F.lit(0))
+    near = F.transform(F.slice("words", low + 1, F.col("pos") - low + reach + 1), lowered)
+    kept = every.join(wanted, "term", "left_semi").select("term", "doc", "version", "pos", low.alias("low"), near.alias("near"))
+    return written(kept.sortWithinPartitions("term", "doc", "pos"))
 
 
-def intersected(index: DataFrame, ranked: DataFrame, rarest: int) -> DataFrame:
-    """(doc, version, phrase, start) on which the offset-adjusted lists of the rarest terms agree."""
-    used = ranked.filter(F.col("rank") <= rarest)
-    bits = F.expr("bit_or(shiftleft(1, rank - 1))")
-    hits = index.join(small(used), "term").withColumn("start", F.col("pos") - F.col("offset")).filter("start >= 0")
-    hits = hits.groupBy("doc", "version", "phrase", "start").agg(bits.alias("bits"), F.first("n").alias("n"))
-    return hits.filter(F.col("bits") == F.expr(f"shiftleft(1, least(n, {rarest})) - 1")).select("doc", "version", "phrase", "start")
-
-
-def exact_matches(rows: DataFrame, made: DataFrame, rarest: int = RAREST) -> DataFrame:
+def exact_matches(rows: DataFrame, made: DataFrame, window: int = 10) -> DataFrame:
     """(doc, version, phrase, start, length) of every occurrence."""
     ranked = ranked_terms(rows, made)
-    candidates = written(intersected(postings(rows, ranked.filter(F.col("rank") <= rarest)), ranked, rarest))
-    candidates = candidates.select(F.col("doc").alias("_doc"), F.col("version").alias("_version"), "phrase", "start")
-    here = rows.join(small(candidates), F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("version") == F.col("_version")))
-    checked = here.join(small(made), "phrase")
-    n = F.size("terms")
-    same = F.transform(F.slice("words", F.col("start") + 1, n), lowered) == F.col("terms")
-    return checked.filter(same).select("doc", "version", "phrase", "start", n.alias("length")).distinct()
+    first, second = (ranked.filter(F.col("rank") == k).select("phrase", F.col("offset").alias(f"offset_{k}"), F.col("term").alias(f"term_{k}")) for k in (1, 2))
+    asked = written(first.join(second, "phrase", "left").join(made, "phrase").withColumnRenamed("term_1", "term"))
+    met = postings(rows, asked, window - 1).join(small(asked), "term").withColumn("start", F.col("pos") - F.col("offset_1"))
+    at = F.greatest(F.col("start") - F.col("low") + 1, F.lit(1))
+    met = met.filter((F.col("start") >= 0) & (F.col("term_2").isNull() | (F.try_element_at("near", at + F.col("offset_2")) == F.col("term_2"))))
+    same = F.slice("near", at, F.size("terms")) == F.col("terms")
+    return met.filter(same).select("doc", "version", "phrase", "start", F.size("terms").alias("length")).distinct()
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, slop: int, window: int = 10, id_column: str = "doc_id", text_column: str = "text",
-                      item_column: str = "item_id") -> DataFrame:
-    """(doc, version, phrase, start): all distinct terms of a phrase, in any order, within its length plus ``slop`` words from ``start``."""
+                      item_column: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc, version, phrase, terms): documents in which all terms of a phrase stand within ``slop`` words of its rarest one, in any order."""
     rows = documents(docs, id_column, text_column)
-    _, made = phrases(items, item_column, text_column, window)
-    ranked = ranked_terms(rows, made)
-    index = postings(rows, ranked)
-    listed = index.join(small(ranked.select("phrase", "term", "n").distinct()), "term")
-    sizes = ranked.groupBy("phrase").agg(F.countDistinct("term").alias("terms"))
-    around = Window.partitionBy("doc", "version", "phrase").orderBy("pos")
-    spans = [listed.filter(F.col("n") == n).withColumn("held", F.size(F.collect_set("term").over(around.rangeBetween(0, n + slop - 1))))
-             for n in range(1, window + 1)]
-    out = spans[0]
-    for more in spans[1:]:
-        out = out.unionByName(more)
-    return out.join(sizes, "phrase").filter("held = terms").select("doc", "version", "phrase", F.col("pos").alias("start")).distinct()
+    _, made = phrases(items, item_column, item_text, window)
+    asked = ranked_terms(rows, made).filter("rank = 1").select("phrase", "term").join(made, "phrase")
+    met = postings(rows, asked, slop).join(small(written(asked)), "term")
+    return met.filter(F.size(F.array_except("terms", "near")) == 0).select("doc", "version", "phrase", "terms").distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_column: str = "doc_id", text_column: str = "text",
@@ -127,7 +113,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_column
     """Per document: doc, version, n_words, n_hit (words inside occurrences) and the items that occur, sorted as strings."""
     rows = documents(docs, id_column, text_column)
     owners, made = phrases(items, item_column, item_text, window)
-    found = written(exact_matches(rows, made))
+    found = written(exact_matches(rows, made, window))
     key = ["doc", "version"]
     hit = found.select(*key, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("pos")).distinct().groupBy(*key).agg(F.count("*").alias("n_hit"))
     which = found.select(*key, "phrase").distinct().join(small(written(owners)), "phrase").select(*key, "item").distinct()
