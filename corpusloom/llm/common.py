@@ -6,8 +6,9 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# an estimate of 64 bytes for a small row keeps a broadcast below 64 MB
-BROADCAST_ROWS = 1_000_000
+from corpusloom.operators.sizing import size_in_bytes
+
+BROADCAST_BYTES = 64 << 20
 SALTS = 64
 
 
@@ -25,9 +26,17 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a written frame of small rows for broadcasting if its counted rows allow it, else leave it to a shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a written frame for broadcasting if its measured size allows it, else leave it to a shuffle."""
+    return F.broadcast(df) if size_in_bytes(df) <= most else df
 
 
 def spread_join(df: DataFrame, table: DataFrame, key: str, by: Column, salts: int = SALTS) -> DataFrame:

@@ -201,8 +201,9 @@ def fitted(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_c
     return vectors, Network(x, (rows["y"].to_numpy(float) >= 0.5).astype(float))
 
 
-def with_scores(docs: DataFrame, vectors: np.ndarray, network: Network, text_column: str = "text", score: str = "_score") -> DataFrame:
-    """The rows with their score in one more column."""
+def with_scores(docs: DataFrame, vectors: np.ndarray, network: Network, text_column: str = "text", score: str = "score") -> DataFrame:
+    """The rows with their score in one more column; it replaces one of that name."""
+    docs = docs.drop(score)
     schema = StructType([*docs.schema.fields, StructField(score, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
