@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 from corpusloom.llm import decontam, lang_crf, licenses, packing, quality, queries, url_filter
 
 SMALL = "/root/testdata/sf0.001"
+MIDDLE = "/root/testdata/sf0.01"
 SPLIT = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
 ODD = [(9001, None), (9002, ""), (9003, " \n\t "), (9004, "!!! 123 ???"), (9005, "x " * 5000), (9006, "… —"), (None, "null id"), (9002, "")]
@@ -199,6 +200,45 @@ def test_urls_follow_rules_and_models(spark):
     assert url_filter.judged(pages.limit(0)).collect() == []
 
 
+def url_scores(urls, order):
+    """Mean log ratio per character by plain dictionaries, and the threshold."""
+    verdict = dict(url_filter.RULES)
+    n = Counter("".join(judged(u)[:2]) for u in urls)
+    label = {"".join(judged(u)[:2]): verdict.get(judged(u)[2]) for u in urls}
+    held = {t: zlib.crc32(t.encode()) % url_filter.HELD == 0 for t in n}
+    cut = lambda t, k: [("\x02" * order + t + "\x03")[i - k : i + 1] for i in range(order, order + len(t) + 1)]
+    counts = {c: [Counter() for _ in range(order + 1)] for c in ("allow", "block")}
+    for t, times in n.items():
+        if label[t] and not held[t]:
+            for k in range(order + 1):
+                for g in cut(t, k):
+                    counts[label[t]][k][g] += times
+
+    def chance(c, g):
+        low = 1 / 256 if len(g) == 1 else chance(c, g[1:])
+        here = counts[c][len(g) - 1]
+        followers = [v for x, v in here.items() if x[:-1] == g[:-1]]
+        return (here[g] + len(followers) * low) / (sum(followers) + len(followers)) if followers else low
+
+    scores = {t: sum(np.log(chance("allow", g)) - np.log(chance("block", g)) for g in cut(t, order)) / (len(t) + 1) for t in n}
+    by = {c: np.array([scores[t] for t in n if held[t] and label[t] == c]) for c in ("allow", "block")}
+    if not all(map(len, by.values())):
+        return scores, 0.0
+    spread = {c: x.std() + 1e-6 for c, x in by.items()}
+    least = (by["allow"].mean() * spread["block"] + by["block"].mean() * spread["allow"]) / sum(spread.values())
+    return scores, least
+
+
+def test_url_query_equals_plain_models(spark):
+    urls = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{MIDDLE}/pages.parquet").collect()}
+    scores, least = url_scores(list(urls.values()), url_filter.ORDER)
+    for r in queries.QUERIES["op10_url_filter"](spark, MIDDLE).collect():
+        host, path, rule = judged(urls[r["page_id"]])
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
+        assert abs(r["score"] - scores[host + path]) < 1e-9
+        assert r["verdict"] == (dict(url_filter.RULES).get(rule) or ("allow" if scores[host + path] >= least else "block"))
+
+
 @pytest.mark.parametrize("name", [n for n in queries.QUERIES if n in queries.SQL])
 def test_queries_equal_their_sql(spark, name):
     import duckdb

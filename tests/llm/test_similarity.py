@@ -4,9 +4,10 @@ import hashlib
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import exact_dedup, jaccard_join, line_dedup, repeats
+from corpusloom.llm import exact_dedup, jaccard_join, line_dedup, queries, repeats
 from corpusloom.llm.textkernel import shingle_sets
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -170,7 +171,9 @@ def line_matches(rows, percent, least):
     return gone
 
 
-def test_lines_equal_brute_force(documents):
+@pytest.mark.parametrize("hot", [64, 2])
+def test_lines_equal_brute_force(documents, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
     rows = corpus(seed=5) + [(700, "the same line here\nTHE same line here\nother words stand now\n\nthe same line"), (701, None), (702, "a b\na b\na b c\n a  b c ")]
     want = line_matches(rows, 80, 3)
     got = line_dedup.without_similar_lines(documents(rows)).collect()
@@ -188,3 +191,18 @@ def test_empty_tables(documents):
     assert exact_dedup.exact_groups(empty).collect() == []
     assert repeats.kept_texts(repeats.repeated_bytes(empty)).collect() == []
     assert line_dedup.without_similar_lines(empty).collect() == []
+
+
+def test_queries_equal_brute_force_on_whole_tables(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    sets = [(d, shingles(t)) for d, t in rows]
+    want = [(d, len(s), c) for (d, s), c in zip(sets, closed(sets, 80))]
+    assert sorted(map(tuple, queries.QUERIES["op1_jaccard_join"](spark, folder).collect())) == sorted(want)
+    assert sorted(map(tuple, queries.QUERIES["op5_repeats"](spark, folder).collect())) == sorted(removed(rows, 50))
+    gone = line_matches(rows, 80, 3)
+    for r in queries.QUERIES["op3_line_dedup"](spark, folder).collect():
+        lines = (dict(rows)[r["doc_id"]] or "").split("\n")
+        mine = [i for i in range(len(lines)) if (r["doc_id"], i) in gone]
+        kept = "\n".join(x for i, x in enumerate(lines) if i not in mine)
+        assert tuple(r) == (r["doc_id"], len(lines), len(mine), ",".join(map(str, mine)), hashlib.sha256(kept.encode()).hexdigest())
