@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom import lexicon
 from corpusloom.functions.text import split_words, strip
-from corpusloom.functions.words import matches_any, words
+from corpusloom.functions.words import let, matches_any, words
 from corpusloom.operators.ordering import numbered, running_sum
 from corpusloom.operators.sizing import best
 from corpusloom.settings import DEFAULTS
@@ -64,13 +64,23 @@ def parsed_timestamp(date: Column, time: Column) -> Column:
 
 
 def parsed_line(line: Column) -> Column:
-    """struct<ts, sender, text> of the first pattern whose date can be read, else null."""
+    """struct<ts, sender, text> of the first pattern that fits, if its date can be read, else null.
+
+    Patterns that fit the same line agree on its date, so one date and one time
+    are read per line.
+    """
     tries = []
     for pattern in lexicon.CHAT_LINE_PATTERNS:
         part = lambda i: F.regexp_extract(line, "(?i)" + pattern, i)  # noqa: B023, E731
-        ts = F.when(part(1) != "", parsed_timestamp(part(1), part(2)))
-        tries.append(F.when(ts.isNotNull(), F.struct(ts.alias("ts"), part(3).alias("sender"), part(4).alias("text"))))
-    return F.coalesce(*tries)
+        tries.append(F.when(part(1) != "", F.struct(part(1).alias("date"), part(2).alias("time"), part(3).alias("sender"), part(4).alias("text"))))
+
+    def read(x: Column) -> Column:
+        return let(
+            F.when(x.isNotNull(), parsed_timestamp(x["date"], x["time"])),
+            lambda ts: F.when(ts.isNotNull(), F.struct(ts.alias("ts"), x["sender"].alias("sender"), x["text"].alias("text"))),
+        )
+
+    return let(F.coalesce(*tries), read)
 
 
 def is_system_line(line: Column) -> Column:
