@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from corpusloom.llm.common import small, spread_join, text_of, written
@@ -60,7 +61,7 @@ class Bands:
         self.far = [apart(2 * (edge - 1), percent) for edge in EDGES[1:]]
         self.slack = [-(-d * 12 // 100) + 1 for d in self.far]
         self.blocks = [d + 1 + s for d, s in zip(self.far, self.slack)]
-        self.words = [max(1, -(-4 * d // 64)) for d in self.far]
+        self.words = [max(1, -(-8 * d // 64)) for d in self.far]
         self.least = min((n for n in range(1, 101) if apart(2 * n + 1, percent) >= 1), default=101)
 
     def of(self, n: int) -> list[int]:
@@ -148,10 +149,10 @@ def signature_rows(docs: DataFrame, bands: Bands, width: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "sig bigint, node bigint")
 
 
-def shared_signatures(rows: DataFrame) -> DataFrame:
-    """Rows of signatures that several nodes have: the first node as leader, and whether more than HOT have it.
+def shared_signatures(rows: DataFrame, most: int = HOT) -> DataFrame:
+    """Rows of signatures that several nodes have: the first node as leader, and whether more than ``most`` have it.
 
-    Reads sorted rows as a stream; what is held of a signature is at most HOT rows.
+    Reads sorted rows as a stream; what is held of a signature is at most ``most`` rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,11 +185,11 @@ def shared_signatures(rows: DataFrame) -> DataFrame:
             size = np.diff(np.append(first, len(sig)))
             keep = size > 1
             held_sig, held, hot = sig[-1], node[first[-1] :], False
-            if size[-1] <= HOT:
+            if size[-1] <= most:
                 keep[-1] = False  # may go on in the next batch
             else:
                 hot, leader, last = True, node[first[-1]], node[-1]
-            many, lead = np.repeat(size > HOT, size), np.repeat(node[first], size)
+            many, lead = np.repeat(size > most, size), np.repeat(node[first], size)
             use = np.repeat(keep, size)
             if use.any():
                 yield rows_of(sig[use], node[use], lead[use], many[use])
@@ -299,48 +300,65 @@ def cross_pairs(shared: DataFrame, label: DataFrame, nodes: DataFrame, percent:
     return pairs.unionByName(hot_pairs(rows.filter("hot"), nodes, percent))
 
 
+class Packet:
+    """Nodes, roots and sizes of some sets, and by width the sketches with the row that each belongs to."""
+
+    def __init__(self, rows: pa.StructArray):
+        node, root, n, *sketches = rows.flatten()
+        self.node, self.root, self.n = node.to_numpy(), root.to_numpy(), n.to_numpy()
+        held: dict[int, list] = {}
+        for column in sketches:
+            width = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+            flat, start = column.flatten().to_numpy(), np.cumsum(width) - width
+            for w in np.unique(width[width > 0]).tolist():
+                at = np.flatnonzero(width == w)
+                held.setdefault(w, []).append((at, flat[start[at][:, None] + np.arange(w)]))
+        self.sketches = {w: tuple(np.concatenate(x) for x in zip(*parts)) for w, parts in held.items()}
+
+
+def near_pairs(left: Packet, right: Packet, percent: int, step: int = 64) -> np.ndarray:
+    """Pairs of nodes of different roots within the size and Hamming bounds."""
+    out = [np.zeros((0, 2), np.int64)]
+    for w in left.sketches.keys() & right.sketches.keys():
+        rows, table = left.sketches[w]
+        at, other = right.sketches[w]
+        for k in range(0, len(rows), step):
+            i = rows[k : k + step]
+            n, m = left.n[i][:, None], right.n[at][None, :]
+            ok = (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent) & (left.root[i][:, None] != right.root[at][None, :])
+            some = np.flatnonzero(ok.any(axis=0))
+            if not len(some):
+                continue
+            differ = np.bitwise_count((table[k : k + step, None, :] ^ other[None, some, :]).view(np.uint64)).sum(axis=2, dtype=np.int64)
+            x, y = np.nonzero(ok[:, some] & (differ <= (n + m[:, some]) * (100 - percent) // (100 + percent)))
+            out.append(np.stack((left.node[i[x]], right.node[at[some[y]]]), axis=1))
+    return np.unique(np.concatenate(out), axis=0)
+
+
 def hot_pairs(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs within the Hamming bound among nodes that share hot signatures, compared packet by packet.
 
-    All signatures with the same leader are one group.  Packets of nodes outside
-    the leader's component meet every packet of the group.
+    Signatures go together by the component that most of their nodes have, so a
+    pair is met about once however many signatures it shares.  Packets of nodes
+    outside that component meet every packet of the group.
     """
-    group = written(rows.select("leader", "node", "root").distinct().join(nodes.select("node", "n", "own", "next"), "node"))
-    sizes = group.groupBy("leader").agg(
-        F.ceil(F.count("*") / PACKET).alias("packets"), F.max(F.when(F.col("leader") == F.col("node"), F.col("root"))).alias("main"))
-    dealt = group.join(sizes, "leader").withColumn("packet", F.pmod(F.xxhash64("node"), "packets"))
+    main = rows.groupBy("sig", "root").count().groupBy("sig").agg(F.max_by("root", F.struct("count", "root")).alias("grp"))
+    group = rows.join(main, "sig").select("grp", "node", "root").distinct()
+    group = written(group.join(nodes.select("node", "n", "own", "next"), "node"))
+    sizes = group.groupBy("grp").agg(F.ceil(F.count("*") / PACKET).alias("packets"))
+    dealt = group.join(sizes, "grp").withColumn("packet", F.pmod(F.xxhash64("node"), "packets"))
     packed = F.collect_list(F.struct("node", "root", "n", "own", "next"))
-    inside = dealt.groupBy("leader", "packet").agg(packed.alias("right"))
-    outside = dealt.filter(~F.col("root").eqNullSafe(F.col("main"))).groupBy("leader", F.col("packet").alias("of")).agg(packed.alias("left"))
+    inside = dealt.groupBy("grp", "packet").agg(packed.alias("right"))
+    outside = dealt.filter("root <> grp").groupBy("grp", F.col("packet").alias("of")).agg(packed.alias("left"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for left, right in zip(batch.column("left"), batch.column("right")):
-                found: list[tuple[int, int]] = []
-                left, right = left.as_py(), right.as_py()
-                n, root = np.array([x["n"] for x in right]), np.array([x["root"] for x in right])
-                held: dict[int, list[tuple[int, list[int]]]] = {}
-                for i, x in enumerate(right):
-                    for sketch in (x["own"], x["next"]):
-                        if sketch is not None:
-                            held.setdefault(len(sketch), []).append((i, sketch))
-                packs = {k: (np.array([i for i, _ in v]), np.array([s for _, s in v], np.int64)) for k, v in held.items()}
-                for x in left:
-                    for sketch in (x["own"], x["next"]):
-                        if sketch is None or len(sketch) not in packs:
-                            continue
-                        at, table = packs[len(sketch)]
-                        size = n[at]
-                        ok = (root[at] != x["root"]) & (np.minimum(size, x["n"]) * 100 >= np.maximum(size, x["n"]) * percent)
-                        at, table, size = at[ok], table[ok], size[ok]
-                        differ = np.bitwise_count((table ^ np.array(sketch, np.int64)).view(np.uint64)).sum(axis=1, dtype=np.int64)
-                        near = at[differ <= (size + x["n"]) * (100 - percent) // (100 + percent)]
-                        found += [(x["node"], right[i]["node"]) for i in near]
-                if found:
-                    a, b = np.array(found, np.int64).T
-                    yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    met = outside.join(inside, "leader").select("left", "right")
+                found = near_pairs(Packet(left.values), Packet(right.values), percent)
+                if len(found):
+                    yield pa.record_batch([pa.array(found.min(axis=1)), pa.array(found.max(axis=1))], names=["a", "b"])
+
+    met = outside.join(inside, "grp").select("left", "right")
     return met.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
@@ -364,12 +382,12 @@ def links(docs: DataFrame, percent: int = 80, width: int = WIDTH) -> tuple[DataF
 
 
 def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 80, width: int = WIDTH) -> DataFrame:
-    """One row per document: ``id``, ``n`` shingles and ``component``, the smallest id reachable over links."""
+    """One row per document: ``id``, ``key`` (text hash), ``n`` shingles and ``component``, the smallest id reachable over links."""
     rows = docs.select(docs[id_column].alias("id"), text_of(docs, text_column).alias("text"))
     seen, nodes, linked = links(rows, percent, width)
     label = components(linked)
     placed = with_component(nodes.select("node", "id"), label)
     least = placed.groupBy("root").agg(F.min("id").alias("component"))
     table = placed.join(least, "root").select("node", "component")
-    out = spread_join(seen.select("id", "node", "n"), table, "node", F.xxhash64("id"))
-    return out.select("id", "n", F.coalesce("component", "id").alias("component"))
+    out = spread_join(seen.select("id", "key", "node", "n"), table, "node", F.xxhash64("id"))
+    return out.select("id", "key", "n", F.coalesce("component", "id").alias("component"))
