@@ -188,7 +188,10 @@ def fitted(known: DataFrame, sample: int = SAMPLE, seed: int = 3) -> Field | Non
     if not languages:
         return None
     field = Field(languages, lexicon(known.select("text", "lang"), languages, RARE))
-    rows = known.orderBy(F.xxhash64("id", "text")).limit(sample).select("text", "lang").toPandas()
+    # the sample is chosen by hashes alone, so that tasks send no more than those; then its texts are fetched
+    chosen = F.xxhash64("id", "text")
+    keys = written(known.select(chosen.alias("chosen")).orderBy("chosen").limit(sample))
+    rows = known.withColumn("chosen", chosen).join(F.broadcast(keys), "chosen", "left_semi").dropDuplicates(["chosen"]).orderBy("chosen").select("text", "lang").toPandas()
     rng = np.random.default_rng(seed)
     texts, spelled, chains, truth = pa.array(rows["text"]), {}, [], []
     for row, end, data, offsets in pieces(texts):
