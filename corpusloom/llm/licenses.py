@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corpusloom.llm.common import text_of
+from corpusloom.llm.common import text_of, written
 from corpusloom.llm.textkernel import LOWER, pieces, runs, span_hashes, word_bounds
 
 FEATURES = 1 << 16
@@ -167,7 +167,10 @@ def background(docs: DataFrame, text_column: str, sample: int) -> list[str]:
     """Paragraphs without distinctive words, at most ``sample``, the same ones for the same rows."""
     lines = docs.select(F.explode(F.split(text_of(docs, text_column), "\n")).alias("line")).filter(F.length(F.trim("line")) > 0)
     lines = lines.filter(~F.lower("line").rlike("|".join(DISTINCTIVE)) & (F.length("line") <= EXAMPLE))
-    return [r["line"] for r in lines.orderBy(F.xxhash64("line"), "line").limit(sample).collect()]
+    # chosen by hashes alone, so that tasks send no more than those
+    keys = written(lines.select(F.xxhash64("line").alias("chosen")).distinct().orderBy("chosen").limit(sample))
+    rows = lines.withColumn("chosen", F.xxhash64("line")).join(F.broadcast(keys), "chosen", "left_semi").distinct()
+    return [r["line"] for r in rows.orderBy("chosen", "line").limit(sample).collect()]
 
 
 def licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", sample: int = SAMPLE) -> DataFrame:
