@@ -30,8 +30,11 @@ from corpusloom.llm.common import text_of, written
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_WORDS = 300_000
-BLANKS = re.compile(r"[ \t\n]+")
+CACHED_WORDS = 900_000
+ROWS = 1000
+# fixed values: the vocabulary's pattern for lower-case text of ASCII and Latin letters, and such text
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t\n\r\x0b\x0ca-zß-öø-ÿ0-9]+")
+PLAIN = re.compile(r"[\x00-\x7FÀ-ÖØ-öø-ÿ]*\Z")
 
 Pattern = tuple[int, list[tuple[int, int]]]  # times, [(length, copies)]
 
@@ -40,26 +43,49 @@ class WordIds:
     """Ids of texts as little-endian 32-bit bytes.
 
     The vocabulary drops white space and no token reaches across it, so the ids
-    of a text are those of its words between blanks, of which frequent ones are
-    remembered.
+    of a text are those of its words between blanks.  A word of plain letters,
+    digits and signs is made of parts that the vocabulary's own pattern cuts, and
+    every part ends with a token that is marked as an end, so many new parts are
+    looked up in one call.  Words and parts are remembered by the worker process.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.held = Tokenizer.from_file(path), {"": b""}
-
-    def of(self, text: str) -> bytes:
-        words = BLANKS.split(text)
-        try:
-            return b"".join(map(self.held.__getitem__, words))
-        except KeyError:
-            if len(self.held) > CACHED_WORDS:
-                self.held = {"": b""}
-            new = list({w for w in words if w not in self.held})
-            for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                self.held[word] = np.array(found.ids, "<u4").tobytes()
-            return b"".join(map(self.held.__getitem__, words))
+        self.tokenizer = Tokenizer.from_file(path)
+        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+        # on a module that stays loaded, so that later tasks of the process find it
+        self.words, self.parts = public_tokenizers.__dict__.setdefault("_remembered", {}).setdefault(path, ({}, {}))
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        cut = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+        for held in (self.words, self.parts):
+            if len(held) > CACHED_WORDS:
+                held.clear()
+        held = self.words
+        self.learn({w for words in cut for w in words if w not in held})
+        return [b"".join(map(held.__getitem__, words)) for words in cut]
+
+    def learn(self, words: set[str]) -> None:
+        cut = {w: PARTS.findall(w.lower()) for w in words if PLAIN.match(w) and "<|" not in w}
+        new = list({p for parts in cut.values() for p in parts if p not in self.parts})
+        for k in range(0, len(new), 20_000):
+            some = new[k : k + 20_000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else ids
+            if len(stops) != len(some):
+                raise ValueError("the vocabulary does not mark the end of every part")
+            whole, at = ids.tobytes(), 0
+            for part, stop in zip(some, stops.tolist()):
+                self.parts[part] = whole[4 * at : 4 * stop]
+                at = stop
+        for w, parts in cut.items():
+            self.words[w] = b"".join(map(self.parts.__getitem__, parts))
+        rest = [w for w in words if w not in cut]
+        for w, found in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)):
+            self.words[w] = np.array(found.ids, "<u4").tobytes()
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
@@ -71,8 +97,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
         ids, task, met = WordIds(tokenizer), TaskContext.get().partitionId(), Counter()
         for batch in batches:
             out = []
-            for doc, text in zip(batch.column("id").to_pylist(), batch.column("text")):
-                whole = ids.of(text.as_py()) + end
+            texts = batch.column("text")
+            made = (x for k in range(0, batch.num_rows, ROWS) for x in ids.of(texts.slice(k, ROWS).to_pylist()))
+            for doc, found in zip(batch.column("id").to_pylist(), made):
+                whole = found + end
                 for i, at in enumerate(range(0, len(whole), 4 * capacity)):
                     part = whole[at : at + 4 * capacity]
                     n = len(part) // 4
