@@ -6,14 +6,17 @@ which is still one order for all).  Two sets of similarity t or more share a
 token within the first |x| - ceil(t |x|) + 1 of each (prefix filter).
 
 1. Equal sets are one set; its place is its first occurrence.
-2. Prefix tokens that only one set has are dropped.
-3. Each set meets the first set of its token (a star, linear in the rows); the
-   later of two similar sets is settled: its lines go.
-4. Sets not settled meet the other sets of their tokens under the length filter
-   and the positional filter (words left after the shared token bound the
-   overlap), so members of a group of near copies are not paired with each
-   other.
-5. Candidates are verified on the words.
+2. Rows of prefix tokens are sorted by token and size and read as a stream.  Sets
+   that share a token are candidates if they pass the length filter, the
+   positional filter (words left after the shared token bound the overlap) and a
+   bitmap filter (64 parity bits, whose Hamming distance bounds the words in
+   which two sets differ).
+3. A token with many candidates per set (a group of near copies), or with more
+   sets than a task holds, gives out its rows instead.  There each set meets the
+   first one; the later of two similar sets is settled: its lines go.  Sets not
+   settled then meet the other sets of such tokens under the same filters, so
+   members of a group of near copies are not paired with each other.
+4. Candidates are verified on the words.
 
 A line goes if an earlier line, by (id, line number), has a similarity of t or
 more, judged on the input: also a line that goes makes later ones go.  Lines of
@@ -30,69 +33,86 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from corpusloom.llm.common import small, text_of, written
-from corpusloom.llm.jaccard_join import fingerprint
-from corpusloom.llm.textkernel import LOWER, SPACE, pieces, span_hashes, word_bounds
+from corpusloom.llm.common import fresh, small, text_of, written
+from corpusloom.llm.textkernel import LOWER, SPACE, mix, mixed, pieces, span_hashes, word_bounds
 
 PERCENT = 80
 MIN_WORDS = 3
 RARE = 1_000_000
 BREAK = 10
+HELD = 10_000
+DENSE = 8
+NO_ID = -(1 << 63)
 
 
-def line_words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For pieces of a text column: first row, (row, line number) per line with words, word hashes, and each line's first word."""
-    for row, end, data, offsets in pieces(column):
+class Lines:
+    """The word sets of the lines of one piece of a text column, as one sorted array.
+
+    ``where`` has (row, line number) per line, ``word`` the distinct words of the
+    piece from rare to frequent, ``rank`` the words of all lines as places in it,
+    each line's from the rarest, ``first`` the start of each line in ``rank``.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, common: tuple[np.ndarray, np.ndarray] | None = None):
         low = LOWER[data]
         starts, ends, _ = word_bounds(SPACE[low], offsets)
-        if not len(starts):
-            continue
-        words = span_hashes(low, starts, ends)
         breaks = np.flatnonzero(data == BREAK)
-        of = np.searchsorted(offsets, starts, "right") - 1
-        line = np.searchsorted(breaks, starts) - np.searchsorted(breaks, offsets[:-1])[of]
-        first = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (line[1:] != line[:-1]))))
-        yield row, np.stack((of[first], line[first])), words, np.append(first, len(words))
+        row = np.searchsorted(offsets, starts, "right") - 1
+        number = np.searchsorted(breaks, starts) - np.searchsorted(breaks, offsets[:-1])[row]
+        new = np.concatenate(([True], (row[1:] != row[:-1]) | (number[1:] != number[:-1])))[: len(starts)]
+        self.where = np.stack((row[new], number[new]))
+        self.word, at, self.times = np.unique(span_hashes(low, starts, ends), return_inverse=True, return_counts=True)
+        if common is not None:
+            order = np.argsort(rarity(self.word, common))
+            self.word, place = self.word[order], np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            at = place[at]
+        cell = np.sort(((np.cumsum(new) - 1) << 32) | at)
+        cell = cell[np.concatenate(([True], cell[1:] != cell[:-1]))[: len(cell)]]
+        self.rank, line = cell & 0xFFFFFFFF, cell >> 32
+        self.first = np.searchsorted(line, np.arange(self.where.shape[1] + 1))
+        self.size = np.diff(self.first)
+        odd = mix(self.word ^ np.uint64(mixed(7)))
+        parts = odd[self.rank]
+        flips = (np.uint64(1) << (odd & np.uint64(63)))[self.rank]
+        self.bits = (np.bitwise_xor.reduceat(flips, self.first[:-1]) if len(flips) else np.zeros(0, np.uint64)).view(np.int64)
+        sums = np.add.reduceat(parts, self.first[:-1]) if len(parts) else np.zeros(0, np.uint64)
+        self.node = mix(sums + self.size.astype(np.uint64)).view(np.int64)
 
 
 def line_sets(docs: DataFrame) -> DataFrame:
-    """(id, line, node, n): the word set of each line and its size."""
+    """Rows of lines (id, line, node, n) and of words (word, n), the words added up per task."""
+    names = ["id", "line", "node", "word", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
-            ids = batch.column("id")
-            for row, where, words, first in line_words(batch.column("text")):
-                sets = [np.unique(words[a:b]) for a, b in zip(first[:-1], first[1:])]
+            ids, words, counts = batch.column("id"), [word], [times]
+            for row, _, data, offsets in pieces(batch.column("text")):
+                x = Lines(data, offsets)
+                words.append(x.word)
+                counts.append(x.times)
                 yield pa.record_batch(
-                    [ids.take(pa.array(where[0] + row)), pa.array(where[1].astype(np.int32)), pa.array([fingerprint(s) for s in sets], pa.int64()),
-                     pa.array([len(s) for s in sets], pa.int32())], names=["id", "line", "node", "n"])
-
-    return docs.select("id", "text").mapInArrow(run, "id bigint, line int, node bigint, n int")
-
+                    [ids.take(pa.array(x.where[0] + row)), pa.array(x.where[1].astype(np.int32)), pa.array(x.node), pa.nulls(len(x.node), pa.int64()),
+                     pa.array(x.size)], names=names)
+            word, at = np.unique(np.concatenate(words), return_inverse=True)
+            times = np.bincount(at, np.concatenate(counts), len(word)).astype(np.int64)
+        no = lambda kind: pa.nulls(len(word), kind)
+        yield pa.record_batch([no(pa.int64()), no(pa.int32()), no(pa.int64()), pa.array(word.view(np.int64)), pa.array(times)], names=names)
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n), added up per piece of text before the shuffle."""
+    return docs.select("id", "text").mapInArrow(run, "id bigint, line int, node bigint, word bigint, n bigint")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = []
-            for _, _, words, _ in line_words(batch.column("text")):
-                held.append(words)
-            if held:
-                word, n = np.unique(np.concatenate(held), return_counts=True)
-                yield pa.record_batch([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
-
-    return docs.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
-
-def common_words(docs: DataFrame, rare: int = RARE) -> np.ndarray:
-    """Hashes of the words that make up at least one in ``rare`` (so at most ``rare`` of them), from the rarest."""
-    counts = written(word_counts(docs))
+def common_words(counts: DataFrame, rare: int = RARE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) of the words that make up at least one in ``rare``, so at most ``rare`` of them, and their places from the rarest."""
     total = counts.agg(F.sum("n")).first()[0] or 0
-    rows = counts.filter(F.col("n") * rare >= total).orderBy("n", "word").select("word").toPandas()
-    return rows["word"].to_numpy(np.int64).view(np.uint64)
+    words = counts.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") * rare >= total)
+    rows = words.toPandas().sort_values(["n", "word"])
+    names = rows["word"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(names)
+    return names[order], order.astype(np.uint64)
 
 
 def rarity(words: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -106,104 +126,170 @@ def rarity(words: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarr
     return key
 
 
-def prefix_rows(docs: DataFrame, frequent: np.ndarray, percent: int, least: int) -> DataFrame:
-    """(token, node, id, line, n, at): the prefix of each line's set, once per set and task."""
-    order = np.argsort(frequent)
-    common = (frequent[order], order.astype(np.uint64))
+def prefix_rows(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], percent: int, least: int) -> DataFrame:
+    """(token, id, node, size, bits): the prefix of each line's set, once per set and task; size is packed with the token's place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             ids = batch.column("id")
-            for row, where, words, first in line_words(batch.column("text")):
-                key = rarity(words, common)
-                out: list[list[np.ndarray]] = [[], [], [], []]
-                for i, (a, b) in enumerate(zip(first[:-1], first[1:])):
-                    node = fingerprint(np.unique(words[a:b]))
-                    if node in seen:
-                        continue
-                    seen.add(node)
-                    mine = np.unique(key[a:b])
-                    n = len(mine)
-                    if n < least:
-                        continue
-                    k = n - -(-n * percent // 100) + 1
-                    out[0].append(mine[:k].view(np.int64))
-                    out[1].append(np.full(k, node, np.int64))
-                    out[2].append(np.full(k, i))
-                    out[3].append(np.full(k, n, np.int32))
-                if not out[0]:
-                    continue
-                token, node, i, n = (np.concatenate(x) for x in out)
-                at = np.concatenate([np.arange(len(x), dtype=np.int32) for x in out[0]])
+            for row, _, data, offsets in pieces(batch.column("text")):
+                x = Lines(data, offsets, common)
+                use = x.size >= least
+                for i in np.flatnonzero(use):
+                    if (node := int(x.node[i])) in seen:
+                        use[i] = False
+                    else:
+                        seen.add(node)
+                keep = np.where(use, x.size - -(-x.size * percent // 100) + 1, 0)
+                line = np.repeat(np.arange(len(keep)), keep)
+                at = np.arange(len(line)) - np.repeat(np.cumsum(keep) - keep, keep)
                 yield pa.record_batch(
-                    [pa.array(token), pa.array(node), ids.take(pa.array(where[0][i] + row)), pa.array(where[1][i].astype(np.int32)), pa.array(n), pa.array(at)],
-                    names=["token", "node", "id", "line", "n", "at"])
+                    [pa.array(x.word[x.rank[x.first[line] + at]].view(np.int64)), ids.take(pa.array(x.where[0][line] + row)), pa.array(x.node[line]),
+                     pa.array(x.size[line] << 32 | at), pa.array(x.bits[line])], names=["token", "id", "node", "size", "bits"])
+
+    return docs.select("id", "text").mapInArrow(run, "token bigint, id bigint, node bigint, size bigint, bits bigint")
+
+
+def near(size_x, size_y, bits_x, bits_y, percent: int) -> np.ndarray:
+    """Length, positional and bitmap filter on arrays."""
+    nx, ny, room_x, room_y = size_x >> 32, size_y >> 32, (size_x >> 32) - (size_x & 0xFFFFFFFF), (size_y >> 32) - (size_y & 0xFFFFFFFF)
+    total = nx + ny
+    ok = (np.minimum(nx, ny) * 100 >= np.maximum(nx, ny) * percent) & (np.minimum(room_x, room_y) * (100 + percent) >= total * percent)
+    differ = np.bitwise_count((bits_x ^ bits_y).view(np.uint64)).astype(np.int64)
+    return ok & (differ * (100 + percent) <= total * (100 - percent))
+
+
+def candidates(rows: DataFrame, percent: int, most: int, dense: int) -> DataFrame:
+    """(x, y) pairs of sets to verify; and, of tokens with more than ``most`` sets or ``dense`` candidates per set, rows (token, x, size, bits) with the id as y.
+
+    Reads sorted rows as a stream; what is held of a token is at most ``most`` rows and a batch.
+    """
+    names = ["token", "x", "y", "size", "bits"]
+
+    def pairs(x, y):
+        return pa.record_batch([pa.nulls(len(x), pa.int64()), pa.array(x), pa.array(y), pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.int64())], names=names)
+
+    def members(token, node, ids, size, bits):
+        return pa.record_batch([pa.array(token), pa.array(node), pa.array(ids, mask=ids == NO_ID), pa.array(size), pa.array(bits)], names=names)
+
+    def close(columns):
+        """What the complete tokens of these rows give."""
+        token, node, _, size, bits = columns
+        n = len(token)
+        group = np.cumsum(np.concatenate(([0], token[1:] != token[:-1]))) if n else token
+        sets = np.bincount(group) if n else group
+        full = sets > most
+        count, i, d, left, right = np.zeros(len(sets), np.int64), np.arange(n), 0, [], []
+        while len(i):
+            d += 1
+            i = i[i + d < n]
+            # sizes ascend within a token, so a set that is too small for one partner is too small for all later ones
+            i = i[(group[i] == group[i + d]) & ~full[group[i]] & ((size[i] >> 32) * 100 >= (size[i + d] >> 32) * percent)]
+            hit = i[near(size[i], size[i + d], bits[i], bits[i + d], percent) & (node[i] != node[i + d])]
+            if len(hit):
+                left.append(hit)
+                right.append(hit + d)
+                count += np.bincount(group[hit], minlength=len(sets))
+                full |= count > dense * sets
+        if left:
+            x, y = np.concatenate(left), np.concatenate(right)
+            use = ~full[group[x]]
+            yield pairs(node[x[use]], node[y[use]])
+        if full.any():
+            yield members(*[c[full[group]] for c in columns])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, open_token = [np.zeros(0, np.int64)] * 5, None
+        for batch in batches:
+            new = [batch.column(c).fill_null(NO_ID).to_numpy() for c in ("token", "node", "id", "size", "bits")]
+            if open_token is not None:  # more rows of a token that is too large to be held
+                k = int(np.searchsorted(new[0], open_token, "right"))
+                if k:
+                    yield members(*[c[:k] for c in new])
+                new = [c[k:] for c in new]
+                if not len(new[0]):
+                    continue
+                open_token = None
+            columns = [np.concatenate((a, b)) for a, b in zip(held, new)]
+            if not len(columns[0]):
+                continue
+            last = int(np.searchsorted(columns[0], columns[0][-1]))
+            if len(columns[0]) - last > most:
+                open_token, last = columns[0][-1], len(columns[0])
+            yield from close([c[:last] for c in columns])
+            held = [c[last:] for c in columns]
+        yield from close(held)
 
-    return docs.select("id", "text").mapInArrow(run, "token bigint, node bigint, id bigint, line int, n int, at int")
+    sorted_ = rows.repartition("token").sortWithinPartitions("token", "size", "node").select("token", "node", "id", "size", "bits")
+    return sorted_.mapInArrow(run, "token bigint, x bigint, y bigint, size bigint, bits bigint")
 
 
 def may_match(x: str, y: str, percent: int):
-    """Length and positional filter on columns n_x, at_x, n_y, at_y."""
-    nx, ny = F.col(f"n_{x}"), F.col(f"n_{y}")
+    """Length, positional and bitmap filter on columns size (packed with the token's place) and bits."""
+    nx, ny = (F.shiftright(f"size_{s}", 32) for s in (x, y))
+    at_x, at_y = (F.col(f"size_{s}").bitwiseAND(0xFFFFFFFF) for s in (x, y))
     overlap = F.ceil((nx + ny) * percent / (100 + percent))
-    room = 1 + F.least(nx - F.col(f"at_{x}"), ny - F.col(f"at_{y}")) - 1
-    return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (room >= overlap)
+    differ = F.bit_count(F.col(f"bits_{x}").bitwiseXOR(F.col(f"bits_{y}")))
+    return (
+        (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (F.least(nx - at_x, ny - at_y) >= overlap)
+        & (differ * (100 + percent) <= (nx + ny) * (100 - percent))
+    )
 
 
-def word_sets(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
-    """(node, words): the sorted hashes of the wanted sets."""
+def word_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, words): the sorted word hashes of lines at known places; ``wanted`` has id and lines (numbers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
-            for _, _, words, first in line_words(batch.column("text")):
-                nodes, held = [], []
-                for a, b in zip(first[:-1], first[1:]):
-                    mine = np.unique(words[a:b])
-                    if len(mine) >= least and (node := fingerprint(mine)) not in seen:
-                        seen.add(node)
-                        nodes.append(node)
-                        held.append(mine.view(np.int64))
-                yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(held, pa.list_(pa.int64()))], names=["node", "words"])
+            texts = [[t[i] for i in lines if i < len(t)] for t, lines in zip((x.split("\n") for x in batch.column("text").to_pylist()), batch.column("lines").to_pylist())]
+            for _, _, data, offsets in pieces(pa.array([x.replace("\n", " ") for t in texts for x in t], pa.string())):
+                x = Lines(data, offsets)
+                words = pa.ListArray.from_arrays(pa.array(x.first.astype(np.int32)), pa.array(x.word[x.rank].view(np.int64)))
+                yield pa.record_batch([pa.array(x.node), words], names=["node", "words"])
 
-    made = docs.select("text").mapInArrow(run, "node bigint, words array<bigint>")
-    return made.join(small(wanted), "node", "left_semi").groupBy("node").agg(F.first("words").alias("words"))
+    there = wanted.withColumnRenamed("id", "_id")
+    return docs.join(small(there), docs["id"].eqNullSafe(F.col("_id"))).select("text", "lines").mapInArrow(run, "node bigint, words array<bigint>")
 
 
-def similar(pairs: DataFrame, docs: DataFrame, percent: int, least: int) -> DataFrame:
-    """Pairs (x, y) of nodes whose word sets have the wanted similarity."""
+def similar(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
+    """Nodes of pairs (x, y) that occur first at the later place, of those pairs whose word sets have the wanted similarity."""
     pairs = written(pairs)
-    wanted = written(pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct())
-    sets = written(word_sets(docs, wanted, least))
+    nodes = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
+    places = written(nodes.join(firsts.select("node", "place"), "node"))
+    wanted = written(places.groupBy("place.id").agg(F.collect_set("place.line").alias("lines")))
+    sets = written(word_sets(docs, wanted).join(places, "node").dropDuplicates(["node"]))
     joined = pairs
     for side in "xy":
-        joined = joined.join(sets.select(F.col("node").alias(side), F.col("words").alias(f"words_{side}")), side)
+        joined = joined.join(sets.select(F.col("node").alias(side), F.col("words").alias(f"words_{side}"), F.col("place").alias(f"place_{side}")), side)
     both = F.size(F.array_intersect("words_x", "words_y"))
     total = F.size("words_x") + F.size("words_y")
-    return joined.filter(both * (100 + percent) >= total * percent).select("x", "y")
+    found = joined.filter(both * (100 + percent) >= total * percent)
+    return found.select(F.when(F.col("place_x") > F.col("place_y"), F.col("x")).otherwise(F.col("y")).alias("node")).distinct()
 
 
 def matched_lines(docs: DataFrame, percent: int = PERCENT, least: int = MIN_WORDS) -> DataFrame:
     """(id, line) of every line that goes; ``docs`` has id and text."""
-    lines = written(line_sets(docs))
+    read = written(line_sets(docs))
+    lines = read.filter("node is not null").select("id", "line", "node", "n")
     place = F.struct("id", "line")
     firsts = written(lines.filter(F.col("n") >= least).groupBy("node").agg(F.min(place).alias("place"), F.count("*").alias("lines")))
-    rows = prefix_rows(docs, common_words(docs), percent, least)
-    order = Window.partitionBy("token").orderBy("id", "line", "node")
-    whole = Window.partitionBy("token")
-    rows = rows.withColumn("lead", F.first(F.struct("node", "n", "at")).over(order)).withColumn("other", F.max("node").over(whole)).withColumn(
-        "least", F.min("node").over(whole)).filter("least <> other").select("token", "node", "n", "at", "lead").distinct()
-    rows = written(rows)
-    star = rows.filter(F.col("node") != F.col("lead.node")).select(
-        F.col("lead.node").alias("x"), F.col("node").alias("y"), F.col("lead.n").alias("n_x"), F.col("lead.at").alias("at_x"), F.col("n").alias("n_y"), F.col("at").alias("at_y"))
-    first_links = written(similar(star.filter(may_match("x", "y", percent)).select("x", "y").distinct(), docs, percent, least))
-    settled = written(later(first_links, firsts))
-    mine = rows.join(settled, "node", "left_anti").select("token", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("at").alias("at_x"))
-    others = rows.select("token", F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("at").alias("at_y"))
+    rows = prefix_rows(docs, common_words(read.filter("word is not null")), percent, least)
+    made = written(candidates(rows, percent, HELD, DENSE))
+    hot = made.filter("token is not null").groupBy("token", "x", F.col("size").alias("size_x"), F.col("bits").alias("bits_x")).agg(F.min("y").alias("id"))
+    hot = written(hot)
+    lead = hot.groupBy("token").agg(F.min_by(F.struct("x", "size_x", "bits_x"), F.struct("id", "x")).alias("y"))
+    lead = lead.select("token", F.col("y.x").alias("y"), F.col("y.size_x").alias("size_y"), F.col("y.bits_x").alias("bits_y"))
+    star = hot.drop("id").join(lead, "token").filter((F.col("x") != F.col("y")) & may_match("x", "y", percent))
+    first = made.filter("token is null").select("x", "y").unionByName(star.select("x", "y"))
+    first = first.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    settled = written(similar(first, docs, firsts, percent))
+    # a set of a hot token that is not settled meets the others of the token
+    mine = hot.join(settled.withColumnRenamed("node", "x"), "x", "left_anti").select("token", "x", "size_x", "bits_x")
+    others = hot.select("token", F.col("x").alias("y"), F.col("size_x").alias("size_y"), F.col("bits_x").alias("bits_y"))
     pairs = mine.join(others, "token").filter((F.col("x") != F.col("y")) & may_match("x", "y", percent))
     pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    settled = settled.unionByName(later(similar(pairs, docs, percent, least), firsts)).distinct()
+    settled = settled.unionByName(similar(pairs, docs, firsts, percent)).distinct()
     # lines after the first of their set, and the first ones of settled sets
     repeated = firsts.filter("lines > 1").select("node", "place")
     gone = settled.select("node", F.lit(True).alias("gone"))
@@ -212,21 +298,15 @@ def matched_lines(docs: DataFrame, percent: int = PERCENT, least: int = MIN_WORD
     return met.filter(F.col("gone") | (F.struct("id", "line") > F.col("place"))).select("id", "line")
 
 
-def later(links: DataFrame, firsts: DataFrame) -> DataFrame:
-    """The node of each link that occurs first at the later place."""
-    sides = [firsts.select(F.col("node").alias(s), F.col("place").alias(f"place_{s}")) for s in "xy"]
-    both = links.join(sides[0], "x").join(sides[1], "y")
-    return both.select(F.when(F.col("place_x") > F.col("place_y"), F.col("x")).otherwise(F.col("y")).alias("node")).distinct()
-
-
-def without_similar_lines(docs: DataFrame, percent: int = PERCENT, least: int = MIN_WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` with two more columns: ``kept_text`` and ``removed_lines`` (numbers from 0)."""
+def without_similar_lines(docs: DataFrame, percent: int = PERCENT, least: int = MIN_WORDS, id_column: str = "doc_id", text_column: str = "text",
+                          kept: str = "kept_text", removed: str = "removed_lines") -> DataFrame:
+    """The rows of ``docs`` with two more columns, the kept text and the numbers (from 0) of removed lines; they replace any of those names."""
+    docs = docs.drop(kept, removed)
     rows = docs.select(docs[id_column].cast("bigint").alias("id"), text_of(docs, text_column).alias("text"))
-    gone = matched_lines(rows, percent, least).groupBy(F.col("id").alias("_id")).agg(F.array_sort(F.collect_set("line")).alias("removed_lines"))
-    gone = written(gone)
-    out = docs.join(small(gone), docs[id_column].cast("bigint").eqNullSafe(F.col("_id")), "left").drop("_id")
-    none = F.array().cast("array<int>")
-    out = out.withColumn("removed_lines", F.coalesce("removed_lines", none))
-    parts = F.split(text_of(out, text_column), "\n")
-    kept = F.concat_ws("\n", F.filter(parts, lambda x, i: ~F.array_contains("removed_lines", i)))
-    return out.withColumn("kept_text", F.when(F.size("removed_lines") == 0, out[text_column]).otherwise(kept))
+    whose = fresh(docs, "gone_id")
+    gone = written(matched_lines(rows, percent, least).groupBy(F.col("id").alias(whose)).agg(F.array_sort(F.collect_set("line")).alias(removed)))
+    out = docs.join(small(gone), docs[id_column].cast("bigint").eqNullSafe(F.col(whose)), "left").drop(whose)
+    lines, text = F.split(text_of(out, text_column), "\n"), out[text_column]
+    out = out.withColumn(removed, F.coalesce(removed, F.array().cast("array<int>")))
+    left = F.concat_ws("\n", F.filter(lines, lambda x, i: ~F.array_contains(removed, i)))
+    return out.withColumn(kept, F.when(F.size(removed) == 0, text).otherwise(left))
