@@ -161,6 +161,16 @@ def test_packing_is_gapless_and_near_the_bound(documents):
     assert packing.packed(documents([])).collect() == []
 
 
+def test_word_ids_equal_the_tokenizer_on_whole_texts(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, fast = Tokenizer.from_file(path), packing.WordIds(path)
+    texts = [r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").collect()]
+    texts += ["", " ", "a\x1cb", "Á b c\r\nd", "<|endoftext|> x<|startoftext|>y", "it's I'LL don't've 'S\v\fx", "ΣΑΣ ΟΔΟΣ. ½ ﬁ ​ ﻿ x", "  lead", "日本 語", "é ́x e\u0301", "ªº µ×÷ ÀÿÖ",
+              "a_b--c..'...'tis 12a34", "\x00\x01 \x7f", "İ Straße ẞ", "😀 x😀y"]
+    for text, made in zip(texts, fast.of(texts)):
+        assert made == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
 @pytest.mark.parametrize("mean", [3, 60, 900])
 def test_plan_uses_every_piece_once(mean):
     lengths = np.clip(np.random.default_rng(mean).exponential(mean, 5000).astype(int) + 1, 1, 4096)

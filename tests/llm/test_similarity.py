@@ -171,9 +171,10 @@ def line_matches(rows, percent, least):
     return gone
 
 
-@pytest.mark.parametrize("hot", [64, 2])
-def test_lines_equal_brute_force(documents, monkeypatch, hot):
-    monkeypatch.setattr(line_dedup, "HOT", hot)
+@pytest.mark.parametrize("held, dense", [(10_000, 8), (2, 8), (10_000, 0)])
+def test_lines_equal_brute_force(documents, monkeypatch, held, dense):
+    monkeypatch.setattr(line_dedup, "HELD", held)
+    monkeypatch.setattr(line_dedup, "DENSE", dense)
     rows = corpus(seed=5) + [(700, "the same line here\nTHE same line here\nother words stand now\n\nthe same line"), (701, None), (702, "a b\na b\na b c\n a  b c ")]
     want = line_matches(rows, 80, 3)
     got = line_dedup.without_similar_lines(documents(rows)).collect()
