@@ -16,7 +16,7 @@ token within the first |x| - ceil(t |x|) + 1 of each (prefix filter).
    first one; the later of two similar sets is settled: its lines go.  Sets not
    settled then meet the other sets of such tokens under the same filters, so
    members of a group of near copies are not paired with each other.
-4. Candidates are verified on the words.
+4. Candidates are verified on the words, each set with its earliest candidate first.
 
 A line goes if an earlier line, by (id, line number), has a similarity of t or
 more, judged on the input: also a line that goes makes later ones go.  Lines of
@@ -252,20 +252,33 @@ def word_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(small(there), docs["id"].eqNullSafe(F.col("_id"))).select("text", "lines").mapInArrow(run, "node bigint, words array<bigint>")
 
 
-def similar(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
-    """Nodes of pairs (x, y) that occur first at the later place, of those pairs whose word sets have the wanted similarity."""
+def similar(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The later nodes y of pairs (x, y, place_x, place_y) whose word sets have the wanted similarity."""
     pairs = written(pairs)
-    nodes = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
-    places = written(nodes.join(firsts.select("node", "place"), "node"))
+    nodes = pairs.select(F.col("x").alias("node"), F.col("place_x").alias("place")).unionByName(pairs.select(F.col("y").alias("node"), F.col("place_y").alias("place")))
+    places = written(nodes.distinct())
     wanted = written(places.groupBy("place.id").agg(F.collect_set("place.line").alias("lines")))
-    sets = written(word_sets(docs, wanted).join(places, "node").dropDuplicates(["node"]))
-    joined = pairs
+    sets = written(word_sets(docs, wanted).join(places.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    joined = pairs.select("x", "y")
     for side in "xy":
-        joined = joined.join(sets.select(F.col("node").alias(side), F.col("words").alias(f"words_{side}"), F.col("place").alias(f"place_{side}")), side)
+        joined = joined.join(sets.select(F.col("node").alias(side), F.col("words").alias(f"words_{side}")), side)
     both = F.size(F.array_intersect("words_x", "words_y"))
     total = F.size("words_x") + F.size("words_y")
-    found = joined.filter(both * (100 + percent) >= total * percent)
-    return found.select(F.when(F.col("place_x") > F.col("place_y"), F.col("x")).otherwise(F.col("y")).alias("node")).distinct()
+    return joined.filter(both * (100 + percent) >= total * percent).select(F.col("y").alias("node")).distinct()
+
+
+def settled_by(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
+    """Nodes with a similar one at an earlier place.  Each is first compared with its earliest candidate, and with the others only if that fails."""
+    places = firsts.select("node", "place")
+    for side in "xy":
+        pairs = pairs.join(places.select(F.col("node").alias(side), F.col("place").alias(f"place_{side}")), side)
+    early = F.col("place_x") < F.col("place_y")
+    turned = {"x": "y", "y": "x", "place_x": "place_y", "place_y": "place_x"}
+    pairs = written(pairs.select(*[F.when(early, F.col(c)).otherwise(F.col(d)).alias(c) for c, d in turned.items()]))
+    first = written(pairs.groupBy("y").agg(F.min(F.struct("place_x", "x", "place_y")).alias("e")).select("e.x", "y", "e.place_x", "e.place_y"))
+    found = written(similar(first, docs, percent))
+    rest = pairs.join(found.withColumnRenamed("node", "y"), "y", "left_anti").join(first.select("x", "y"), ["x", "y"], "left_anti")
+    return found.unionByName(similar(rest, docs, percent))
 
 
 def matched_lines(docs: DataFrame, percent: int = PERCENT, least: int = MIN_WORDS) -> DataFrame:
@@ -283,13 +296,13 @@ def matched_lines(docs: DataFrame, percent: int = PERCENT, least: int = MIN_WORD
     star = hot.drop("id").join(lead, "token").filter((F.col("x") != F.col("y")) & may_match("x", "y", percent))
     first = made.filter("token is null").select("x", "y").unionByName(star.select("x", "y"))
     first = first.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    settled = written(similar(first, docs, firsts, percent))
+    settled = written(settled_by(first, docs, firsts, percent))
     # a set of a hot token that is not settled meets the others of the token
     mine = hot.join(settled.withColumnRenamed("node", "x"), "x", "left_anti").select("token", "x", "size_x", "bits_x")
     others = hot.select("token", F.col("x").alias("y"), F.col("size_x").alias("size_y"), F.col("bits_x").alias("bits_y"))
     pairs = mine.join(others, "token").filter((F.col("x") != F.col("y")) & may_match("x", "y", percent))
     pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    settled = settled.unionByName(similar(pairs, docs, firsts, percent)).distinct()
+    settled = settled.unionByName(settled_by(pairs, docs, firsts, percent)).distinct()
     # lines after the first of their set, and the first ones of settled sets
     repeated = firsts.filter("lines > 1").select("node", "place")
     gone = settled.select("node", F.lit(True).alias("gone"))
