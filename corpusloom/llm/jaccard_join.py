@@ -19,7 +19,11 @@ pair.  The join is on the content of the blocks:
    only pairs within the Hamming bound leave the task.
 4. Every pair is checked on the folded sketches, then on the shingles.
 
-No link between different sets is lost and no group is expanded into all pairs.
+The links of these steps span every component; a pair of sets that others have
+joined already is not among them.  ``all_links`` gives every link: both ends of a
+link are in one component, so the sets of each component are compared with each
+other, packet by packet, on their shingles.  ``n_links`` is summed in the tasks,
+so counting links makes no row per pair.
 
 Rows: null or empty texts and texts without words have no shingles and link
 with nothing.  Rows repeated with the same id are separate rows of the same
@@ -42,6 +46,9 @@ from corpusloom.llm.textkernel import WIDTH, mix, mixed, shingle_sets
 HOT = 32
 PACKET = 256
 MEMBERS = 512
+PACKET_SHINGLES = 1 << 19
+COLUMNS = 4096
+COUNTED = 1 << 18
 EDGES = [4]
 while EDGES[-1] < 1 << 40:
     EDGES.append(max(EDGES[-1] + 1, -(-EDGES[-1] * 3 // 2)))
@@ -381,13 +388,148 @@ def links(docs: DataFrame, percent: int = 80, width: int = WIDTH) -> tuple[DataF
     return seen, nodes, found.unionByName(more)
 
 
-def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 80, width: int = WIDTH) -> DataFrame:
-    """One row per document: ``id``, ``key`` (text hash), ``n`` shingles and ``component``, the smallest id reachable over links."""
+def similar_sets(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """Whether each left set has the wanted similarity to each right one, from the exact numbers of common shingles."""
+    sides = [(np.concatenate(x), np.repeat(np.arange(len(x)), [len(s) for s in x])) for x in (left, right)]
+    common = np.intersect1d(sides[0][0], sides[1][0])
+    both = np.zeros((len(left), len(right)), np.int64)
+    if len(common):
+        cells = []
+        for tokens, owner in sides:
+            at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
+            use = common[at] == tokens
+            order = np.argsort(at[use], kind="stable")
+            cells.append((at[use][order], owner[use][order]))
+        for k in range(0, len(common), COLUMNS):
+            parts = []
+            for (at, owner), n in zip(cells, both.shape):
+                i, j = np.searchsorted(at, (k, k + COLUMNS))
+                parts.append(np.zeros((n, min(COLUMNS, len(common) - k)), np.float32))
+                parts[-1][owner[i:j], at[i:j] - k] = 1
+            both += (parts[0] @ parts[1].T).astype(np.int64)
+    total = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :]
+    return both * (100 + percent) >= percent * total
+
+
+def linked_packets(docs: DataFrame, nodes: DataFrame, label: DataFrame, width: int) -> DataFrame:
+    """(left, right): every two packets of every component, as lists of (node, copies, tokens); right is null for a packet with itself."""
+    placed = written(label.join(nodes.select("node", "id", "key", "n", "copies"), "node"))
+    sizes = placed.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / PACKET), F.ceil(F.sum("n") / PACKET_SHINGLES)).cast("int").alias("packets"))
+    dealt = placed.join(sizes, "root").withColumn("packet", F.pmod(F.xxhash64("node"), "packets").cast("int"))
+    dealt = written(dealt.select("node", "root", "packets", "packet", "copies", F.col("id").alias("node_id"), F.col("key").alias("node_key")))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            use = []
+            for i, node in enumerate(batch.column("node").to_pylist()):
+                if node not in seen:
+                    seen.add(node)
+                    use.append(i)
+            some = batch.take(pa.array(use, pa.int64()))
+            held = [x.tobytes() for x in shingle_sets(some.column("text"), width)]
+            yield pa.record_batch([*some.select(["root", "packets", "packet", "node", "copies"]).columns, pa.array(held, pa.binary())],
+                                  names=["root", "packets", "packet", "node", "copies", "tokens"])
+
+    def packed(which: DataFrame) -> DataFrame:
+        texts = docs.join(small(written(which)), (F.col("key") == F.col("node_key")) & F.col("id").eqNullSafe(F.col("node_id")))
+        out = texts.select("root", "packets", "packet", "node", "copies", "text").mapInArrow(
+            sets, "root bigint, packets int, packet int, node bigint, copies bigint, tokens binary")
+        return out.groupBy("root", "packets", "packet").agg(F.collect_list(F.struct("node", "copies", "tokens")).alias("held"))
+
+    kind = "array<struct<node:bigint,copies:bigint,tokens:binary>>"
+    alone = packed(dealt.filter("packets = 1")).select(F.col("held").alias("left"), F.lit(None).cast(kind).alias("right"))
+    several = written(packed(dealt.filter("packets > 1")))
+    itself = several.select(F.col("held").alias("left"), F.lit(None).cast(kind).alias("right"))
+    # keyed by both numbers, so that the packets of one large component are spread over tasks
+    left = several.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("packets") - 1))).filter("other > packet")
+    left = left.select("root", "packet", "other", F.col("held").alias("left"))
+    right = several.withColumn("before", F.explode(F.sequence(F.lit(0), F.col("packets") - 1))).filter("before < packet")
+    right = right.select("root", F.col("before").alias("packet"), F.col("packet").alias("other"), F.col("held").alias("right"))
+    return alone.unionByName(itself).unionByName(left.join(right, ["root", "packet", "other"]).select("left", "right"))
+
+
+def met_sets(packets: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Nodes, copies and shingle sets of a packet, each node once."""
+    node, copies, tokens = packets.values.flatten()
+    node, first = np.unique(node.to_numpy(), return_index=True)
+    return node, copies.to_numpy()[first], [np.frombuffer(tokens[int(i)].as_buffer(), np.uint64) for i in first]
+
+
+def met_packets(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple]:
+    """Nodes and copies of either side, and which of them are linked, for each two packets."""
+    for batch in batches:
+        for left, right in zip(batch.column("left"), batch.column("right")):
+            a, copies_a, mine = met_sets(left)
+            b, copies_b, others = met_sets(right) if right.is_valid else (a, copies_a, mine)
+            near = similar_sets(mine, others, percent)
+            if not right.is_valid:
+                near = np.triu(near, 1)
+            yield a, copies_a, b, copies_b, near
+
+
+def all_links(docs: DataFrame, nodes: DataFrame, label: DataFrame, percent: int = 80, width: int = WIDTH) -> DataFrame:
+    """(a, b), a < b: every two different sets of the wanted similarity, by their nodes; ``docs`` has id, text and key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, _, b, _, near in met_packets(batches, percent):
+            x, y = np.nonzero(near)
+            yield pa.record_batch([pa.array(np.minimum(a[x], b[y])), pa.array(np.maximum(a[x], b[y]))], names=["a", "b"])
+
+    return linked_packets(docs, nodes, label, width).mapInArrow(run, "a bigint, b bigint")
+
+
+def link_counts(docs: DataFrame, nodes: DataFrame, label: DataFrame, percent: int = 80, width: int = WIDTH) -> DataFrame:
+    """(node, met): how many rows of other nodes each node is linked with, summed in the tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, met, held = [], [], 0
+
+        def summed():
+            names, at = np.unique(np.concatenate(node), return_inverse=True)
+            out = np.zeros(len(names), np.int64)
+            np.add.at(out, at, np.concatenate(met))
+            return names, out
+
+        for a, copies_a, b, copies_b, near in met_packets(batches, percent):
+            node += [a, b]
+            met += [near @ copies_b, copies_a @ near]
+            held += len(a) + len(b)
+            if held > COUNTED:
+                names, out = summed()
+                if len(names) > COUNTED // 2:
+                    yield pa.record_batch([pa.array(names), pa.array(out)], names=["node", "met"])
+                    node, met, held = [], [], 0
+                else:
+                    node, met, held = [names], [out], len(names)
+        if node:
+            names, out = summed()
+            yield pa.record_batch([pa.array(names), pa.array(out)], names=["node", "met"])
+
+    counts = linked_packets(docs, nodes, label, width).mapInArrow(run, "node bigint, met bigint")
+    return counts.groupBy("node").agg(F.sum("met").alias("met"))
+
+
+def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 80, width: int = WIDTH,
+                       count_links: bool = False) -> DataFrame:
+    """One row per document: ``id``, ``key`` (text hash), ``n`` shingles and ``component``, the smallest id reachable over links.
+
+    With ``count_links`` also ``n_links``, the number of other rows with the wanted similarity, equal ones among them.
+    """
     rows = docs.select(docs[id_column].alias("id"), text_of(docs, text_column).alias("text"))
     seen, nodes, linked = links(rows, percent, width)
+    if count_links:
+        linked = written(linked)
     label = components(linked)
     placed = with_component(nodes.select("node", "id"), label)
     least = placed.groupBy("root").agg(F.min("id").alias("component"))
     table = placed.join(least, "root").select("node", "component")
+    if count_links:
+        keyed = rows.select(F.col("id").cast("bigint"), "text", F.xxhash64("text").alias("key"))
+        met = written(link_counts(keyed, nodes, label, percent, width))
+        own = nodes.select("node", "copies").join(met, "node", "left")
+        table = table.join(own.select("node", (F.col("copies") - 1 + F.coalesce("met", F.lit(0))).alias("n_links")), "node")
     out = spread_join(seen.select("id", "key", "node", "n"), table, "node", F.xxhash64("id"))
+    if count_links:
+        return out.select("id", "key", "n", F.coalesce("component", "id").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return out.select("id", "key", "n", F.coalesce("component", "id").alias("component"))

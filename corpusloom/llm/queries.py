@@ -33,6 +33,12 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+@query("op1_links")
+def op1_links(spark: SparkSession, folder: str) -> DataFrame:
+    out = jaccard_join.jaccard_components(table(spark, folder, "documents"), count_links=True)
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "n_links")
+
+
 OP2_SQL = r"""
 WITH d AS (
   SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
