@@ -7,13 +7,15 @@ are first brought together:
    bytes with the least hash in it; equal windows have equal anchors.  Anchors
    held by one text only are dropped.
 2. The stretches of text around shared anchors go to a group: that of the first
-   text holding the anchor, or for an anchor of more than ``HOT`` texts a group
-   of its own.  Equal stretches around such an anchor are answered where they
-   are read, so a task sends one of them, however many texts hold it.
+   text holding the anchor.  For an anchor of more than ``HOT`` texts each of its
+   windows is sent by its hash instead, so that its group is split by content;
+   equal windows are answered where they are read, up to ``WINDOWS`` at a time.
 3. In a group: suffix array and longest common prefixes by prefix doubling.
    Intervals of suffixes that share ``length`` bytes are the nodes of the
    common-prefix tree at that depth.  A byte goes if a node's window covers it
-   and the node has an occurrence in a text with a smaller id.
+   and the node has an occurrence in a text with a smaller id.  A group of more
+   than ``LARGEST`` bytes is read block by block; what no block could answer goes
+   on by the hashes of its windows, which are compared as a sorted stream.
    ``repeat_groups`` scans the deeper nodes with a stack and gives out those
    whose occurrences differ in the byte before them: maximal repeats.
 
@@ -37,12 +39,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.llm.common import small, text_of, written
 from corpusloom.llm.jaccard_join import shared_signatures
-from corpusloom.llm.textkernel import BYTE_VALUES, POWERS, distinct, mix, pieces
+from corpusloom.llm.textkernel import BYTE_VALUES, POWERS, distinct, mix, pieces, span_hashes
 
 LENGTH = 50
 GRAM = 24
 HOT = 1000
 BLOCK = 1 << 20
+LARGEST = 4 << 20
+WINDOWS = 1 << 20
 LAST = (1 << 63) - 1
 
 
@@ -55,11 +59,11 @@ def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the anchors of all windows that lie within one row, and their hashes."""
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the anchors of all windows that lie within one row, their hashes, and the anchor hash of the window at each position."""
     n, width = len(data), length - GRAM + 1
     if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     up, down = POWERS.first(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(BYTE_VALUES[data] * up[:-1], out=sums[1:])
@@ -73,7 +77,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     pad = np.zeros(width - 1, np.uint64)
     most = sliding(np.concatenate((pad, least, pad)), width, np.maximum)
     at = np.flatnonzero(most == grams)
-    return at, grams[at]
+    return at, grams[at], least
 
 
 def anchor_rows(texts: DataFrame, length: int) -> DataFrame:
@@ -85,7 +89,7 @@ def anchor_rows(texts: DataFrame, length: int) -> DataFrame:
             keys = batch.column("key").to_numpy()
             row = 0
             for first, end, data, offsets in pieces(batch.column("text")):
-                at, hashes = anchors(data, offsets, length)
+                at, hashes, _ = anchors(data, offsets, length)
                 cut = np.searchsorted(at, offsets)
                 sigs, nodes = [], []
                 for i in range(end - first):
@@ -120,8 +124,28 @@ def packed_texts(texts: DataFrame) -> DataFrame:
     return texts.select("key", "text").mapInArrow(run, "key bigint, packed binary")
 
 
+def merged_windows(key: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, start, stop) of windows, those that touch as one span."""
+    order = np.lexsort((start, key))
+    key, start = key[order], start[order]
+    new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (start[1:] > start[:-1] + length))))[: len(key)]
+    return key[new], start[new], start[np.append(new[1:], len(key))[: len(new)] - 1] + length
+
+
+def sent_windows(window: np.ndarray, doc: np.ndarray, key: np.ndarray, start: np.ndarray, length: int) -> list[tuple]:
+    """Rows of ``stretches``: of equal windows those of the smallest doc, the others as spans to go."""
+    order = np.lexsort((doc, window))
+    window, doc, key, start = window[order], doc[order], key[order], start[order]
+    new = np.concatenate(([True], window[1:] != window[:-1]))
+    later = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+    out = [(int(w), int(d), int(k), int(a), None, None) for w, d, k, a in zip(window[~later], doc[~later], key[~later], start[~later])]
+    if later.any():
+        out += [(int(k), LAST, int(k), int(a), int(b), None) for k, a, b in zip(*merged_windows(key[later], start[later], length))]
+    return out
+
+
 def stretches(rows: DataFrame, length: int) -> DataFrame:
-    """(grp, doc, key, start, part): text around shared anchors; without a part, a span that is already known to go.
+    """(grp, doc, key, start, stop, part): text around shared anchors; without a part, a span that is already known to go, without a stop, a window by its hash.
 
     ``rows`` has key, doc (smallest id), packed, and the shared anchors as arrays.
     """
@@ -129,16 +153,22 @@ def stretches(rows: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
-        last, met = None, {}
+        last = None
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["grp", "doc", "key", "start", "stop", "part"])
+
         for batch in batches:
             out: list[tuple] = []
+            windows, held = [], 0
             for key, doc, packed, sig, lead, hot in zip(*[batch.column(c) for c in ("key", "doc", "packed", "sig", "leader", "hot")]):
                 key, doc = key.as_py(), doc.as_py()
                 if key == last:
                     continue
                 last = key
                 data = np.frombuffer(open_.decompress(packed.as_py()), np.uint8)
-                at, hashes = anchors(data, np.array([0, len(data)]), length)
+                at, hashes, least = anchors(data, np.array([0, len(data)]), length)
                 sig = np.array(sig.values.to_numpy()).view(np.uint64)
                 order = np.argsort(sig)
                 sig, lead = sig[order], lead.values.to_numpy()[order]
@@ -148,24 +178,24 @@ def stretches(rows: DataFrame, length: int) -> DataFrame:
                 at, hashes, where = at[use], hashes[use], where[use]
                 starts, stops = np.maximum(at - (length - GRAM), 0), np.minimum(at + length, len(data))
                 grp, alone = lead[where], hot[where]
-                for i in np.flatnonzero(alone):
-                    part = data[starts[i] : stops[i]].tobytes()
-                    known = met.get((hashes[i], part))
-                    if known is not None and known < doc:
-                        out.append((key, doc, key, starts[i], stops[i], None))
-                    else:
-                        met[(hashes[i], part)] = doc
-                        out.append((int(mix(hashes[i : i + 1]).view(np.int64)[0]), doc, key, starts[i], stops[i], part))
+                if alone.any():
+                    begin = np.flatnonzero(np.isin(least, hashes[alone]))
+                    window = span_hashes(data, begin, begin + length).view(np.int64)
+                    windows.append((window, np.full(len(begin), doc, np.int64), np.full(len(begin), key, np.int64), begin))
+                    held += len(begin)
+                    if held > WINDOWS:
+                        yield made(sent_windows(*map(np.concatenate, zip(*windows)), length))
+                        windows, held = [], 0
                 starts, stops, grp = starts[~alone], stops[~alone], grp[~alone]
                 if len(starts):
                     new = np.flatnonzero(np.concatenate(([True], (grp[1:] != grp[:-1]) | (starts[1:] > stops[:-1]))))
                     ends = np.append(new[1:], len(starts)) - 1
                     for i, j in zip(new, ends):
                         out.append((int(grp[i]), doc, key, starts[i], stops[j], data[starts[i] : stops[j]].tobytes()))
+            if windows:
+                out += sent_windows(*map(np.concatenate, zip(*windows)), length)
             if out:
-                columns = list(zip(*out))
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=["grp", "doc", "key", "start", "stop", "part"])
+                yield made(out)
 
     return rows.mapInArrow(run, schema)
 
@@ -217,8 +247,11 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray,
     return order, common, left
 
 
-def removed_spans(stretch: list[tuple[int, int, int, bytes]], length: int) -> list[tuple[int, int, int]]:
-    """(key, start, stop) of the bytes to remove in stretches (doc, key, start, bytes) of whole groups."""
+def removed_spans(stretch: list[tuple[int, int, int, bytes]], length: int, cut: int | None = None) -> list[tuple]:
+    """(key, start, stop, window, doc) of the bytes to remove in stretches (doc, key, start, bytes) of whole groups.
+
+    The stretches from number ``cut`` on are of a group that goes on: their other windows are given out too, by their hashes and without a stop.
+    """
     sizes = np.array([len(x[3]) for x in stretch])
     data = np.frombuffer(b"".join(x[3] for x in stretch), np.uint8)
     first = np.cumsum(sizes) - sizes
@@ -233,14 +266,20 @@ def removed_spans(stretch: list[tuple[int, int, int, bytes]], length: int) -> li
     start = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
     least = np.minimum.reduceat(doc, start)[node]
     gone = order[whole & (least < doc)]
+    onward = []
+    if cut is not None:
+        open_ = np.sort(order[whole & (least >= doc) & (order_of >= cut)]).astype(np.int64)
+        window, i = span_hashes(data, open_, open_ + length).view(np.int64), of[open_]
+        key, begin = np.array([x[1] for x in stretch])[i], np.array([x[2] for x in stretch])[i] + open_ - first[i]
+        onward = [(k, a, None, w, d) for k, a, w, d in zip(key.tolist(), begin.tolist(), window.tolist(), docs[i].tolist())]
     if not len(gone):
-        return []
+        return onward
     gone.sort()
     at = of[gone]
     new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (gone[1:] > gone[:-1] + length))))
     ends = np.append(new[1:], len(gone)) - 1
-    return [(stretch[at[i]][1], int(stretch[at[i]][2] + gone[i] - first[at[i]]), int(stretch[at[i]][2] + gone[j] - first[at[i]] + length))
-            for i, j in zip(new, ends)]
+    return [(stretch[at[i]][1], int(stretch[at[i]][2] + gone[i] - first[at[i]]), int(stretch[at[i]][2] + gone[j] - first[at[i]] + length), None, None)
+            for i, j in zip(new, ends)] + onward
 
 
 def repeat_groups(texts: list[bytes], length: int = LENGTH) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -271,34 +310,61 @@ def repeat_groups(texts: list[bytes], length: int = LENGTH) -> list[tuple[int, l
 
 
 def spans(groups: DataFrame, length: int) -> DataFrame:
-    """(key, start, stop) to remove, reading whole groups about BLOCK bytes at a time."""
+    """(key, start, stop, grp, doc) to remove, reading groups about BLOCK bytes at a time; without a stop, windows of a group that was too large.
+
+    What is held is at most LARGEST bytes of a group, and of windows with one hash the smallest doc.
+    """
+    names = ["key", "start", "stop", "grp", "doc"]
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, bytes]] = []
-        size, group = 0, None
+        size, group, begin, split = 0, None, 0, False
+        window, least = None, 0
 
         def answer(found):
-            keys, starts, stops = zip(*found) if found else ((), (), ())
-            return pa.record_batch([pa.array(keys, pa.int64()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32())], names=["key", "start", "stop"])
+            return pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*found)) or [()] * 5, types)], names=names)
 
         for batch in batches:
-            known = []
-            for grp, doc, key, start, stop, part in zip(*[batch.column(c).to_pylist() for c in ("grp", "doc", "key", "start", "stop", "part")]):
-                if part is None:
-                    known.append((key, start, stop))
-                    continue
-                if grp != group and size > BLOCK:
-                    yield answer(removed_spans(held, length))
-                    held, size = [], 0
-                group = grp
-                held.append((doc, key, start, part))
-                size += len(part)
-            if known:
-                yield answer(known)
+            bare = np.asarray(batch.column("part").is_null())
+            single = bare & np.asarray(batch.column("stop").is_null())
+            known = batch.filter(pa.array(bare & ~single))
+            if len(known):
+                yield pa.record_batch([*known.select(names[:3]).columns, pa.nulls(len(known), pa.int64()), pa.nulls(len(known), pa.int64())], names=names)
+            if single.any():  # sorted by hash and doc
+                of, doc, key, start = (batch.column(c).to_numpy()[single] for c in ("grp", "doc", "key", "start"))
+                new = np.concatenate(([True], of[1:] != of[:-1]))
+                low = doc[np.flatnonzero(new)]
+                if window == of[0]:
+                    low[0] = least
+                low = low[np.cumsum(new) - 1]
+                window, least = of[-1], low[-1]
+                later = doc > low
+                if later.any():
+                    key, start, stop = merged_windows(key[later], start[later], length)
+                    yield pa.record_batch([pa.array(key), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)),
+                                           pa.nulls(len(key), pa.int64()), pa.nulls(len(key), pa.int64())], names=names)
+            rows = batch.filter(pa.array(~bare))
+            for grp, doc, key, start, part in zip(*[rows.column(c).to_pylist() for c in ("grp", "doc", "key", "start", "part")]):
+                if grp != group:
+                    if split or size > BLOCK:
+                        yield answer(removed_spans(held, length, begin if split else None))
+                        held, size = [], 0
+                    group, begin, split = grp, len(held), False
+                for at in range(0, max(1, len(part) - length + 1), LARGEST):
+                    piece = part[at : at + LARGEST + length - 1]
+                    if held and size + len(piece) > LARGEST:
+                        if len(held) > begin:
+                            split = True
+                        yield answer(removed_spans(held, length, begin if split else None))
+                        held, size, begin = [], 0, 0
+                    held.append((doc, key, start + at, piece))
+                    size += len(piece)
         if held:
-            yield answer(removed_spans(held, length))
+            yield answer(removed_spans(held, length, begin if split else None))
 
-    return groups.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "key bigint, start int, stop int")
+    schema = "key bigint, start int, stop int, grp bigint, doc bigint"
+    return groups.repartition("grp").sortWithinPartitions("grp", "doc").mapInArrow(run, schema)
 
 
 def joined_spans(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -321,6 +387,9 @@ def repeated_bytes(docs: DataFrame, id_column: str = "doc_id", text_column: str
     held = shared.groupBy(F.col("node").alias("key")).agg(*[F.collect_list(c).alias(c) for c in ("sig", "leader", "hot")])
     rows = packed_texts(texts.filter(F.octet_length("text") >= length)).join(held.join(classes.select("key", "doc"), "key"), "key")
     found = spans(stretches(rows.select("key", "doc", "packed", "sig", "leader", "hot"), length), length)
+    found = written(found)
+    rest = found.filter("stop is null").select("grp", "doc", "key", "start", "stop", F.lit(None).cast("binary").alias("part"))
+    found = found.filter("stop is not null").unionByName(spans(rest, length)).select("key", "start", "stop")
     found = found.groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("found"))
     marks = written(classes.join(found, "key", "left").filter("found is not null or doc < last"))
     marked = texts.join(small(marks), "key", "left")

@@ -5,8 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import jaccard_join
-from tests.llm.test_similarity import corpus, key, shingles
+from corpusloom.llm import jaccard_join, repeats
+from tests.llm.test_similarity import corpus, key, removed, shingles
 
 
 @pytest.mark.parametrize("packet", [256, 3])
@@ -37,3 +37,23 @@ def test_all_links_give_every_pair_of_sets(documents):
     want = {frozenset((a, b)) for a, t in rows for b, u in rows if a < b and (x := shingles(t)) and (y := shingles(u)) and 100 * len(x & y) >= 80 * len(x | y)}
     got = [frozenset((name[r["a"]], name[r["b"]])) for r in pairs.collect()]
     assert len(want) == 36 and len(got) == 36 and set(got) == want
+
+
+def test_large_groups_are_read_in_bounded_blocks(documents, monkeypatch):
+    """One common string with differing surroundings, and a long text that leads a group: no suffix array over a whole group."""
+    rng = random.Random(7)
+    noise = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    base = noise(3000)
+    rows = [(i, noise(40) + "-" * 30 + "common words" + noise(20) + "\n" + "-" * 80) for i in range(40)]
+    rows += [(100 + i, base[a : a + 900] + noise(60)) for i, a in enumerate(range(0, 2000, 100))] + [(90, base), (None, base[:200]), (100, base[:400])]
+    want = sorted(removed(rows, 50), key=key)
+    sizes, whole = [], repeats.suffix_array
+    for hot, largest in ((2, 4 << 20), (1000, 2000)):
+        monkeypatch.setattr(repeats, "HOT", hot)
+        monkeypatch.setattr(repeats, "LARGEST", largest)
+        monkeypatch.setattr(repeats, "BLOCK", min(largest, 1 << 20))
+        got = repeats.kept_texts(repeats.repeated_bytes(documents(rows))).collect()
+        assert sorted(map(tuple, got), key=key) == want
+    held = [(i, i, 0, t.encode()) for i, t in rows[:40]]
+    monkeypatch.setattr(repeats, "suffix_array", lambda data, depth: sizes.append(len(data)) or whole(data, depth))
+    assert len(repeats.removed_spans(held, 50, 0)) > len(repeats.removed_spans(held, 50))
