@@ -1,6 +1,8 @@
 """Language ID by a linear-chain conditional random field over words.
 
-A word is a run of letters (ASCII letters or bytes beyond ASCII).  Its emission
+A word is a run of letters (ASCII letters or bytes beyond ASCII); a run of more
+than ``LONG`` bytes with letters beyond ASCII, as of a script without blanks, is
+cut into words of ``UNIT`` characters that share one with the next.  Its emission
 scores come from affixes, character n-grams and a lexicon: the share of each
 language in the word's occurrences over all learnable texts.  Transitions
 between the languages of neighbouring words are learned with them, also on
@@ -11,7 +13,7 @@ the score.
 
 The field is fitted with numpy on chains from at most ``SAMPLE`` texts; the
 lexicon is counted over all of them and keeps the words that make up at least
-one in ``RARE`` (so no more than that).  Chains have ``CHAIN`` words.
+one in ``RARE`` of the words of some language (so no more than that for each).  Chains have ``CHAIN`` words.
 
 Rows: a null text, or one without a letter, gives ``und`` and 0.  Rows with a
 null language, and those kept out by id, are never learned from.  With no
@@ -36,6 +38,8 @@ CHAIN = 32
 CHAINS = 6_000
 FEATURES = 1 << 16
 RARE = 100_000
+LONG = 48
+UNIT = 4
 EPOCHS = 40
 CACHED_WORDS = 400_000
 NO_LETTER = np.ones(256, bool)
@@ -45,6 +49,17 @@ NO_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and hashes of words, and for each row its first word."""
     starts, ends, first = word_bounds(NO_LETTER[data], offsets)
+    cut = [i for i in np.flatnonzero(ends - starts > LONG) if (data[starts[i] : ends[i]] >= 128).any()]
+    if cut:
+        parts = [(np.delete(starts, cut), np.delete(ends, cut))]
+        for i in cut:
+            chars = starts[i] + np.flatnonzero((data[starts[i] : ends[i]] & 0xC0) != 0x80)
+            unit = np.arange(0, max(1, len(chars) - 1), UNIT)
+            parts.append((chars[unit], np.append(chars, ends[i])[np.minimum(unit + UNIT + 1, len(chars))]))
+        starts, ends = map(np.concatenate, zip(*parts))
+        order = np.argsort(starts)
+        starts, ends = starts[order], ends[order]
+        first = np.searchsorted(starts, offsets)
     return starts, ends, span_hashes(LOWER[data], starts, ends), first
 
 
@@ -53,7 +68,7 @@ def features_of(word: str) -> list[int]:
     word = word.lower()
     marked = f"<{word}>"
     names = {f"p{word[:i]}" for i in range(1, min(4, len(word)) + 1)} | {f"s{word[-i:]}" for i in range(1, min(4, len(word)) + 1)}
-    names |= {f"g{marked[i:i + k]}" for k in (2, 3) for i in range(min(len(marked), 40) - k + 1)}
+    names |= {f"g{marked[i:i + k]}" for k in (2, 3) for i in range(len(marked) - k + 1)}
     return [zlib.crc32(x.encode()) % FEATURES for x in names]
 
 
@@ -162,8 +177,8 @@ def lexicon(known: DataFrame, languages: list[str], rare: int) -> tuple[np.ndarr
             yield pa.record_batch([pa.array(word[cell // len(place)]), pa.array(cell % len(place)), pa.array(n)], names=["word", "lang", "n"])
 
     counts = written(known.mapInArrow(run, "word bigint, lang bigint, n bigint").groupBy("word", "lang").agg(F.sum("n").alias("n")))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    often = counts.groupBy("word").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by")).filter(F.col("all") * rare >= total)
+    totals = F.broadcast(counts.groupBy("lang").agg(F.sum("n").alias("total")))
+    often = counts.join(totals, "lang").groupBy("word").agg(F.max(F.col("n") * rare >= F.col("total")).alias("often"), F.collect_list(F.struct("lang", "n")).alias("by")).filter("often")
     rows = often.select("word", F.explode("by").alias("x")).select("word", "x.*").toPandas()
     names, at = np.unique(rows["word"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
     table = np.full((len(names), len(languages)), 0.5)

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import jaccard_join, repeats
+from corpusloom.llm import jaccard_join, lang_crf, repeats
 from tests.llm.test_similarity import corpus, key, removed, shingles
 
 
@@ -57,3 +57,24 @@ def test_large_groups_are_read_in_bounded_blocks(documents, monkeypatch):
     held = [(i, i, 0, t.encode()) for i, t in rows[:40]]
     monkeypatch.setattr(repeats, "suffix_array", lambda data, depth: sizes.append(len(data)) or whole(data, depth))
     assert len(repeats.removed_spans(held, 50, 0)) > len(repeats.removed_spans(held, 50))
+
+
+def test_long_words_are_read_to_the_end():
+    assert lang_crf.zlib.crc32(b"gqx") % lang_crf.FEATURES in lang_crf.features_of("b" * 60 + "qx" + "c" * 20)
+
+
+def test_text_without_blanks_is_cut_into_words():
+    import numpy as np
+
+    text = "".join(chr(0x4E00 + i) for i in range(200))
+    data = np.frombuffer(f"ab {text} cd".encode(), np.uint8)
+    starts, ends, hashes, first = lang_crf.words_of(data, np.array([0, len(data)]))
+    assert len(starts) == 52 and first.tolist() == [0, 52] and len(hashes) == 52
+    words = [data[a:b].tobytes().decode() for a, b in zip(starts, ends)]
+    assert words[1] == text[:5] and words[2] == text[4:9] and words[50] == text[196:] and words[51] == "cd"
+
+
+def test_lexicon_keeps_words_of_a_small_language(spark):
+    known = spark.createDataFrame([("big word " * 500, "aa"), ("tiny few", "bb")], "text string, lang string")
+    names, shares = lang_crf.lexicon(known, ["aa", "bb"], 10)
+    assert len(names) == 4 and (shares[:, 1] > 0).sum() == 2
