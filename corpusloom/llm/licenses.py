@@ -7,7 +7,11 @@ everything else is trained with numpy: on variants of the template notices
 most ``SAMPLE`` paragraphs of the corpus, none longer than ``EXAMPLE``
 characters, that hold no template's distinctive words.  A temperature fitted on variants left out gives probabilities; below
 ``LEAST`` the answer is unknown.  A prediction counts if its paragraph also
-holds at least ``COVER`` of the word pairs of a template of that family.
+holds at least ``COVER`` of the word pairs of a template of that family.  A
+paragraph of more than ``WINDOW`` words is judged in windows of that many words,
+one every ``STEP``, so that words around a notice do not outweigh it; of windows
+that overlap the one with most of a template counts, once per family, and the
+whole paragraph is only judged at once where no window counts.
 
 Rows: null or empty texts have no paragraph.  Repeated rows are scanned each.
 Other columns are ignored.
@@ -31,6 +35,8 @@ VARIANTS = 120
 EPOCHS = 60
 LEAST = 0.5
 COVER = 0.5
+WINDOW = 24
+STEP = 8
 UNKNOWN = "unknown"
 
 # fixed values: short notices by which license families are known
@@ -149,10 +155,10 @@ class Classifier:
             out[some] += np.add.reduceat(self.weights[feature[order]], starts)
         return out
 
-    def confirmed(self, family: int, words: np.ndarray) -> bool:
-        """Whether a paragraph holds enough word pairs of a template of the family."""
+    def cover(self, family: int, words: np.ndarray) -> float:
+        """The largest share of the word pairs of a template of the family."""
         mine = set(runs(words, 2).tolist())
-        return any(len(mine & pairs) >= COVER * len(pairs) for pairs in self.pairs[family])
+        return max((len(mine & pairs) / len(pairs) if pairs else 1.0 for pairs in self.pairs[family]), default=0.0)
 
     def found(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, float]]:
         """(paragraph, family, probability) of the confirmed predictions among paragraphs."""
@@ -160,7 +166,44 @@ class Classifier:
         chance = self.soft(self.sums((feature % np.uint64(FEATURES)).astype(np.int64), of, len(first) - 1) / self.heat)
         best = chance[:, :-1].argmax(1)
         sure = chance[np.arange(len(best)), best]
-        return [(int(i), int(best[i]), float(sure[i])) for i in np.flatnonzero(sure >= LEAST) if self.confirmed(int(best[i]), words[first[i] : first[i + 1]])]
+        out = self.in_windows(words, first)
+        met = {i for i, _, _ in out}
+        out += [(int(i), int(best[i]), float(sure[i])) for i in np.flatnonzero(sure >= LEAST)
+                if i not in met and self.cover(int(best[i]), words[first[i] : first[i + 1]]) >= COVER]
+        return sorted(out)
+
+    def in_windows(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, float]]:
+        """As ``found``, from the windows of long paragraphs."""
+        size = np.diff(first)
+        long = np.flatnonzero(size > WINDOW)
+        if not len(long):
+            return []
+        per = -(-(size[long] - WINDOW) // STEP) + 1
+        of = np.repeat(long, per)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(per) - per, per)
+        start = first[of] + np.minimum(nth * STEP, size[of] - WINDOW)
+        sums = np.tile(self.bias, (len(of), 1))
+        for feature, n in ((words, WINDOW), (runs(words, 2), WINDOW - 1)):
+            total = np.zeros((len(feature) + 1, len(self.names)))
+            np.cumsum(self.weights[(feature % np.uint64(FEATURES)).astype(np.int64)], axis=0, dtype=np.float64, out=total[1:])
+            sums += total[start + n] - total[start]
+        chance = self.soft(sums / self.heat)
+        best = chance[:, :-1].argmax(1)
+        sure = chance[np.arange(len(best)), best]
+        hits: dict[int, list] = {}
+        for i in np.flatnonzero(sure >= LEAST):
+            share = self.cover(int(best[i]), words[start[i] : start[i] + WINDOW])
+            if share >= COVER:
+                hits.setdefault(int(of[i]), []).append((-share, -float(sure[i]), int(start[i]), int(best[i])))
+        out = []
+        for i, windows in hits.items():
+            taken, kept = [], {}
+            for share, chance_, at, family in sorted(windows):
+                if all(abs(at - other) >= WINDOW for other in taken):
+                    taken.append(at)
+                    kept.setdefault(family, -chance_)
+            out += [(i, family, chance_) for family, chance_ in kept.items()]
+        return out
 
 
 def background(docs: DataFrame, text_column: str, sample: int) -> list[str]:

@@ -122,7 +122,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_licenses")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     out = licenses.licenses(table(spark, folder, "documents"))
+    lines = F.array_distinct(F.transform("found", lambda x: x["line"]))
     families = F.array_sort(F.array_distinct(F.transform("found", lambda x: x["family"])))
     return out.select(
-        F.col("id").alias("doc_id"), "n_paragraphs", F.size("found").cast("long").alias("n_licensed"), F.array_join(families, ",").alias("families"),
-        F.array_join(F.transform("found", lambda x: x["line"]), ",").alias("lines"))
+        F.col("id").alias("doc_id"), "n_paragraphs", F.size(lines).cast("long").alias("n_licensed"), F.array_join(families, ",").alias("families"),
+        F.array_join(lines, ",").alias("lines"))

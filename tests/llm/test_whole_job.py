@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import jaccard_join, lang_crf, repeats
+from corpusloom.llm import jaccard_join, lang_crf, licenses, repeats
 from tests.llm.test_similarity import corpus, key, removed, shingles
 
 
@@ -78,3 +78,16 @@ def test_lexicon_keeps_words_of_a_small_language(spark):
     known = spark.createDataFrame([("big word " * 500, "aa"), ("tiny few", "bb")], "text string, lang string")
     names, shares = lang_crf.lexicon(known, ["aa", "bb"], 10)
     assert len(names) == 4 and (shares[:, 1] > 0).sum() == 2
+
+
+def test_notice_within_a_long_paragraph(documents):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdeflmnorst") for _ in range(6))
+    filler = [(100 + i, " ".join(word() for _ in range(30))) for i in range(60)]
+    known = " ".join(t for _, t in filler).split()
+    long = lambda *notices: "  ".join(" ".join(rng.choice(known) for _ in range(500)) + " " + n for n in (*notices, ""))
+    rows = [(1, "head\n" + long("Released under the MIT License.")), (2, long("licensed under the GNU Lesser General Public License")), (3, long("")),
+            (4, long("Licensed under the Apache License, Version 2.0.", "released under the ISC license"))]
+    got = {r["id"]: [(x["line"], x["family"]) for x in r["found"]] for r in licenses.licenses(documents(rows + filler)).collect()}
+    assert (got[1], got[2], got[3]) == ([(1, "MIT")], [(0, "LGPL")], [])
+    assert sorted(got[4]) == [(0, "Apache"), (0, "ISC")]
