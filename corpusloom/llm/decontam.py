@@ -4,9 +4,10 @@
 2. Store the postings of the rarest term of every phrase: term, document,
    position and the terms around that position, as far as a phrase can reach.
    Each partition holds the postings of its own documents, sorted by term.
-3. Shift each posting by the term's offset in the phrase and intersect: the
-   second rarest term must stand at its offset, then all others (exact), or all
-   terms must stand close together (proximity).
+3. Shift each posting by the term's offset in the phrase and compare it with the
+   terms stored around it: the second rarest term must stand at its offset, then
+   all others (exact), or all terms must stand close together (proximity).  Only
+   rarest terms have postings; no lists are intersected.
 
 Nothing but matches leaves its partition.  Only built-in functions are used.  A
 document is known by its id and a hash of its text, so repeated rows get the
