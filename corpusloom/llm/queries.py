@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import decontam, exact_dedup, jaccard_join, lang_crf, licenses, line_dedup, packing, quality, repeats, url_filter
+from corpusloom.llm import (
+    decontam, exact_dedup, hard_negatives, jaccard_join, lang_crf, lexical_search, licenses, line_dedup, packing, quality, repeats, retrieval_packing,
+    url_filter,
+)
 from corpusloom.llm.common import text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +130,53 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(
         F.col("id").alias("doc_id"), "n_paragraphs", F.size(lines).cast("long").alias("n_licensed"), F.array_join(families, ",").alias("families"),
         F.array_join(lines, ",").alias("lines"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') IF x <> ''] AS w FROM documents),
+b AS (
+  SELECT item_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') IF x <> ''] AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(w) AS term FROM b) GROUP BY ALL),
+total AS (SELECT count(*) AS nd, sum(len(w))::BIGINT AS nt FROM d WHERE len(w) > 0),
+tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+df AS (SELECT term, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM tf, total GROUP BY term, nd),
+part AS (SELECT doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nd) // nt))) AS score FROM tf JOIN df USING (term), total),
+s AS (SELECT item_id, doc_id, sum(times * score)::BIGINT AS score FROM part JOIN q USING (term) GROUP BY item_id, doc_id HAVING sum(times * score) > 0)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s) WHERE rank <= 20
+"""
+
+
+@query("op12_lexical_search", OP12_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    out = lexical_search.ranked_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return out.select(F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = v.label AS same, v.vec_id, list_inner_product(a.e, v.e)::BIGINT AS score
+  FROM v a, v WHERE a.vec_id % 100 = 0 AND a.vec_id <> v.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM (
+  SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM s WHERE same) WHERE r <= 5)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM (
+  SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+    row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score) WHERE rank <= 5
+"""
+
+
+@query("op13_hard_negatives", OP13_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives.hard_negatives(hard_negatives.with_relabelled(table(spark, folder, "embeddings")))
+
+
+@query("op11_retrieval_packing")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return retrieval_packing.packed_with_neighbours(table(spark, folder, "documents"))
