@@ -30,7 +30,7 @@ from corpusloom.llm.common import text_of, written
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_WORDS = 900_000
+CACHED_WORDS = 400_000
 ROWS = 1000
 # fixed values: the vocabulary's pattern for lower-case text of ASCII and Latin letters, and such text
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t\n\r\x0b\x0ca-zß-öø-ÿ0-9]+")
@@ -46,7 +46,8 @@ class WordIds:
     of a text are those of its words between blanks.  A word of plain letters,
     digits and signs is made of parts that the vocabulary's own pattern cuts, and
     every part ends with a token that is marked as an end, so many new parts are
-    looked up in one call.  Words and parts are remembered by the worker process.
+    looked up in one call.  Words and parts are remembered for the task, up to
+    ``CACHED_WORDS`` of each, and go with it.
     """
 
     def __init__(self, path: str):
@@ -56,8 +57,8 @@ class WordIds:
         self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        # on a module that stays loaded, so that later tasks of the process find it
-        self.words, self.parts = public_tokenizers.__dict__.setdefault("_remembered", {}).setdefault(path, ({}, {}))
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def of(self, texts: list[str]) -> list[bytes]:
         cut = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
