@@ -14,15 +14,18 @@ packed as often as they occur.  Other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -30,8 +33,8 @@ from corpusloom.llm.common import text_of, written
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_WORDS = 400_000
 ROWS = 1000
+STOP = "\x1f"
 # fixed values: the vocabulary's pattern for lower-case text of ASCII and Latin letters, and such text
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t\n\r\x0b\x0ca-zß-öø-ÿ0-9]+")
 PLAIN = re.compile(r"[\x00-\x7FÀ-ÖØ-öø-ÿ]*\Z")
@@ -42,51 +45,42 @@ Pattern = tuple[int, list[tuple[int, int]]]  # times, [(length, copies)]
 class WordIds:
     """Ids of texts as little-endian 32-bit bytes.
 
-    The vocabulary drops white space and no token reaches across it, so the ids
-    of a text are those of its words between blanks.  A word of plain letters,
-    digits and signs is made of parts that the vocabulary's own pattern cuts, and
-    every part ends with a token that is marked as an end, so many new parts are
-    looked up in one call.  Words and parts are remembered for the task, up to
-    ``CACHED_WORDS`` of each, and go with it.
+    The vocabulary drops white space and no token reaches across it.  Text of
+    plain letters, digits and signs is cut into parts by the vocabulary's own
+    pattern; a stop byte after every part stands for the end that its last token
+    is marked with, so one call merges a whole text.  Other words, and those
+    that may name a special token, go to the tokenizer itself.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = token.endswith("</w>")
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        told = json.loads(self.tokenizer.to_str())
+        # such files write a byte as a printable character: itself, or the next one from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+        special = {a["content"] for a in told["added_tokens"]}
+        ranks = {  # ids are in the order of the merges, those of an end first
+            bytes(byte[c] for c in t.removesuffix("</w>")) + STOP.encode() * t.endswith("</w>"): i
+            for t, i in told["model"]["vocab"].items() if t not in special
+        }
+        self.merging = tiktoken.Encoding("parts", pat_str=f"[^{STOP}]+{STOP}", mergeable_ranks=ranks, special_tokens={})
+
+    def plain(self, text: str) -> bool:
+        return bool(PLAIN.match(text)) and "<|" not in text and STOP not in text
+
+    def merged(self, text: str) -> bytes:
+        parts = PARTS.findall(text.lower())
+        return self.merging.encode_to_numpy(STOP.join(parts) + STOP).astype("<u4").tobytes() if parts else b""
 
     def of(self, texts: list[str]) -> list[bytes]:
-        cut = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        for held in (self.words, self.parts):
-            if len(held) > CACHED_WORDS:
-                held.clear()
-        held = self.words
-        self.learn({w for words in cut for w in words if w not in held})
-        return [b"".join(map(held.__getitem__, words)) for words in cut]
-
-    def learn(self, words: set[str]) -> None:
-        cut = {w: PARTS.findall(w.lower()) for w in words if PLAIN.match(w) and "<|" not in w}
-        new = list({p for parts in cut.values() for p in parts if p not in self.parts})
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else ids
-            if len(stops) != len(some):
-                raise ValueError("the vocabulary does not mark the end of every part")
-            whole, at = ids.tobytes(), 0
-            for part, stop in zip(some, stops.tolist()):
-                self.parts[part] = whole[4 * at : 4 * stop]
-                at = stop
-        for w, parts in cut.items():
-            self.words[w] = b"".join(map(self.parts.__getitem__, parts))
-        rest = [w for w in words if w not in cut]
-        for w, found in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)):
-            self.words[w] = np.array(found.ids, "<u4").tobytes()
+        return [self.merged(t) if self.plain(t) else self.mixed(t) for t in texts]
+
+    def mixed(self, text: str) -> bytes:
+        runs = groupby(text.replace("\n", " ").replace("\t", " ").split(" "), self.plain)
+        joined = ((plain, " ".join(words)) for plain, words in runs)
+        return b"".join(self.merged(t) if plain else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for plain, t in joined)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
