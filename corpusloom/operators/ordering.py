@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from corpusloom.operators.sizing import cut_lineage
 from corpusloom.settings import DEFAULTS
 
 
@@ -38,3 +39,25 @@ def running_sum(
 def numbered(df: DataFrame, keys: list[str], order: str, out: str, block: int = DEFAULTS.order_block, tie: str | None = None) -> DataFrame:
     """Row number from 1 per key along the order column."""
     return running_sum(df, keys, order, F.lit(1), out, block, tie)
+
+
+def balanced(df: DataFrame, order: list[str], out: str, rows_per_part: int = DEFAULTS.order_block) -> DataFrame:
+    """Row number from 0 along the order columns over the whole frame, whatever the keys look like.
+
+    Rows are cut into ranges of about equal numbers of rows; the place of a row
+    in the input is the last key, so that equal keys are divided as well.  Only
+    one count per range is ordered in one place.
+    """
+    placed = cut_lineage(df.withColumn("__place", F.monotonically_increasing_id()))
+    parts = max(1, -(-placed.count() // rows_per_part))
+    along = placed.repartitionByRange(parts, *order, "__place").sortWithinPartitions(*order, "__place").drop("__place")
+    numbers = cut_lineage(along.withColumn("__id", F.monotonically_increasing_id()))  # the range in the upper bits, the row in the lower 33
+    within, part = F.col("__id").bitwiseAND((1 << 33) - 1), F.shiftright("__id", 33)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = numbers.groupBy(part.alias("__part")).count().select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
+    return (
+        numbers.withColumn("__part", part).withColumn("__within", within)
+        .join(F.broadcast(offsets), "__part")  # one row per range of rows_per_part rows
+        .withColumn(out, F.col("__before") + F.col("__within"))
+        .drop("__part", "__within", "__before", "__id")
+    )

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpusloom import lexicon
 from corpusloom.functions import questions as qf
 from corpusloom.functions.words import stem
+from corpusloom.operators.ordering import balanced
 from corpusloom.operators.sizing import best, cut_lineage, hinted, small
 from corpusloom.settings import DEFAULTS
 
@@ -300,6 +301,23 @@ def markdown_blocks(rows: DataFrame, label: str, columns: list[str], order: str,
     )
 
 
+def row_blocks(rows: DataFrame, label: str, columns: list[str], order: list[str], block_rows: int = DEFAULTS.connected_block_rows) -> DataFrame:
+    """(label, block, content): markdown tables of exactly ``block_rows`` rows (the last may be shorter), for keys of any kind.
+
+    Rows are numbered over the whole table, so repeated keys are divided and sparse ones do not give short blocks.
+    """
+    head = "\n".join(
+        [f"Tabel: {label}", "", "| " + " | ".join(columns) + " |", "|" + "|".join(["---"] * len(columns)) + "|"]
+    )
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in columns]), F.lit(" |"))
+    numbered = balanced(rows.select(*order, line.alias("__line")), order, "__n")
+    return (
+        numbered.groupBy(F.floor(F.col("__n") / block_rows).cast("long").alias("block"))
+        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__n", "__line"))), lambda x: x["__line"]), "\n").alias("body"))
+        .select(F.lit(label).alias("label"), "block", F.concat(F.lit(head + "\n"), "body").alias("content"))
+    )
+
+
 # aggregates ---------------------------------------------------------------------------------------
 
 

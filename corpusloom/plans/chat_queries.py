@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import uuid
+
+from pyspark.sql import Window, functions as F
 
 from corpusloom import lexicon
 from corpusloom.operators import chat
+from corpusloom.operators.sizing import shared_folder
 from corpusloom.plans import sqltext as s
 from corpusloom.plans.registry import Tables, query
+from corpusloom.streaming import chats
 
 # every turn is one message of the log of its conversation, in one of four line forms; texts keep their line breaks
 TURNS_SQL = """turns AS (SELECT conv_id AS file, turn, role, text,
@@ -105,6 +109,28 @@ def system_lines(t: Tables):
     return chat_lines(t).select("file", "line_no", chat.is_system_line(F.col("line")).alias("is_system"))
 
 
+STREAMED_SQL = MESSAGES_SQL.replace(
+    "SELECT file, turn * 1000000 + p AS line_no, line FROM pieces", "SELECT CAST(file AS VARCHAR) AS file, row_number() OVER (PARTITION BY file ORDER BY turn, p) AS line_no, line FROM pieces")
+
+
+@query("x1_streamed_chats", STREAMED_SQL + " SELECT file, message_id, sender, ts, content FROM messages")
+def streamed_chats(t: Tables):
+    """Every chat arrives in parts of three lines, in three runs of the stream that each go on from the state of the one before."""
+    lines = chat_lines(t).withColumn("nth", F.row_number().over(Window.partitionBy("file").orderBy("line_no")) - 1)
+    place = F.floor(F.col("nth") / 3)
+    piece = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "line"))), lambda x: x["line"]), "\n")
+    parts = lines.groupBy(F.col("file").cast("string").alias("chat"), place.alias("part")).agg(piece.alias("text"))
+    base = f"{shared_folder(t.spark).rstrip('/')}/chats-{uuid.uuid4().hex}"
+    arrival = F.least(F.col("part") % 4, F.lit(2)).cast("int")  # parts 1 to 3 of a chat come after all its parts 0, 4, 8 ..
+    parts.withColumn("arrival", arrival).write.partitionBy("arrival").parquet(f"{base}/all")
+    for k in range(3):
+        t.spark.read.schema(parts.schema).parquet(f"{base}/all/arrival={k}").write.mode("append").parquet(f"{base}/in")
+        stream = t.spark.readStream.schema(parts.schema).parquet(f"{base}/in")
+        for run in chats.ingest_chats(stream, f"{base}/table", f"{base}/mark"):
+            run.awaitTermination()
+    return chats.streamed_messages(t.spark, f"{base}/table").drop("line_no")
+
+
 @query("c4_messages", MESSAGES_SQL + " SELECT file, message_id, sender, ts, content FROM messages")
 def folded_messages(t: Tables):
     return chat.messages(chat_lines(t)).drop("line_no")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from corpusloom.functions import urls
 from corpusloom.functions.words import words
-from corpusloom.operators import upkeep
+from corpusloom.operators import blockmax, upkeep
+from corpusloom.operators.sizing import shared_folder
 from corpusloom.plans import sqltext as s
 from corpusloom.plans.inputs import benchmark_questions, document_chunks
 from corpusloom.plans.registry import Tables, query
@@ -118,12 +118,22 @@ def table_profile(t: Tables):
     + s.best("bm", "question_id, collection", "score DESC, chunk_id", 5, cols="question_id, collection, chunk_id, score, rank"),
 )
 def persisted_index(t: Tables):
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loom-")
-    place = f"{base}/index-{uuid.uuid4().hex}"
+    place = f"{shared_folder(t.spark).rstrip('/')}/index-{uuid.uuid4().hex}"
     store.save_collections(document_chunks(t, by_language=True), place)
     return store.score_saved(benchmark_questions(t), place, 5)
 
 
+@query(
+    "s17_block_max",
+    f"WITH {s.DOCS_BY_LANG}, {s.ASKED}, {s.lexical()} "
+    + s.best("bm", "question_id, collection", "score DESC, chunk_id", 5, cols="question_id, collection, chunk_id, score, rank"),
+)
+def block_max(t: Tables):
+    place = f"{shared_folder(t.spark).rstrip('/')}/blocks-{uuid.uuid4().hex}"
+    blockmax.save_blocks(document_chunks(t, by_language=True), place)
+    return blockmax.block_max_top(benchmark_questions(t), place, 5).hits
+
+
 # links --------------------------------------------------------------------------------------------
 
 FILE_SHAPE = r"^/([a-z][^/]*)"

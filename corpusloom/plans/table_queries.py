@@ -8,6 +8,7 @@ from corpusloom import lexicon
 from corpusloom.functions import questions as qf
 from corpusloom.functions.words import words
 from corpusloom.operators import tables as tb
+from corpusloom.operators.ordering import balanced
 from corpusloom.plans import sqltext as s
 from corpusloom.plans.question_queries import TERMS, _expanded_terms
 from corpusloom.plans.registry import Tables, query
@@ -222,7 +223,7 @@ def answered_aggregates(t: Tables):
 
 @query(
     "s7_table_blocks",
-    "SELECT 'part' AS label, p_partkey // 200 AS block, 'Tabel: part' || chr(10) || chr(10) || '| p_partkey | p_name | p_brand | p_size |' || chr(10) || '|---|---|---|---|' || chr(10) || "
+    "SELECT 'part' AS label, p_partkey // 200 AS block, 'Tabel: part' || chr(10) || chr(10) || '| p_partkey | p_name | p_brand | p_size |' || chr(10) || '|---|---|---|---|---|' || chr(10) || "
     "string_agg('| ' || p_partkey || ' | ' || replace(replace(p_name || '|', '|', '\\|'), chr(10), ' ') || ' | ' || coalesce(nullif(p_brand, 'Brand#1'), '') || ' | ' || p_size || ' |', chr(10) ORDER BY p_partkey) AS content "
     "FROM part GROUP BY block",
 )
@@ -231,6 +232,22 @@ def table_blocks(t: Tables):
     return tb.markdown_blocks(rows, "part", ["p_partkey", "p_name", "p_brand", "p_size"], "p_partkey")
 
 
+@query(
+    "s7_row_blocks",
+    "SELECT 'lineitem' AS label, n // 200 AS block, 'Tabel: lineitem' || chr(10) || chr(10) || '| l_orderkey | l_linenumber | l_partkey | l_returnflag |' || chr(10) || '|---|---|---|---|' || chr(10) || "
+    "string_agg('| ' || l_orderkey || ' | ' || l_linenumber || ' | ' || l_partkey || ' | ' || coalesce(l_returnflag, '') || ' |', chr(10) ORDER BY n) AS content "
+    "FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_returnflag) - 1 AS n FROM lineitem) GROUP BY block",
+)
+def row_blocks(t: Tables):
+    """Rows of one order share their key, which blocks by key range could not divide."""
+    return tb.row_blocks(t.lineitem, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_returnflag"], ["l_orderkey", "l_linenumber", "l_partkey", "l_returnflag"])
+
+
+@query("w3_balanced_numbers", "SELECT o_orderkey, row_number() OVER (ORDER BY o_custkey, o_orderdate, o_orderkey) - 1 AS no FROM orders")
+def balanced_numbers(t: Tables):
+    return balanced(t.orders.select("o_custkey", "o_orderdate", "o_orderkey"), ["o_custkey", "o_orderdate", "o_orderkey"], "no", 10_000).select("o_orderkey", "no")
+
+
 @query(
     "p5_record_text",
     "SELECT c_custkey, 'c_custkey: ' || c_custkey || chr(10) || 'c_name: ' || c_name || chr(10) || 'c_mktsegment: ' || coalesce(nullif(c_mktsegment, 'BUILDING'), 'None') AS content FROM customer",
