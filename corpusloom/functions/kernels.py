@@ -7,8 +7,8 @@ import sys
 from pyspark import cloudpickle
 
 
-def pack_vectors(key_names):
-    """mapInArrow function: one row per run of equal keys in a batch, vectors packed into bytes."""
+def pack_vectors(key_names, most=None):
+    """mapInArrow function: one row per run of equal keys in a batch, of at most ``most`` vectors, packed into bytes."""
 
     def run(batches):
         import numpy as np
@@ -27,6 +27,9 @@ def pack_vectors(key_names):
                 codes = codes * (len(coded.dictionary) + 1) + np.asarray(coded.indices.fill_null(len(coded.dictionary)))
             order = np.lexsort((ids, codes))
             first = np.flatnonzero(np.concatenate(([True], codes[order][1:] != codes[order][:-1])))
+            if most:
+                ends = np.append(first[1:], len(order))
+                first = np.concatenate([np.arange(a, b, most) for a, b in zip(first, ends)])
             parts = np.split(order, first[1:])
             out = {
                 **{k: batch.column(k).take(pa.array(order[first])) for k in key_names},
@@ -38,6 +41,152 @@ def pack_vectors(key_names):
     return run
 
 
+def centroids_of(rows, n, rounds):
+    """At most ``n`` centers of the rows: some rounds of moving each center to the mean of its nearest rows."""
+    import numpy as np
+
+    if not len(rows):
+        return np.zeros((0, 0))
+    centers = np.unique(rows, axis=0)
+    centers = centers[np.linspace(0, len(centers) - 1, min(n, len(centers))).astype(int)]
+    for _ in range(rounds):
+        near = ((centers * centers).sum(1)[None, :] - 2 * rows @ centers.T).argmin(1)
+        sums = np.zeros_like(centers)
+        np.add.at(sums, near, rows)
+        counts = np.bincount(near, minlength=len(centers))
+        centers[counts > 0] = sums[counts > 0] / counts[counts > 0, None]
+    return centers
+
+
+def nearest_centroid(centers):
+    """mapInArrow function: adds the nearest center of each vector and the distance to it."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            mat = np.asarray(batch.column("vec").flatten()).astype(np.float64).reshape(batch.num_rows, -1)
+            near = ((centers * centers).sum(1)[None, :] - 2 * mat @ centers.T).argmin(1)
+            radius = np.sqrt(((mat - centers[near]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("collection"), batch.column("chunk_id"), batch.column("vec"), pa.array(near.astype(np.int32)), pa.array(radius)],
+                names=["collection", "chunk_id", "vec", "centroid", "radius"])
+
+    return run
+
+
+def ring_blocks(most):
+    """mapInArrow function over rows in order of (centroid, collection, radius): packed blocks with their radii."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            ids = np.asarray(batch.column("chunk_id"))
+            mat = np.asarray(batch.column("vec").flatten()).astype(np.float32).reshape(batch.num_rows, -1)
+            centroid, radius = np.asarray(batch.column("centroid")), np.asarray(batch.column("radius"))
+            coded = batch.column("collection").dictionary_encode()
+            code = np.asarray(coded.indices.fill_null(len(coded.dictionary)))
+            new = np.flatnonzero((centroid[1:] != centroid[:-1]) | (code[1:] != code[:-1])) + 1
+            edges = [0, *new.tolist(), batch.num_rows]
+            spans = [(i, min(i + most, b)) for a, b in zip(edges, edges[1:]) for i in range(a, b, most)]
+            starts = pa.array([a for a, _ in spans])
+            order = [np.arange(a, b)[np.argsort(ids[a:b], kind="stable")] for a, b in spans]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("collection").take(starts), batch.column("centroid").take(starts),
+                 pa.array(number + np.arange(len(spans))), pa.array(np.array([b - a for a, b in spans], np.int32)),
+                 pa.array([float(radius[a:b].min()) for a, b in spans]), pa.array([float(radius[a:b].max()) for a, b in spans]),
+                 pa.array([ids[o].tobytes() for o in order], pa.binary()), pa.array([mat[o].tobytes() for o in order], pa.binary())],
+                names=["collection", "centroid", "block", "n", "low", "high", "ids", "mat"])
+            number += len(spans)
+
+    return run
+
+
+def _ring_floors(centers, rings, mat):
+    """(questions x rings): how near a vector of the ring can be at least."""
+    import numpy as np
+
+    gap = np.sqrt(np.maximum((mat * mat).sum(1)[:, None] + (centers * centers).sum(1)[None, :] - 2 * mat @ centers.T, 0))
+    gap = gap[:, rings["centroid"]]
+    # the square root of a difference loses half the digits
+    return np.maximum(np.maximum(gap - rings["high"], rings["low"] - gap) - 1e-6, 0)
+
+
+def _rings_by_collection(held):
+    import numpy as np
+
+    groups = {}
+    for i, c in enumerate(held["collection"]):
+        groups.setdefault(c, []).append(i)
+    arrays = {c: np.array(held[c]) for c in ("centroid", "block", "n", "low", "high")}
+    return [(c, {name: x[rows] for name, x in arrays.items()}) for c, rows in groups.items()]
+
+
+def _ring_rows(ids, collection, rings, row, column, floors, kind):
+    import numpy as np
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids[row]), pa.array([collection] * len(row), kind), pa.array(rings["centroid"][column].astype(np.int32)),
+         pa.array(rings["block"][column].astype(np.int64)), pa.array(rings["n"][column].astype(np.int32)), pa.array(floors[row, column])],
+        names=["question_id", "collection", "centroid", "block", "n", "floor"])
+
+
+def nearest_rings(centers, held, k, kind):
+    """mapInArrow function over questions: per question and collection the k rings that can be nearest."""
+
+    def run(batches):
+        import numpy as np
+
+        groups = _rings_by_collection(held.value)
+        for batch in batches:
+            ids = np.asarray(batch.column("question_id")).astype(np.int64)
+            mat = np.asarray(batch.column("vec").flatten()).astype(np.float64).reshape(len(ids), -1) if len(ids) else np.zeros((0, 1))
+            for collection, rings in groups:
+                step = max(1, 4_000_000 // len(rings["block"]))
+                for at in range(0, len(ids), step):
+                    floors = _ring_floors(centers, rings, mat[at : at + step])
+                    order = np.lexsort((np.broadcast_to(rings["block"], floors.shape), floors), axis=1)[:, :k]
+                    row = np.repeat(np.arange(len(order)), order.shape[1])
+                    yield _ring_rows(ids[at : at + step], collection, rings, row, order.ravel(), floors, kind)
+
+    return run
+
+
+def rings_within(centers, held):
+    """mapInArrow function over (question_id, collection, reach, vec): the rings of the collection that may hold something within reach."""
+
+    def run(batches):
+        import numpy as np
+
+        groups = _rings_by_collection(held.value)
+        for batch in batches:
+            ids = np.asarray(batch.column("question_id")).astype(np.int64)
+            if not len(ids):
+                continue
+            mat = np.asarray(batch.column("vec").flatten()).astype(np.float64).reshape(len(ids), -1)
+            reach, names = np.asarray(batch.column("reach")), np.array(batch.column("collection").to_pylist(), object)
+            for collection, rings in groups:
+                mine = np.flatnonzero(names == collection)
+                step = max(1, 4_000_000 // len(rings["block"]))
+                for at in range(0, len(mine), step):
+                    some = mine[at : at + step]
+                    floors = _ring_floors(centers, rings, mat[some])
+                    row, column = np.nonzero(floors <= reach[some][:, None])
+                    yield _ring_rows(ids[some], collection, rings, row, column, floors, batch.column("collection").type)
+
+    return run
+
+
 def nearest_in_blocks(k, key_names, dim):
     """mapInArrow function over (question block, vector block) rows.
 

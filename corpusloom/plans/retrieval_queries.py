@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from corpusloom.operators import dense, fuse, lexical
-from corpusloom.operators.sizing import best
+from corpusloom.operators import centroids, dense, fuse, lexical
+from corpusloom.operators.sizing import best, shared_folder
 from corpusloom.plans import sqltext as s
 from corpusloom.plans.inputs import benchmark_questions, document_chunks, with_hashed
 from corpusloom.plans.registry import Tables, query
@@ -78,6 +80,33 @@ def dense_topk_strict(t: Tables):
     return dense.retrieve(questions, vectors, 5, 0.3).select("question_id", "chunk_id", "rank", "score")
 
 
+@query(
+    "r1_dense_pruned",
+    f"WITH {VEC_DIST}, ranked AS ({s.best('dist', 'question_id', 'distance, chunk_id', K)}) "
+    "SELECT question_id, chunk_id, rank, round(1 / (1 + distance), 4) AS score FROM ranked WHERE 1 / (1 + distance) >= 0.2",
+)
+def dense_pruned(t: Tables):
+    """The same hits from vectors stored by centroid."""
+    questions, vectors = _vector_frames(t, F.lit("all"))
+    place = f"{shared_folder(t.spark).rstrip('/')}/vectors-{uuid.uuid4().hex}"
+    centroids.save_vectors(vectors, place, block_rows=64)
+    return centroids.retrieve_pruned(questions, place, K, DEFAULTS.similarity_threshold).select("question_id", "chunk_id", "rank", "score")
+
+
+@query(
+    "r2_dense_pruned",
+    f"WITH {VEC_DIST}, inner_k AS ({s.best('dist', 'question_id, collection', 'distance, chunk_id', 5, 'r0')}), "
+    f"outer_k AS ({s.best('inner_k', 'question_id', 'distance, collection, chunk_id', 5)}) "
+    "SELECT question_id, collection, chunk_id, rank, round(1 / (1 + distance), 4) AS score FROM outer_k",
+)
+def dense_per_collection_pruned(t: Tables):
+    questions, vectors = _vector_frames(t, F.col("label"))
+    place = f"{shared_folder(t.spark).rstrip('/')}/vectors-{uuid.uuid4().hex}"
+    centroids.save_vectors(vectors, place, block_rows=64)
+    hits = dense.across_collections(centroids.nearest_pruned(questions, place, 5).hits, 5)
+    return hits.select("question_id", "collection", "chunk_id", "rank", F.round(dense.similarity(F.col("distance")), 4).alias("score"))
+
+
 @query(
     "r2_dense_per_collection",
     f"WITH {VEC_DIST}, inner_k AS ({s.best('dist', 'question_id, collection', 'distance, chunk_id', 5, 'r0')}), "

@@ -139,3 +139,44 @@ def test_block_max_bounds_hold_no_postings(spark, tmp_path):
     held = spark.read.parquet(str(tmp_path / "b/bounds"))
     assert set(held.columns) == {"collection", "term", "block", "bound"}
     assert spark.read.parquet(str(tmp_path / "b/blocks")).agg(F.max(F.size("held"))).first()[0] <= blockmax.BLOCK_CHUNKS
+
+
+def clustered(spark, n=1500, dim=8, seed=3):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    centers = rng.normal(size=(12, dim)) * 4
+    rows = [("abc"[i % 3], i, [float(x) for x in np.float32(centers[i % 12] + rng.normal(size=dim) * 0.2)]) for i in range(n)]
+    rows += [("a", n + i, rows[0][2]) for i in range(200)] + [("few", 9000 + i, rows[i][2]) for i in range(3)]
+    asked = [(i, [float(x) for x in np.float32(centers[i % 12] + rng.normal(size=dim) * 0.3)]) for i in range(30)] + [(90, rows[0][2]), (91, [0.0] * dim)]
+    return (spark.createDataFrame(rows, "collection string, chunk_id long, vec array<float>").repartition(3),
+            spark.createDataFrame(asked, "question_id long, vec array<float>"))
+
+
+def test_pruned_vectors_equal_the_whole_search(spark, tmp_path, monkeypatch):
+    from corpusloom.operators import centroids, dense
+
+    vectors, asked = clustered(spark)
+    names = ["question_id", "collection", "chunk_id", "distance", "rank"]
+    want = sorted(tuple(r[n] for n in names) for r in dense.nearest(asked, vectors, 5, 8).collect())
+    place = str(tmp_path / "v")
+    centroids.save_vectors(vectors, place, n_centroids=24, block_rows=16)
+    blocks = spark.read.parquet(f"{place}/rings").count()
+    for rings in (200_000, 40):
+        monkeypatch.setattr(centroids, "RINGS", rings)
+        found = centroids.nearest_pruned(asked, place, 5, 8)
+        assert sorted(tuple(r[n] for n in names) for r in found.hits.collect()) == want
+        assert found.read.count() < 0.35 * blocks * 32
+        assert found.read.count() == found.read.distinct().count()
+
+
+def test_one_centroid_holds_most_vectors(spark, tmp_path):
+    from corpusloom.operators import centroids, dense
+
+    vectors = spark.createDataFrame([("a", i, [1.0, 0.0]) for i in range(900)] + [("a", 900 + i, [0.0, float(i)]) for i in range(9)], "collection string, chunk_id long, vec array<float>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 4.2])], "question_id long, vec array<float>")
+    centroids.save_vectors(vectors, str(tmp_path / "v"), n_centroids=4, block_rows=50)
+    rings = spark.read.parquet(str(tmp_path / "v/rings"))
+    assert rings.agg(F.max("n")).first()[0] <= 50
+    got = sorted(map(tuple, centroids.nearest_pruned(asked, str(tmp_path / "v"), 7, 2).hits.select("question_id", "chunk_id", "distance", "rank").collect()))
+    assert got == sorted(map(tuple, dense.nearest(asked, vectors, 7, 2).select("question_id", "chunk_id", "distance", "rank").collect()))
