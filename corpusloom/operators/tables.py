@@ -101,8 +101,8 @@ def _across_words(table: Searchable, slots: list[Column], texts: dict[int, Colum
     """(question_id, row_id, slot, pos) of terms that are no single word, such as ``x-ray`` or ``quality lead``.
 
     The longest word part of the term finds the rows, whose text must then hold
-    the whole term.  ``texts`` has the text of each slot; a term without a word
-    part matches nothing.
+    the whole term.  A term without a word part, such as ``%``, is found by its
+    first sign.  ``texts`` has the text of each slot.
     """
     parts = F.regexp_extract_all("term", F.lit(PART), F.lit(0))
     longest = F.array_max(F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
@@ -110,6 +110,10 @@ def _across_words(table: Searchable, slots: list[Column], texts: dict[int, Colum
         "question_id", "pos", F.col("term").alias("whole"), longest.alias("term"))
     words = part_matches(vocab.filter(F.col("slot").isin(*texts)), multi).select("slot", "word", "question_id", "pos", "whole")
     met = _spread(table, slots).join(small(words), ["slot", "word"]).select("row_id", "slot", "question_id", "pos", "whole").distinct()
+    signs = by_term.filter((F.size(parts) == 0) & (F.col("term") != "")).select("question_id", "pos", F.col("term").alias("whole"), F.substring("term", 1, 1).alias("sign"))
+    own = F.array(*[F.struct(F.lit(i).alias("slot"), F.array_distinct(F.split(F.regexp_replace(F.lower(c), PART, ""), "")).alias("signs")) for i, c in texts.items()])
+    held = _keyed(table).select("row_id", F.explode(own).alias("x")).select("row_id", "x.slot", F.explode("x.signs").alias("sign"))
+    met = met.unionByName(held.join(small(signs), "sign").select("row_id", "slot", "question_id", "pos", "whole"))
     whole = F.create_map(*[x for i, c in texts.items() for x in (F.lit(i), F.lower(c))])
     rows = _keyed(table).select("row_id", whole.alias("texts"))
     return rows.join(small(met), "row_id").filter(F.col("texts")[F.col("slot")].contains(F.col("whole"))).select("question_id", "row_id", "slot", "pos")

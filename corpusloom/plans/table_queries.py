@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusloom import lexicon
 from corpusloom.functions import questions as qf
 from corpusloom.functions.words import words
 from corpusloom.operators import tables as tb
+from corpusloom.operators import trigrams
 from corpusloom.operators.ordering import balanced
+from corpusloom.operators.sizing import shared_folder
 from corpusloom.plans import sqltext as s
 from corpusloom.plans.question_queries import TERMS, _expanded_terms
 from corpusloom.plans.registry import Tables, query
@@ -110,6 +114,28 @@ def multiword_search(t: Tables):
     return tb.search_parts(made, searchables(t)[0]).withColumn("row_id", F.col("row_id").cast("long"))
 
 
+SIGNS_SQL = """asked AS (SELECT s_suppkey AS question_id, list_distinct(CASE s_suppkey % 4
+    WHEN 0 THEN ['#', lower(p_brand)] WHEN 1 THEN [lower(substr(p_name, 3, 8)), 'zz', '%'] WHEN 2 THEN ['d#1', lower(p_type), '-'] ELSE [substr(lower(p_type), 1, 2), '#1'] END) AS terms,
+    []::VARCHAR[] AS stems, CASE WHEN s_suppkey % 2 = 0 THEN [lower(p_name)] ELSE [] END AS phrases
+  FROM supplier JOIN part ON p_partkey = s_suppkey)"""
+
+
+@query("r13_trigram_search", f"WITH {SIGNS_SQL} " + " UNION ALL ".join(f"SELECT question_id, '{n}' AS \"table\", row_id, score FROM ({_parts_sql(n)})" for n in LAYOUT))
+def trigram_search(t: Tables):
+    """Terms of signs, of one and two characters, of several words, in three tables at once."""
+    case, name, brand, kind = F.col("s_suppkey") % 4, F.lower("p_name"), F.lower("p_brand"), F.lower("p_type")
+    terms = (
+        F.when(case == 0, F.array(F.lit("#"), brand)).when(case == 1, F.array(F.substring(name, 3, 8), F.lit("zz"), F.lit("%")))
+        .when(case == 2, F.array(F.lit("d#1"), kind, F.lit("-"))).otherwise(F.array(F.substring(kind, 1, 2), F.lit("#1")))
+    )
+    made = t.supplier.join(t.part, F.col("p_partkey") == F.col("s_suppkey")).select(
+        F.col("s_suppkey").alias("question_id"), F.array_distinct(terms).alias("terms"),
+        F.when(F.col("s_suppkey") % 2 == 0, F.array(name)).otherwise(F.array().cast("array<string>")).alias("phrases"))
+    place = f"{shared_folder(t.spark).rstrip('/')}/grams-{uuid.uuid4().hex}"
+    trigrams.save_tables(searchables(t), place)
+    return trigrams.search_indexed(made, place).withColumn("row_id", F.col("row_id").cast("long"))
+
+
 def _searched_sql() -> str:
     ctes, unions = [], []
     for label in LAYOUT:

@@ -180,3 +180,37 @@ def test_one_centroid_holds_most_vectors(spark, tmp_path):
     assert rings.agg(F.max("n")).first()[0] <= 50
     got = sorted(map(tuple, centroids.nearest_pruned(asked, str(tmp_path / "v"), 7, 2).hits.select("question_id", "chunk_id", "distance", "rank").collect()))
     assert got == sorted(map(tuple, dense.nearest(asked, vectors, 7, 2).select("question_id", "chunk_id", "distance", "rank").collect()))
+
+
+def signs(spark):
+    rows = spark.createDataFrame(
+        [(1, "100% cotton", "x-ray Ab"), (2, "cotton", "XRAY a"), (3, "%", None), (4, "a b", "é 日本語"), (5, "", "x-ra"), (10, "cotton cotton 5 %", "q")], "k long, a string, b string")
+    other = spark.createDataFrame([("z9", "x-ray%")], "code string, t string")
+    return [tables.Searchable("one", rows, "k", ("a", "b"), "a"), tables.Searchable("two", other, "code", ("t",))]
+
+
+def test_trigram_search_finds_terms_of_any_kind(spark, tmp_path):
+    from corpusloom.operators import trigrams
+
+    found = signs(spark)
+    asked = {1: (["%"], []), 2: (["X-Ray"], ["cotton"]), 3: (["q"], []), 4: (["ab", "a"], []), 5: (["日本語", "本", "é"], []), 6: (["on 5"], []), 7: (["nowhere", ""], []), 8: ([], [])}
+    questions = spark.createDataFrame([(q, t, p) for q, (t, p) in asked.items()], "question_id long, terms array<string>, phrases array<string>")
+    for block in (2, 1024):
+        place = str(tmp_path / f"grams{block}")
+        trigrams.save_tables(found, place, block)
+        got = {tuple(r) for r in trigrams.search_indexed(questions, place, 10, block).collect()}
+        want = set()
+        for t in found:
+            for r in t.rows.collect():
+                for q, (terms, phrases) in asked.items():
+                    low = [(r[c] or "").lower() for c in t.text_columns]
+                    score = sum(x in c for c in low for x in {y.lower() for y in terms} if x) + 10 * sum(p in c for c in low for p in phrases)
+                    if score:
+                        want.add((q, t.label, str(r[t.key]), float(score)))
+        assert got == want
+
+
+def test_word_search_finds_terms_of_signs(spark):
+    questions = spark.createDataFrame([(1, ["%"], []), (2, ["% c"], []), (3, ["-"], []), (4, ["x-ray"], [])], "question_id long, terms array<string>, phrases array<string>")
+    got = {(r.question_id, r.row_id, r.score) for r in tables.search_parts(questions, signs(spark)[0]).collect()}
+    assert got == {(1, "1", 1.0), (1, "3", 1.0), (1, "10", 1.0), (2, "1", 1.0), (3, "1", 1.0), (3, "5", 1.0), (4, "1", 1.0)}
