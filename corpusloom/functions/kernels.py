@@ -232,6 +232,54 @@ def nearest_in_blocks(k, key_names, dim):
     return run
 
 
+def occurrences(held, text, out):
+    """mapInArrow function: adds all places where one of the held (nth, name) occurs in a text column."""
+
+    def run(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        automaton = ahocorasick.Automaton()
+        for nth, name in held.value:
+            automaton.add_word(name, (nth, len(name)))
+        if len(automaton):
+            automaton.make_automaton()
+        kind = pa.list_(pa.struct([("nth", pa.int64()), ("at", pa.int32()), ("size", pa.int32())]))
+        for batch in batches:
+            rows = []
+            for t in batch.column(text).to_pylist():
+                found = automaton.iter(t) if t and len(automaton) else ()
+                rows.append([{"nth": nth, "at": end + 1 - size, "size": size} for end, (nth, size) in found])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], names=[*batch.schema.names, out])
+
+    return run
+
+
+def longest_first(found, out):
+    """mapInArrow function: of overlapping occurrences those of the smallest nth stay, from the left."""
+
+    def run(batches):
+        from bisect import bisect_right
+
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = []
+            for row in batch.column(found).to_pylist():
+                starts, ends, kept = [], [], []
+                for x in sorted(row or (), key=lambda x: (x["nth"], x["at"])):
+                    a, b = x["at"], x["at"] + x["size"]
+                    i = bisect_right(starts, a)
+                    if (i == 0 or ends[i - 1] <= a) and (i == len(starts) or starts[i] >= b):
+                        starts.insert(i, a)
+                        ends.insert(i, b)
+                        kept.append(x)
+                rows.append(sorted(kept, key=lambda x: x["at"]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, batch.column(found).type)], names=[*batch.schema.names, out])
+
+    return run
+
+
 def bucket_vectors(buckets, dim):
     """Unit length counts of bucket numbers, one float32 vector per row (a pandas series of lists)."""
     import numpy as np

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window, functions as F
 
 from corpusloom import lexicon
-from corpusloom.operators import chat
+from corpusloom.operators import chat, patterns
 from corpusloom.operators.sizing import shared_folder
 from corpusloom.plans import sqltext as s
 from corpusloom.plans.registry import Tables, query
@@ -159,6 +159,17 @@ def pseudonyms(t: Tables):
     )
 
 
+@query(
+    "c7_pseudonyms_by_table",
+    MESSAGES_SQL + f" SELECT file, message_id, {_pseudonym_sql('sender')} AS sender, regexp_replace(regexp_replace(sender || ' said ' || content, '(?i)user 0', 'Dev_A', 'g'), '(?i)user 1', 'Dev_B', 'g') AS content FROM messages",
+)
+def pseudonyms_by_table(t: Tables):
+    """The dictionary is a table."""
+    names = t.spark.createDataFrame(list(NAMES.items()), "name string, alias string")
+    said = chat.messages(chat_lines(t)).select("file", "message_id", F.col("sender").alias("raw"), F.concat("sender", F.lit(" said "), "content").alias("content"))
+    return patterns.masked_by(patterns.pseudonym_by(said, "raw", names, "sender"), "content", names).select("file", "message_id", "sender", "content")
+
+
 @query(
     "c8_picture_prefix",
     f"SELECT conv_id, turn, {s.strip('''regexp_replace(regexp_replace(CASE role WHEN 'user' THEN 'Image ' || text ELSE 'selected photo' || text END, '(?i)^image[ \\t\\n\\r]*', ''), '(?i)^Selected photo[ \\t\\n\\r]*', '[foto]')''')} AS content FROM conversations",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom import lexicon
 from corpusloom.functions import questions as qf
 from corpusloom.functions.words import stem, words
+from corpusloom.operators import patterns
 from corpusloom.plans import sqltext as s
 from corpusloom.plans.inputs import part_questions
 from corpusloom.plans.registry import Tables, query
@@ -273,3 +274,15 @@ def file_reference(t: Tables):
 @query("q13_person_question", WITH + f"SELECT question_id, {s.any_of('lower(text)', lexicon.PERSON_QUESTION_WORDS)} AS is_person FROM questions")
 def person_question(t: Tables):
     return part_questions(t).select("question_id", qf.is_person_question(Q()).alias("is_person"))
+
+
+@query(
+    "q5_dictionary_hits",
+    "WITH p AS (SELECT DISTINCT lower(w) AS name FROM (SELECT unnest(string_split(replace(text, chr(10), ' '), ' ')) AS w FROM benchmark) WHERE length(w) >= 6) "
+    "SELECT doc_id, count(*) AS n_names, max(length(name)) AS longest, min(name) AS first_name FROM documents JOIN p ON contains(lower(text), name) GROUP BY doc_id",
+)
+def dictionary_hits(t: Tables):
+    """All long words of the benchmark as one dictionary, looked up in all documents."""
+    names = t.benchmark.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w")).filter(F.length("w") >= 6).select(F.lower("w").alias("name"))
+    met = patterns.entries_within(t.documents, ["doc_id"], F.lower("text"), names)
+    return met.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_names"), F.max(F.length("name").cast("long")).alias("longest"), F.min("name").alias("first_name"))

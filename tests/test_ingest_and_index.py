@@ -214,3 +214,27 @@ def test_word_search_finds_terms_of_signs(spark):
     questions = spark.createDataFrame([(1, ["%"], []), (2, ["% c"], []), (3, ["-"], []), (4, ["x-ray"], [])], "question_id long, terms array<string>, phrases array<string>")
     got = {(r.question_id, r.row_id, r.score) for r in tables.search_parts(questions, signs(spark)[0]).collect()}
     assert got == {(1, "1", 1.0), (1, "3", 1.0), (1, "10", 1.0), (2, "1", 1.0), (3, "1", 1.0), (3, "5", 1.0), (4, "1", 1.0)}
+
+
+def test_dictionary_table_equals_chained_replacements(spark):
+    from corpusloom.operators import patterns
+
+    names = {"ana maria": "A", "maria lopez silva": "B", "lopez silva": "C", "li": "D", "jo (x)": "E"}
+    texts = ["Ana Maria Lopez Silva met Li", "ANA MARIA, ana maria; LOPEZ SILVA", "é ana mariaana maria", "", None, "jo (x) jo x", "maria lopez silva maria lopez silvana maria"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    table = spark.createDataFrame(list(names.items()) + [(None, "n"), ("", "e")], "name string, alias string")
+    want = {r.i: (r.t, r.a) for r in df.select("i", chat.masked(F.col("t"), names).alias("t"), chat.pseudonym(F.col("t"), names).alias("a")).collect()}
+    for size in (64 << 20, 150):  # in one slice and in several
+        settings = patterns.DEFAULTS.__class__(broadcast_bytes=size)
+        got = patterns.masked_by(patterns.pseudonym_by(df, "t", table, "a", settings=settings), "t", table, settings)
+        assert {r.i: (r.t, r.a) for r in got.collect()} == want
+
+
+def test_ten_thousand_names_are_one_plan(spark):
+    from corpusloom.operators import patterns
+
+    names = spark.range(10_000).select(F.concat(F.lit("name "), F.col("id").cast("string"), F.lit("!")).alias("name"), F.col("id").cast("string").alias("alias"))
+    df = spark.range(200).select("id", F.concat(F.lit("by Name "), (F.col("id") * 7).cast("string"), F.lit("! and name 5!")).alias("t"))
+    got = patterns.masked_by(df, "t", names)
+    assert {(r.id, r.t) for r in got.collect()} == {(i, f"by {7 * i} and 5") for i in range(200)}
+    assert len(got._jdf.queryExecution().optimizedPlan().toString()) < 20_000
