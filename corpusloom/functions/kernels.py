@@ -187,6 +187,23 @@ def rings_within(centers, held):
     return run
 
 
+def _nearest(q, m, k):
+    """Rows and columns of the k nearest vectors of ``m`` (in order of their ids) to every row of ``q``, and all squared distances."""
+    import numpy as np
+
+    dist = (q * q).sum(1)[:, None] + (m * m).sum(1)[None, :] - 2.0 * (q @ m.T)
+    dist = np.round(np.maximum(dist, 0.0), 9)
+    # ids are in order, so equal distances come out by id
+    take = min(k, len(m))
+    limit = np.partition(dist, take - 1, axis=1)[:, take - 1]
+    row, col = np.nonzero(dist <= limit[:, None])
+    near = np.lexsort((col, dist[row, col], row))
+    row, col = row[near], col[near]
+    start = np.searchsorted(row, np.arange(len(q)))
+    kept = np.arange(len(row)) - start[row] < take
+    return row[kept], col[kept], dist
+
+
 def nearest_in_blocks(k, key_names, dim):
     """mapInArrow function over (question block, vector block) rows.
 
@@ -206,17 +223,7 @@ def nearest_in_blocks(k, key_names, dim):
                 ids = np.frombuffer(cols["ids"][r], dtype=np.int64)
                 q = np.frombuffer(cols["q_mat"][r], dtype=np.float32).reshape(-1, dim).astype(np.float64)
                 m = np.frombuffer(cols["mat"][r], dtype=np.float32).reshape(-1, dim).astype(np.float64)
-                dist = (q * q).sum(1)[:, None] + (m * m).sum(1)[None, :] - 2.0 * (q @ m.T)
-                dist = np.round(np.maximum(dist, 0.0), 9)
-                # ids are in order, so equal distances come out by id
-                take = min(k, len(ids))
-                limit = np.partition(dist, take - 1, axis=1)[:, take - 1]
-                row, col = np.nonzero(dist <= limit[:, None])
-                near = np.lexsort((col, dist[row, col], row))
-                row, col = row[near], col[near]
-                start = np.searchsorted(row, np.arange(len(q_ids)))
-                kept = np.arange(len(row)) - start[row] < take
-                row, col = row[kept], col[kept]
+                row, col, dist = _nearest(q, m, k)
                 out["question_id"].append(q_ids[row])
                 for n in key_names:
                     out[n].extend([cols[n][r]] * len(row))
@@ -232,6 +239,34 @@ def nearest_in_blocks(k, key_names, dim):
     return run
 
 
+def nearest_to_held(held, k, key, dim):
+    """mapInArrow function over vectors (key, id, vec): each batch meets all held question blocks, and goes out as k per question and key."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        asked = [(np.frombuffer(i, np.int64), np.frombuffer(m, np.float32).reshape(-1, dim).astype(np.float64)) for i, m in held.value]
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            mat = np.asarray(batch.column("vec").flatten()).astype(np.float32).reshape(batch.num_rows, -1).astype(np.float64)
+            ids = np.asarray(batch.column("id")).astype(np.int64)
+            coded = batch.column(key).dictionary_encode()
+            code = np.asarray(coded.indices.fill_null(len(coded.dictionary)))
+            for c in np.unique(code):
+                mine = np.flatnonzero(code == c)
+                mine = mine[np.argsort(ids[mine], kind="stable")]
+                name = batch.column(key).take(pa.array(mine[:1]))
+                for q_ids, q in asked:
+                    row, col, dist = _nearest(q, mat[mine], k)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(q_ids[row]), name.take(pa.array(np.zeros(len(row), np.int64))), pa.array(ids[mine][col]), pa.array(dist[row, col])],
+                        names=["question_id", key, "chunk_id", "distance"])
+
+    return run
+
+
 def occurrences(held, text, out):
     """mapInArrow function: adds all places where one of the held (nth, name) occurs in a text column."""
 
@@ -293,6 +328,24 @@ def bucket_vectors(buckets, dim):
     return pd.Series(out)
 
 
+def common_subsequence(x, y):
+    """Length of the longest common subsequence of two lists of numbers.
+
+    A row of the table is one large integer, a bit per token of ``x`` that is
+    zero where the row grows by one; a token of ``y`` turns the whole row into the
+    next one with an addition and a subtraction over machine words.
+    """
+    places = {}
+    for i, token in enumerate(x):
+        places[token] = places.get(token, 0) | 1 << i
+    whole = (1 << len(x)) - 1
+    row = whole
+    for token in y:
+        met = row & places.get(token, 0)
+        row = ((row + met) | (row - met)) & whole
+    return len(x) - row.bit_count()
+
+
 def token_overlap(left, right):
     """Per row of two token lists: longest common subsequence and clipped token matches."""
     import numpy as np
@@ -309,14 +362,7 @@ def token_overlap(left, right):
         y = np.array([codes.setdefault(t, len(codes)) for t in b])
         size = len(codes)
         clipped.append(int(np.minimum(np.bincount(x, minlength=size), np.bincount(y, minlength=size)).sum()))
-        if len(x) > len(y):
-            x, y = y, x
-        best = np.zeros(len(y) + 1, dtype=np.int32)
-        for token in x:
-            # next row of the table: a match extends the diagonal, then the row never falls
-            diagonal = np.where(y == token, best[:-1] + 1, best[1:])
-            best[1:] = np.maximum.accumulate(diagonal)
-        lcs.append(int(best[-1]))
+        lcs.append(common_subsequence(x.tolist(), y.tolist()))
     return pd.DataFrame({"lcs": np.array(lcs, np.int32), "clipped": np.array(clipped, np.int32)})
 
 

@@ -1,8 +1,9 @@
 """Exact dense top-k for many questions, without ever forming all pairs as rows.
 
-Vectors are packed into byte blocks.  Question blocks are broadcast in slices of a
-bounded size and meet every block of vectors where it was read; a kernel emits only
-the k nearest per question of each pair of blocks, and a window keeps the k best.
+Questions are packed into byte blocks and given to the tasks in slices of a bounded
+size.  A batch of vectors meets all blocks of a slice where it was read, without
+being copied; a kernel emits only the k nearest per question of each batch, and a
+window keeps the k best.
 """
 
 from __future__ import annotations
@@ -35,12 +36,7 @@ def nearest(
     question and collection, by squared distance and then chunk.
     """
     kind = chunks.schema["collection"].dataType
-    packed = T.StructType(
-        [T.StructField("collection", kind), T.StructField("ids", T.BinaryType()), T.StructField("mat", T.BinaryType())]
-    )
-    blocks = chunks.select("collection", F.col("chunk_id").alias("id"), "vec").mapInArrow(
-        kernels.pack_vectors(["collection"]), packed
-    )
+    vectors = chunks.select("collection", F.col("chunk_id").alias("id"), "vec")
     n_blocks = max(1, -(-questions.count() // settings.question_block))
     asked = (
         questions.select(
@@ -51,33 +47,30 @@ def nearest(
         .repartition(n_blocks, "block")
         .sortWithinPartitions("block")
         .mapInArrow(
-            kernels.pack_vectors(["block"]),
+            kernels.pack_vectors(["block"], settings.question_block),
             T.StructType(
                 [T.StructField("block", T.IntegerType()), T.StructField("ids", T.BinaryType()), T.StructField("mat", T.BinaryType())]
             ),
         )
-        .select("block", F.col("ids").alias("q_ids"), F.col("mat").alias("q_mat"))
     )
-    # a slice of question blocks is at most as large as a broadcast may be, and each slice is one pass over the vectors
-    per_slice = max(1, settings.broadcast_bytes // (settings.question_block * (4 * dim + 8)))
     asked = cut_lineage(asked)
-    slices = []
-    for low in range(0, n_blocks, per_slice):
-        high = min(low + per_slice, n_blocks) - 1
-        part = F.broadcast(asked.filter(F.col("block").between(low, high)))
-        slices.append(blocks.withColumn("block", F.explode(F.sequence(F.lit(low), F.lit(high)))).join(part, "block"))
-    pairs = reduce(DataFrame.unionByName, slices)
-    found = pairs.select("collection", "q_ids", "q_mat", "ids", "mat").mapInArrow(
-        kernels.nearest_in_blocks(k, ["collection"], dim),
-        T.StructType(
-            [
-                T.StructField("question_id", T.LongType()),
-                T.StructField("collection", kind),
-                T.StructField("chunk_id", T.LongType()),
-                T.StructField("distance", T.DoubleType()),
-            ]
-        ),
+    shape = T.StructType(
+        [
+            T.StructField("question_id", T.LongType()),
+            T.StructField("collection", kind),
+            T.StructField("chunk_id", T.LongType()),
+            T.StructField("distance", T.DoubleType()),
+        ]
     )
+    # a slice of question blocks holds about half of what a broadcast may, and is one pass over the vectors
+    per_slice = max(1, settings.broadcast_bytes // (2 * settings.question_block * (4 * dim + 8)))
+    context = questions.sparkSession.sparkContext
+    passes = []
+    for low in range(0, n_blocks, per_slice):
+        rows = asked.filter(F.col("block").between(low, low + per_slice - 1)).select("ids", "mat").collect()
+        held = context.broadcast([(bytes(r["ids"]), bytes(r["mat"])) for r in rows])
+        passes.append(vectors.mapInArrow(kernels.nearest_to_held(held, k, "collection", dim), shape))
+    found = reduce(DataFrame.unionByName, passes)
     return best(found, ["question_id", "collection"], [F.asc("distance"), F.asc("chunk_id")], k)
 
 

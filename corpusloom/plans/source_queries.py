@@ -13,7 +13,7 @@ from corpusloom.operators.sizing import shared_folder
 from corpusloom.plans import sqltext as s
 from corpusloom.plans.inputs import benchmark_questions, document_chunks
 from corpusloom.plans.registry import Tables, query
-from corpusloom.sources import folder, links, relations, store
+from corpusloom.sources import folder, links, relations, segments, store
 
 C = lambda name: F.col(name)
 
@@ -134,6 +134,25 @@ def block_max(t: Tables):
     return blockmax.block_max_top(benchmark_questions(t), place, 5).hits
 
 
+@query(
+    "s17_segments",
+    f"WITH {s.DOCS_BY_LANG}, {s.ASKED}, {s.lexical()} "
+    + s.best("bm", "question_id, collection", "score DESC, chunk_id", 5, cols="question_id, collection, chunk_id, score, rank"),
+)
+def grown_index(t: Tables):
+    """Three batches: a third of the documents in a former version, the others with copies under ids of their own, then the
+    last version of that third while the copies go; two of the segments are merged."""
+    place = f"{shared_folder(t.spark).rstrip('/')}/segments-{uuid.uuid4().hex}"
+    chunks = document_chunks(t, by_language=True).select("collection", "chunk_id", "text")
+    third = F.pmod(F.xxhash64("chunk_id"), F.lit(3)) == 0
+    copies = chunks.filter(~third).withColumn("chunk_id", -F.col("chunk_id") - 1)
+    segments.add_segment(t.spark, place, chunks.filter(third).withColumn("text", F.concat("text", F.lit(" former text"))))
+    segments.add_segment(t.spark, place, chunks.filter(~third).unionByName(copies))
+    segments.compact(t.spark, place, 1, 2)
+    segments.add_segment(t.spark, place, chunks.filter(third), copies.select("collection", "chunk_id"))
+    return segments.search_segments(benchmark_questions(t), place, 5)
+
+
 # links --------------------------------------------------------------------------------------------
 
 FILE_SHAPE = r"^/([a-z][^/]*)"

@@ -238,3 +238,89 @@ def test_ten_thousand_names_are_one_plan(spark):
     got = patterns.masked_by(df, "t", names)
     assert {(r.id, r.t) for r in got.collect()} == {(i, f"by {7 * i} and 5") for i in range(200)}
     assert len(got._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+
+
+def test_segments_equal_a_fresh_index(spark, tmp_path):
+    from corpusloom.sources import segments
+
+    place = str(tmp_path / "index")
+    chunks, questions = topics(spark, 120)
+    rows = {(r.collection, r.chunk_id): r.text for r in chunks.collect()}
+    kind = "collection string, chunk_id long, text string"
+    frame = lambda d: spark.createDataFrame([(*k, t) for k, t in d.items()], kind)
+    names = ["question_id", "collection", "chunk_id", "score", "rank"]
+
+    def same(live):
+        got = sorted(tuple(r[n] for n in names) for r in segments.search_segments(questions, place, 3).collect())
+        want = sorted(tuple(r[n] for n in names) for r in lexical.bm25_top(questions, frame(live), 3).collect())
+        assert got == want
+
+    keys = sorted(rows)
+    one, two = {k: rows[k] for k in keys[:50]}, {k: rows[k] for k in keys[50:]} | {("x", 5000): "", ("y", 5001): "- -"}
+    segments.add_segment(spark, place, frame(one))
+    segments.add_segment(spark, place, frame(two))
+    same(one | two)
+    new = {keys[3]: "t1w1 the the", keys[60]: "", ("z", 1): "the t2w1"}
+    out = [keys[10], keys[70], ("x", 5000), ("nowhere", 1)]
+    segments.add_segment(spark, place, frame(new), spark.createDataFrame(out, "collection string, chunk_id long"))
+    live = {k: t for k, t in (one | two | new).items() if k not in out}
+    same(live)
+    before = {f: os.path.getmtime(f"{place}/segments/1/{f}") for f in os.listdir(f"{place}/segments/1")}
+    segments.compact(spark, place, 2, 3)
+    same(live)
+    assert before == {f: os.path.getmtime(f"{place}/segments/1/{f}") for f in os.listdir(f"{place}/segments/1")}
+    segments.add_segment(spark, place, None, spark.createDataFrame(keys[:1], "collection string, chunk_id long"))
+    live.pop(keys[0])
+    segments.compact(spark, place, 1, 9)
+    same(live)
+    files = sorted(os.listdir(f"{place}/segments"))
+    segments.drop_collection(spark, place, "y")
+    live = {k: t for k, t in live.items() if k[0] != "y"}
+    same(live)
+    assert sorted(os.listdir(f"{place}/segments")) == files
+    os.makedirs(f"{place}/segments/77")  # a run that failed before its manifest
+    segments.add_segment(spark, place, frame({("y", 1): "the t1w1", ("y", 2): "cow"}))
+    same(live | {("y", 1): "the t1w1", ("y", 2): "cow"})
+
+
+def test_common_subsequence_equals_the_table():
+    import time
+
+    from corpusloom.functions import kernels
+
+    def table(x, y):
+        row = [0] * (len(x) + 1)
+        for t in y:
+            new = [0]
+            for i, u in enumerate(x):
+                new.append(row[i] + 1 if t == u else max(row[i + 1], new[i]))
+            row = new
+        return row[-1]
+
+    rng = random.Random(4)
+    for _ in range(60):
+        x, y = ([rng.randrange(rng.choice([2, 9, 60])) for _ in range(rng.randrange(0, 150))] for _ in "ab")
+        assert kernels.common_subsequence(x, y) == table(x, y)
+    x, y = ([rng.randrange(900) for _ in range(5000)] for _ in "ab")
+    start = time.perf_counter()
+    assert kernels.common_subsequence(x, x) == 5000 and 0 < kernels.common_subsequence(x, y) < 5000
+    assert time.perf_counter() - start < 2
+
+
+def test_dense_search_in_several_slices(spark):
+    from corpusloom.operators import dense
+    from corpusloom.settings import Settings
+
+    vectors, asked = clustered(spark, 300)
+    want = sorted(map(tuple, dense.nearest(asked, vectors, 4, 8).collect()))
+    few = Settings(question_block=4, broadcast_bytes=8 * 4 * 40)
+    assert sorted(map(tuple, dense.nearest(asked, vectors, 4, 8, few).collect())) == want
+    assert len(want) == 32 * (4 * 3 + 3)
+
+
+def test_words_are_counted_inside_the_row(spark):
+    df = spark.createDataFrame([("a", 1, "b a b ab A"), ("a", 2, ""), ("a", 3, None), ("b", 1, "x")], "collection string, chunk_id long, text string")
+    tokens = lexical.tokenised(df)
+    assert sorted((r.collection, r.chunk_id, r.term, r.tf) for r in lexical.postings(tokens).collect()) == [
+        ("a", 1, "a", 2), ("a", 1, "ab", 1), ("a", 1, "b", 2), ("b", 1, "x", 1)]
+    assert "Exchange" not in lexical.postings(tokens)._jdf.queryExecution().executedPlan().toString()
