@@ -21,6 +21,23 @@ C = lambda name: F.col(name)
 # sources ------------------------------------------------------------------------------------------
 
 
+@query(
+    "s2_extracted_pages",
+    "WITH parts AS (SELECT page_id, unnest(string_split(html, '<p>')) AS part, generate_subscripts(string_split(html, '<p>'), 1) AS page FROM pages), "
+    f"made AS (SELECT page_id, page, {s.strip(f"""regexp_replace(regexp_replace(part, '<[^>]*>', ' ', 'g'), '{s.SP}+', ' ', 'g')""")} AS text FROM parts) "
+    "SELECT CAST(page_id AS VARCHAR) AS source, page::INT AS page, text FROM made WHERE text <> ''",
+)
+def extracted_pages(t: Tables):
+    def paragraphs(content: bytes) -> list[str]:
+        """One page per paragraph of a web page."""
+        import re
+
+        return [re.sub("<[^>]*>", " ", x) for x in content.decode().split("<p>")]
+
+    found = t.pages.select(C("page_id").cast("string").alias("path"), F.encode("html", "UTF-8").alias("content"))
+    return folder.extracted_pages(found, paragraphs)
+
+
 @query(
     "s3_merged_pages",
     "SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations WHERE trim(text) <> '' GROUP BY conv_id",

@@ -17,9 +17,11 @@ its open message is there with the lines seen so far.
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -145,3 +147,7 @@ def streamed_messages(spark: SparkSession, table: str) -> DataFrame:
     newest = best(crossed.filter(F.col("part").isNull()), ["chat", "line_no"], [F.desc("seen")], 1, "nth")
     every = moved.unionByName(newest.select("chat", "line_no", "sender", F.to_timestamp_ntz("ts", F.lit(STAMP)).alias("ts"), "content"))
     return every.select(F.col("chat").alias("file"), "line_no", F.concat(F.lit("wa_"), F.col("line_no").cast("string")).alias("message_id"), "sender", "ts", "content")
+
+
+# the state function is pickled by value, so executors need no copy of this module
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
