@@ -26,6 +26,14 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def deleted(*frames: DataFrame) -> None:
+    """Delete the folders of written frames that nothing reads any more: all that was made of them has itself been written."""
+    for df in frames:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the frame does not have yet."""
     taken = {c.lower() for c in df.columns}

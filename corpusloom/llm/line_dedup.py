@@ -6,7 +6,8 @@ which is still one order for all).  Two sets of similarity t or more share a
 token within the first |x| - ceil(t |x|) + 1 of each (prefix filter).
 
 1. Equal sets are one set; its place is its first occurrence.
-2. Rows of prefix tokens are sorted by token and size and read as a stream.  Sets
+2. A word that occurs once in the corpus is shared by no two lines; a filter of all
+   other words keeps such tokens out.  Rows of prefix tokens are sorted by token and size and read as a stream.  Sets
    that share a token are candidates if they pass the length filter, the
    positional filter (words left after the shared token bound the overlap) and a
    bitmap filter (64 parity bits, whose Hamming distance bounds the words in
@@ -35,12 +36,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corpusloom.llm.common import fresh, small, text_of, written
-from corpusloom.llm.textkernel import LOWER, SPACE, mix, mixed, pieces, span_hashes, word_bounds
+from corpusloom.llm.common import deleted, fresh, small, text_of, written
+from corpusloom.llm.textkernel import LOWER, SPACE, mix, mixed, pieces, span_hashes, word_bounds, word_hashes
 
 PERCENT = 80
 MIN_WORDS = 3
 RARE = 1_000_000
+FILTER_BITS = 1 << 28
 BREAK = 10
 HELD = 10_000
 DENSE = 8
@@ -63,7 +65,7 @@ class Lines:
         number = np.searchsorted(breaks, starts) - np.searchsorted(breaks, offsets[:-1])[row]
         new = np.concatenate(([True], (row[1:] != row[:-1]) | (number[1:] != number[:-1])))[: len(starts)]
         self.where = np.stack((row[new], number[new]))
-        self.word, at, self.times = np.unique(span_hashes(low, starts, ends), return_inverse=True, return_counts=True)
+        self.word, at = np.unique(span_hashes(low, starts, ends), return_inverse=True)
         if common is not None:
             order = np.argsort(rarity(self.word, common))
             self.word, place = self.word[order], np.empty(len(order), np.int64)
@@ -82,34 +84,50 @@ class Lines:
         self.node = mix(sums + self.size.astype(np.uint64)).view(np.int64)
 
 
-def line_sets(docs: DataFrame) -> DataFrame:
-    """Rows of lines (id, line, node, n) and of words (word, n), the words added up per task."""
-    names = ["id", "line", "node", "word", "n"]
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n) of all texts, added up per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
-            ids, words, counts = batch.column("id"), [word], [times]
-            for row, _, data, offsets in pieces(batch.column("text")):
-                x = Lines(data, offsets)
-                words.append(x.word)
-                counts.append(x.times)
-                yield pa.record_batch(
-                    [ids.take(pa.array(x.where[0] + row)), pa.array(x.where[1].astype(np.int32)), pa.array(x.node), pa.nulls(len(x.node), pa.int64()),
-                     pa.array(x.size)], names=names)
+            words, counts = [word], [times]
+            for _, _, data, offsets in pieces(batch.column("text")):
+                found, n = np.unique(word_hashes(data, offsets)[0], return_counts=True)
+                words.append(found)
+                counts.append(n)
             word, at = np.unique(np.concatenate(words), return_inverse=True)
             times = np.bincount(at, np.concatenate(counts), len(word)).astype(np.int64)
-        no = lambda kind: pa.nulls(len(word), kind)
-        yield pa.record_batch([no(pa.int64()), no(pa.int32()), no(pa.int64()), pa.array(word.view(np.int64)), pa.array(times)], names=names)
+        yield pa.record_batch([pa.array(word.view(np.int64)), pa.array(times)], names=["word", "n"])
 
-    return docs.select("id", "text").mapInArrow(run, "id bigint, line int, node bigint, word bigint, n bigint")
+    return docs.select("text").mapInArrow(run, "word bigint, n bigint")
 
 
-def common_words(counts: DataFrame, rare: int = RARE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) of the words that make up at least one in ``rare``, so at most ``rare`` of them, and their places from the rarest."""
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    words = counts.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") * rare >= total)
-    rows = words.toPandas().sort_values(["n", "word"])
+class Shared:
+    """A filter of the words that occur more than once: one bit per word, by the first bits of its hash.
+
+    A word that it does not hold is in one line only, so it links nothing.  It has
+    at least 16 bits per word up to ``FILTER_BITS``; with more words it lets more
+    of the others pass, which costs rows and changes no result.
+    """
+
+    def __init__(self, recurring: DataFrame):
+        count = recurring.count()
+        self.log = int(np.log2(min(max(count * 16, 64), FILTER_BITS)))
+        place = F.shiftrightunsigned("word", 64 - self.log)
+        bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(word, {64 - self.log}) & 63 as int))")
+        rows = recurring.groupBy(F.shiftrightunsigned(place, 6).alias("cell")).agg(F.bit_or(bit).alias("bits")).toPandas()
+        self.cells = np.zeros(1 << (self.log - 6), np.uint64)
+        self.cells[rows["cell"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+
+    def holds(self, words: np.ndarray) -> np.ndarray:
+        place = words >> np.uint64(64 - self.log)
+        return (self.cells[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+
+def common_words(recurring: DataFrame, rare: int = RARE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) of the words that make up at least one in ``rare`` of the recurring ones, so at most ``rare`` of them, and their places from the rarest."""
+    total = recurring.agg(F.sum("n")).first()[0] or 0
+    rows = recurring.filter(F.col("n") * rare >= total).toPandas().sort_values(["n", "word"])
     names = rows["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(names)
     return names[order], order.astype(np.uint64)
@@ -126,8 +144,9 @@ def rarity(words: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarr
     return key
 
 
-def prefix_rows(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], percent: int, least: int) -> DataFrame:
-    """(token, id, node, size, bits): the prefix of each line's set, once per set and task; size is packed with the token's place."""
+def line_sets(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], shared: Shared, percent: int, least: int) -> DataFrame:
+    """(id, line, node, n, bits, prefix) per line; the prefix, tokens with their places, only once per set and task and without words that occur once."""
+    names = ["id", "line", "node", "n", "bits", "prefix"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -144,11 +163,22 @@ def prefix_rows(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], percent:
                 keep = np.where(use, x.size - -(-x.size * percent // 100) + 1, 0)
                 line = np.repeat(np.arange(len(keep)), keep)
                 at = np.arange(len(line)) - np.repeat(np.cumsum(keep) - keep, keep)
+                token = x.word[x.rank[x.first[line] + at]]
+                held = shared.holds(token)
+                token, at, line = token[held].view(np.int64), at[held].astype(np.int32), line[held]
+                starts = np.searchsorted(line, np.arange(len(keep) + 1)).astype(np.int32)
+                prefix = pa.ListArray.from_arrays(pa.array(starts), pa.StructArray.from_arrays([pa.array(token), pa.array(at)], names=["token", "at"]))
                 yield pa.record_batch(
-                    [pa.array(x.word[x.rank[x.first[line] + at]].view(np.int64)), ids.take(pa.array(x.where[0][line] + row)), pa.array(x.node[line]),
-                     pa.array(x.size[line] << 32 | at), pa.array(x.bits[line])], names=["token", "id", "node", "size", "bits"])
+                    [ids.take(pa.array(x.where[0] + row)), pa.array(x.where[1].astype(np.int32)), pa.array(x.node), pa.array(x.size),
+                     pa.array(x.bits, mask=starts[1:] == starts[:-1]), prefix], names=names)
+
+    return docs.select("id", "text").mapInArrow(run, "id bigint, line int, node bigint, n bigint, bits bigint, prefix array<struct<token: bigint, at: int>>")
+
 
-    return docs.select("id", "text").mapInArrow(run, "token bigint, id bigint, node bigint, size bigint, bits bigint")
+def prefix_rows(lines: DataFrame) -> DataFrame:
+    """(token, id, node, size, bits): size is packed with the token's place."""
+    rows = lines.filter(F.size("prefix") > 0).select("id", "node", "n", "bits", F.inline("prefix"))
+    return rows.select("token", "id", "node", F.shiftleft("n", 32).bitwiseOR(F.col("at").cast("bigint")).alias("size"), "bits")
 
 
 def near(size_x, size_y, bits_x, bits_y, percent: int) -> np.ndarray:
@@ -253,7 +283,7 @@ def word_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def similar(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The later nodes y of pairs (x, y, place_x, place_y) whose word sets have the wanted similarity."""
+    """The later nodes y of pairs (x, y, place_x, place_y) whose word sets have the wanted similarity, written."""
     pairs = written(pairs)
     nodes = pairs.select(F.col("x").alias("node"), F.col("place_x").alias("place")).unionByName(pairs.select(F.col("y").alias("node"), F.col("place_y").alias("place")))
     places = written(nodes.distinct())
@@ -264,11 +294,13 @@ def similar(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         joined = joined.join(sets.select(F.col("node").alias(side), F.col("words").alias(f"words_{side}")), side)
     both = F.size(F.array_intersect("words_x", "words_y"))
     total = F.size("words_x") + F.size("words_y")
-    return joined.filter(both * (100 + percent) >= total * percent).select(F.col("y").alias("node")).distinct()
+    found = written(joined.filter(both * (100 + percent) >= total * percent).select(F.col("y").alias("node")).distinct())
+    deleted(pairs, places, wanted, sets)
+    return found
 
 
 def settled_by(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
-    """Nodes with a similar one at an earlier place.  Each is first compared with its earliest candidate, and with the others only if that fails."""
+    """Nodes with a similar one at an earlier place, written.  Each is first compared with its earliest candidate, and with the others only if that fails."""
     places = firsts.select("node", "place")
     for side in "xy":
         pairs = pairs.join(places.select(F.col("node").alias(side), F.col("place").alias(f"place_{side}")), side)
@@ -276,19 +308,23 @@ def settled_by(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, percent: in
     turned = {"x": "y", "y": "x", "place_x": "place_y", "place_y": "place_x"}
     pairs = written(pairs.select(*[F.when(early, F.col(c)).otherwise(F.col(d)).alias(c) for c, d in turned.items()]))
     first = written(pairs.groupBy("y").agg(F.min(F.struct("place_x", "x", "place_y")).alias("e")).select("e.x", "y", "e.place_x", "e.place_y"))
-    found = written(similar(first, docs, percent))
+    found = similar(first, docs, percent)
     rest = pairs.join(found.withColumnRenamed("node", "y"), "y", "left_anti").join(first.select("x", "y"), ["x", "y"], "left_anti")
-    return found.unionByName(similar(rest, docs, percent))
+    later = similar(rest, docs, percent)
+    both = written(found.unionByName(later))
+    deleted(pairs, first, found, later)
+    return both
 
 
 def matched_lines(docs: DataFrame, percent: int = PERCENT, least: int = MIN_WORDS) -> DataFrame:
-    """(id, line) of every line that goes; ``docs`` has id and text."""
-    read = written(line_sets(docs))
-    lines = read.filter("node is not null").select("id", "line", "node", "n")
+    """(id, line) of every line that goes, written; ``docs`` has id and text.  What else is written is deleted after its last reader."""
+    recurring = written(word_counts(docs).groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1"))
+    common, shared = common_words(recurring), Shared(recurring)
+    deleted(recurring)
+    lines = written(line_sets(docs, common, shared, percent, least))
     place = F.struct("id", "line")
     firsts = written(lines.filter(F.col("n") >= least).groupBy("node").agg(F.min(place).alias("place"), F.count("*").alias("lines")))
-    rows = prefix_rows(docs, common_words(read.filter("word is not null")), percent, least)
-    made = written(candidates(rows, percent, HELD, DENSE))
+    made = written(candidates(prefix_rows(lines), percent, HELD, DENSE))
     hot = made.filter("token is not null").groupBy("token", "x", F.col("size").alias("size_x"), F.col("bits").alias("bits_x")).agg(F.min("y").alias("id"))
     hot = written(hot)
     lead = hot.groupBy("token").agg(F.min_by(F.struct("x", "size_x", "bits_x"), F.struct("id", "x")).alias("y"))
@@ -296,19 +332,25 @@ def matched_lines(docs: DataFrame, percent: int = PERCENT, least: int = MIN_WORD
     star = hot.drop("id").join(lead, "token").filter((F.col("x") != F.col("y")) & may_match("x", "y", percent))
     first = made.filter("token is null").select("x", "y").unionByName(star.select("x", "y"))
     first = first.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    settled = written(settled_by(first, docs, firsts, percent))
+    first = written(first)
+    deleted(made)
+    settled = settled_by(first, docs, firsts, percent)
+    deleted(first)
     # a set of a hot token that is not settled meets the others of the token
     mine = hot.join(settled.withColumnRenamed("node", "x"), "x", "left_anti").select("token", "x", "size_x", "bits_x")
     others = hot.select("token", F.col("x").alias("y"), F.col("size_x").alias("size_y"), F.col("bits_x").alias("bits_y"))
     pairs = mine.join(others, "token").filter((F.col("x") != F.col("y")) & may_match("x", "y", percent))
     pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     settled = settled.unionByName(settled_by(pairs, docs, firsts, percent)).distinct()
+    deleted(hot)
     # lines after the first of their set, and the first ones of settled sets
     repeated = firsts.filter("lines > 1").select("node", "place")
     gone = settled.select("node", F.lit(True).alias("gone"))
     known = written(repeated.join(gone, "node", "full").select("node", "place", F.coalesce("gone", F.lit(False)).alias("gone")))
     met = lines.filter(F.col("n") >= least).join(small(known), "node")
-    return met.filter(F.col("gone") | (F.struct("id", "line") > F.col("place"))).select("id", "line")
+    out = written(met.filter(F.col("gone") | (F.struct("id", "line") > F.col("place"))).select("id", "line"))
+    deleted(lines, firsts, known)
+    return out
 
 
 def without_similar_lines(docs: DataFrame, percent: int = PERCENT, least: int = MIN_WORDS, id_column: str = "doc_id", text_column: str = "text",
