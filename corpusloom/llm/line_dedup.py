@@ -244,6 +244,9 @@ def candidates(rows: DataFrame, percent: int, most: int, dense: int) -> DataFram
             columns = [np.concatenate((a, b)) for a, b in zip(held, new)]
             if not len(columns[0]):
                 continue
+            # a set comes once per task that has it; its first row has the smallest id
+            once = np.concatenate(([True], (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])))
+            columns = [c[once] for c in columns]
             last = int(np.searchsorted(columns[0], columns[0][-1]))
             if len(columns[0]) - last > most:
                 open_token, last = columns[0][-1], len(columns[0])
@@ -251,7 +254,7 @@ def candidates(rows: DataFrame, percent: int, most: int, dense: int) -> DataFram
             held = [c[last:] for c in columns]
         yield from close(held)
 
-    sorted_ = rows.repartition("token").sortWithinPartitions("token", "size", "node").select("token", "node", "id", "size", "bits")
+    sorted_ = rows.repartition("token").sortWithinPartitions("token", "size", "node", "id").select("token", "node", "id", "size", "bits")
     return sorted_.mapInArrow(run, "token bigint, x bigint, y bigint, size bigint, bits bigint")
 
 
