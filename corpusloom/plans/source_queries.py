@@ -13,7 +13,7 @@ from corpusloom.operators.sizing import shared_folder
 from corpusloom.plans import sqltext as s
 from corpusloom.plans.inputs import benchmark_questions, document_chunks
 from corpusloom.plans.registry import Tables, query
-from corpusloom.sources import folder, links, relations, segments, store
+from corpusloom.sources import buckets, folder, links, relations, segments, store
 
 C = lambda name: F.col(name)
 
@@ -358,17 +358,45 @@ def _event_rows(t: Tables, stored: bool):
     return rows.select("user_id", F.col("event_id").alias("updated_at"), F.col("event_id").alias("created_at"), "event_type", "value")
 
 
-@query(
-    "u3_upserted",
-    """WITH old AS (SELECT user_id, max(event_id) AS updated_at, min(event_id) AS created_at FROM events WHERE event_type = 'view' GROUP BY 1),
+UPSERTED = """WITH old AS (SELECT user_id, max(event_id) AS updated_at, min(event_id) AS created_at FROM events WHERE event_type = 'view' GROUP BY 1),
     new AS (SELECT user_id, max(event_id) AS updated_at, min(event_id) AS created_at FROM events WHERE event_type <> 'view' GROUP BY 1),
     j AS (SELECT coalesce(o.user_id, n.user_id) AS user_id, coalesce(o.created_at, n.created_at) AS created_at, greatest(coalesce(o.updated_at, -1), coalesce(n.updated_at, -1)) AS updated_at FROM old o FULL JOIN new n ON o.user_id = n.user_id)
-    SELECT j.user_id, e.event_type, e.value, j.created_at, j.updated_at FROM j JOIN events e ON e.event_id = j.updated_at""",
+    SELECT j.user_id, e.event_type, e.value, j.created_at, j.updated_at FROM j JOIN events e ON e.event_id = j.updated_at"""
+
+
+@query(
+    "u3_upserted",
+    UPSERTED,
 )
 def upserted(t: Tables):
     return upkeep.upserted(_event_rows(t, True), _event_rows(t, False), "user_id", ["event_type", "value"])
 
 
+@query("u3_bucketed_upsert", UPSERTED)
+def bucketed_upsert(t: Tables):
+    """The stored rows lie in buckets, the batch rewrites those of its keys."""
+    place = f"{shared_folder(t.spark).rstrip('/')}/keyed-{uuid.uuid4().hex}"
+    stored = _event_rows(t, True)
+    buckets.save(upkeep.upserted(stored.limit(0), stored, "user_id", ["event_type", "value"]), place, "user_id", 16)
+    buckets.upsert(_event_rows(t, False), place, ["event_type", "value"])
+    return buckets.load(t.spark, place)
+
+
+@query(
+    "u4_bucketed_children",
+    "WITH fresh AS (SELECT doc_id AS conv_id, 0 AS turn, source AS text FROM documents WHERE lang = 'fr') SELECT conv_id, turn, text FROM conversations "
+    "WHERE conv_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) AND conv_id NOT IN (SELECT conv_id FROM fresh) UNION ALL SELECT * FROM fresh",
+)
+def bucketed_children(t: Tables):
+    """A deletion, then a replacement of children, each in the buckets of its keys only."""
+    place = f"{shared_folder(t.spark).rstrip('/')}/keyed-{uuid.uuid4().hex}"
+    buckets.save(t.conversations.select("conv_id", "turn", "text"), place, "conv_id", 16)
+    buckets.delete(t.labels.filter(F.col("toxic") == 1).select(F.col("doc_id").alias("conv_id")), place)
+    fresh = t.documents.filter(F.col("lang") == "fr").select(F.col("doc_id").alias("conv_id"), F.lit(0).alias("turn"), F.col("source").alias("text"))
+    buckets.replace_children(fresh, place)
+    return buckets.load(t.spark, place)
+
+
 @query(
     "u4_cascade_delete",
     "SELECT conv_id, turn, text FROM conversations WHERE conv_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
