@@ -93,6 +93,12 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("page.page_id", "host", "path", "rule", "verdict", "score")
 
 
+@query("op10_whole_urls")
+def op10_whole(spark: SparkSession, folder: str) -> DataFrame:
+    out = url_filter.judged(table(spark, folder, "pages"), whole=True)
+    return out.select("page.page_id", "host", "path", "rule", "verdict", "score")
+
+
 @query("op5_repeats")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.kept_texts(repeats.repeated_bytes(table(spark, folder, "documents")))

@@ -13,7 +13,8 @@ url that a third of all rows have is one row; n-grams that make up more than
 a shuffle.
 
 Rows: a null url, or one without ``://``, has an empty host and path and is
-judged by the models like any other; repeated rows get the same verdict.
+judged by the models like any other; repeated rows get the same verdict.  With
+``whole`` the scheme, the query, the fragment and urls without ``://`` are read too.
 """
 
 from __future__ import annotations
@@ -40,6 +41,13 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def whole_url(url: Column) -> Column:
+    """The url with its host part in lower case; one without ``://`` as it is, null as empty."""
+    rest = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(.*)$", 1)
+    split = F.concat(F.regexp_extract(url, r"(?s)^(.*?://)", 1), host_of(url), rest)
+    return F.coalesce(F.when(F.instr(url, "://") > 0, split).otherwise(url), F.lit(""))
+
+
 def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     """The longest rule that fits, or null."""
     found = []
@@ -106,14 +114,18 @@ def threshold(scores: DataFrame) -> float:
     return (good * spread_bad + bad * spread_good) / (spread_good + spread_bad)
 
 
-def judged(pages: DataFrame, url_column: str = "url", rules=RULES, order: int = ORDER) -> DataFrame:
-    """All columns of ``pages`` under ``page`` (a struct), host, path, rule, score, verdict."""
+def judged(pages: DataFrame, url_column: str = "url", rules=RULES, order: int = ORDER, whole: bool = False) -> DataFrame:
+    """All columns of ``pages`` under ``page`` (a struct), host, path, rule, score, verdict.
+
+    The models read host and path, with ``whole`` every character of the url.
+    """
     url = pages[url_column]
-    rows = pages.select(F.struct(*[pages[c] for c in pages.columns if c != "html"]).alias("page"), host_of(url).alias("host"), path_of(url).alias("path"))
+    rows = pages.select(F.struct(*[pages[c] for c in pages.columns if c != "html"]).alias("page"), host_of(url).alias("host"), path_of(url).alias("path"),
+                        *[whole_url(url).alias("whole")] * whole)
     rule = rule_of(F.col("host"), F.col("path"), rules)
     verdicts = dict(rules)
     label = F.coalesce(*[F.when(F.col("rule") == r, F.lit(v)) for r, v in verdicts.items()], F.lit(None).cast("string"))
-    rows = rows.withColumn("rule", rule).withColumn("label", label).withColumn("text", F.concat("host", "path"))
+    rows = rows.withColumn("rule", rule).withColumn("label", label).withColumn("text", F.col("whole") if whole else F.concat("host", "path"))
     texts = written(rows.groupBy("text").agg(F.first("label").alias("label"), F.count("*").alias("n")).withColumn(
         "held", F.pmod(F.crc32("text"), F.lit(HELD)) == 0).withColumn("id", F.monotonically_increasing_id()))
     counted = texts.withColumns({

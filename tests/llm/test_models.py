@@ -210,11 +210,17 @@ def test_urls_follow_rules_and_models(spark):
     assert url_filter.judged(pages.limit(0)).collect() == []
 
 
-def url_scores(urls, order):
+def whole(url):
+    head, mark, rest = (url or "").partition("://")
+    host = re.match(r"[^/?#]*", rest)[0]
+    return head + mark + host.translate(LOWER) + rest[len(host) :]
+
+
+def url_scores(urls, order, text=lambda u: "".join(judged(u)[:2])):
     """Mean log ratio per character by plain dictionaries, and the threshold."""
     verdict = dict(url_filter.RULES)
-    n = Counter("".join(judged(u)[:2]) for u in urls)
-    label = {"".join(judged(u)[:2]): verdict.get(judged(u)[2]) for u in urls}
+    n = Counter(text(u) for u in urls)
+    label = {text(u): verdict.get(judged(u)[2]) for u in urls}
     held = {t: zlib.crc32(t.encode()) % url_filter.HELD == 0 for t in n}
     cut = lambda t, k: [("\x02" * order + t + "\x03")[i - k : i + 1] for i in range(order, order + len(t) + 1)]
     counts = {c: [Counter() for _ in range(order + 1)] for c in ("allow", "block")}
@@ -249,6 +255,30 @@ def test_url_query_equals_plain_models(spark):
         assert r["verdict"] == (dict(url_filter.RULES).get(rule) or ("allow" if scores[host + path] >= least else "block"))
 
 
+def test_whole_urls_equal_plain_models(spark):
+    urls = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{MIDDLE}/pages.parquet").collect()}
+    scores, least = url_scores(list(urls.values()), url_filter.ORDER, whole)
+    assert any(re.search(r"[?#]", t) for t in scores)
+    for r in queries.QUERIES["op10_whole_urls"](spark, MIDDLE).collect():
+        host, path, rule = judged(urls[r["page_id"]])
+        text = whole(urls[r["page_id"]])
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
+        assert abs(r["score"] - scores[text]) < 1e-9
+        assert r["verdict"] == (dict(url_filter.RULES).get(rule) or ("allow" if scores[text] >= least else "block"))
+
+
+def test_whole_urls_read_schemes_queries_and_fragments(spark):
+    urls = [f"http://WWW.{n}.com/{i}?ok=1" for n in ("good", "nice") for i in range(40)] + [f"http://s{i}.net/es/?bad=casino#win" for i in range(80)]
+    odd = ["http://a.org/p?bad=casino", "http://a.org/p?ok=1", "http://a.org/p", "http://a.org/p#win", "www.good.com/no/scheme", "casino-bad.ru?q=1", "casino#win", None, "", "x://", "A://B/C\nd"]
+    pages = spark.createDataFrame(list(enumerate(urls + odd)), "page_id bigint, url string").withColumn("whole", F.lit("x"))
+    got = {r["page"]["url"]: r for r in url_filter.judged(pages, whole=True).collect()}
+    scores, least = url_scores(urls + odd, url_filter.ORDER, whole)
+    assert all(abs(r["score"] - scores[whole(u)]) < 1e-9 for u, r in got.items())
+    assert got[odd[0]]["score"] < got[odd[2]]["score"] and got[odd[0]]["score"] < got[odd[1]]["score"] and got[odd[3]]["score"] < got[odd[2]]["score"]
+    assert got[odd[4]]["score"] > got[odd[5]]["score"]
+    assert all(r["verdict"] == ("allow" if scores[whole(u)] >= least else "block") for u, r in got.items() if r["rule"] is None)
+
+
 @pytest.mark.parametrize("name", [n for n in queries.QUERIES if n in queries.SQL])
 def test_queries_equal_their_sql(spark, name):
     import duckdb
