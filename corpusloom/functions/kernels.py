@@ -267,6 +267,174 @@ def nearest_to_held(held, k, key, dim):
     return run
 
 
+WORD_START = "\x01"
+PAIRS_AT_ONCE = 1 << 21
+EXTRA = 1 << 20
+
+
+def _owners(lists, ids):
+    """Patterns of all questions, numbered in ``ids``: the questions of pattern p are owner[start[p]:start[p + 1]]."""
+    import numpy as np
+
+    each = [(ids.setdefault(p, len(ids)), q) for q, patterns in enumerate(lists) for p in patterns or () if p]
+    pattern, owner = (np.array(x, np.int64) for x in (zip(*each) if each else ((), ())))
+    order = np.argsort(pattern, kind="stable")
+    return lambda: np.searchsorted(pattern[order], np.arange(len(ids) + 1)), owner[order]
+
+
+def _within(values, automaton):
+    """(place of the value, pattern) for every pattern inside a value, each once; equal values are read once."""
+    import numpy as np
+
+    coded = values.dictionary_encode()
+    lists = [sorted({p for _, p in automaton.iter(v)}) if v else [] for v in coded.dictionary.to_pylist()]
+    sizes = np.array([len(x) for x in lists], np.int64)
+    flat = np.array([p for x in lists for p in x], np.int64)
+    there = np.flatnonzero(np.asarray(coded.is_valid()))
+    code = np.asarray(coded.indices.fill_null(0)).astype(np.int64)[there]
+    each, at = _ranges((np.cumsum(sizes) - sizes)[code], sizes[code])
+    return there[each], flat[at]
+
+
+def _ranges(start, size):
+    """Number of the range and place for every place of the ranges start .. start + size."""
+    import numpy as np
+
+    each = np.repeat(np.arange(len(size)), size)
+    return each, np.arange(len(each)) - (np.cumsum(size) - size)[each] + start[each]
+
+
+def _row_chunks(groups, n_rows):
+    """Ranges of rows with about PAIRS_AT_ONCE matches at most, or one row."""
+    import numpy as np
+
+    work = np.zeros(n_rows, np.int64)
+    for row, pattern, (start, _), _ in groups:
+        work += np.bincount(row, weights=start[pattern + 1] - start[pattern], minlength=n_rows).astype(np.int64)
+    done, low = np.cumsum(work), 0
+    while low < n_rows:
+        high = int(np.searchsorted(done, (done[low - 1] if low else 0) + PAIRS_AT_ONCE, side="right"))
+        high = min(max(high, low + 1), n_rows)
+        yield low, high
+        low = high
+
+
+def _best_pairs(question, row, points, limit):
+    """Places of the first ``limit`` pairs per question: most points first, then the first row."""
+    import numpy as np
+
+    order = np.lexsort((row, -points, question))
+    q = question[order]
+    first = np.searchsorted(q, q)
+    return order[np.arange(len(q)) - first < limit]
+
+
+def _best_rows(groups, n_questions, n_rows, limit, points_of, allowed):
+    """(question, row, value): values are summed over the matches (row, pattern, owners, value) of ``groups``; the best rows per question stay."""
+    import numpy as np
+
+    kept = []
+    for low, high in _row_chunks(groups, n_rows):
+        width = high - low
+        keys, values = [], []
+        for row, pattern, (start, owner), value in groups:
+            a, b = np.searchsorted(row, (low, high))
+            p = pattern[a:b]
+            each, at = _ranges(start[p], start[p + 1] - start[p])
+            keys.append(owner[at] * width + (row[a:b] - low)[each])
+            values.append(np.full(len(at), value, np.int64))
+        key, value = np.concatenate(keys), np.concatenate(values)
+        if len(key) == 0:
+            continue
+        if n_questions * width <= 4 * len(key) + PAIRS_AT_ONCE:
+            dense = np.bincount(key, weights=value, minlength=n_questions * width)
+            key = np.flatnonzero(dense)
+            total = dense[key].astype(np.int64)
+        else:
+            key, place = np.unique(key, return_inverse=True)
+            total = np.bincount(place, weights=value).astype(np.int64)
+        q, r = key // width, key % width + low
+        points = points_of(q, total)
+        use = np.flatnonzero((points > 0) & allowed[q])
+        q, r, total, points = q[use], r[use], total[use], points[use]
+        mine = _best_pairs(q, r, points, limit)
+        kept.append((q[mine], r[mine], total[mine], points[mine]))
+    if not kept:
+        return (np.zeros(0, np.int64),) * 3
+    q, r, total, points = (np.concatenate(x) for x in zip(*kept))
+    mine = _best_pairs(q, r, points, limit)
+    return q[mine], r[mine], total[mine]
+
+
+def table_hits(held, layout, limit, ranked, parts):
+    """mapInArrow function over rows (t, num, row_id, texts, words) of the tables in ``layout`` (label, number of text columns, place of the name).
+
+    Gives the best rows per question, table and batch: by word search (kind 0), and by
+    substring search (kind 1) for questions without a word hit in the batch.  Automata
+    find all patterns of the held questions in one pass over each different text.
+    """
+
+    def run(batches):
+        import ahocorasick
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        asked = held.value
+        n = asked.num_rows
+        ids = asked.column("question_id")
+        ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+        stem_ids, text_ids = {}, {}
+        owners = {
+            "stems": _owners([[WORD_START + s for s in x or ()] for x in asked.column("stems").to_pylist()], stem_ids),
+            "terms": _owners(asked.column("terms").to_pylist(), text_ids),
+            "phrases": _owners(asked.column("phrases").to_pylist(), text_ids),
+        }
+        owners = {name: (start(), owner) for name, (start, owner) in owners.items()}
+        n_stems = np.array([len(x or ()) for x in asked.column("stems").to_pylist()], np.int64)
+        automata = []
+        for known in (stem_ids, text_ids):
+            automaton = ahocorasick.Automaton()
+            for pattern, i in known.items():
+                automaton.add_word(pattern, i)
+            if known:
+                automaton.make_automaton()
+            automata.append(automaton if known else None)
+        routed = asked.column("tables").to_pylist() if "tables" in asked.column_names else None
+        nothing = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        for batch in batches:
+            for t in np.unique(np.asarray(batch.column("t"))):
+                label, n_texts, name = layout[t]
+                rows = pa.Table.from_batches([batch]).filter(pc.equal(pc.field("t"), int(t)))
+                rows = rows.take(pc.sort_indices(rows, [("num", "ascending"), ("row_id", "ascending")], null_placement="at_start")).combine_chunks()
+                allowed = np.array([label in x for x in routed]) if routed is not None else np.ones(n, bool)
+                texts = pa.concat_arrays(rows.column("texts").chunks)
+                width = len(texts.flatten()) // len(texts)
+                place, pattern = _within(texts.flatten(), automata[1]) if automata[1] else nothing
+                row, slot = place // width, place % width
+                own = slot < n_texts
+                found = []
+                if ranked and name is not None:
+                    words = _within(pa.concat_arrays(rows.column("words").chunks), automata[0]) if automata[0] else nothing
+                    groups = [(*words, owners["stems"], 1), (row[slot == name], pattern[slot == name], owners["terms"], 50 * EXTRA), (row[own], pattern[own], owners["phrases"], 20 * EXTRA)]
+                    # a row without any stem is no hit
+                    found.append((0, *_best_rows(groups, n, len(texts), limit, lambda q, v: np.where(v % EXTRA > 0, v % EXTRA + n_stems[q] * (v // EXTRA), 0), allowed)))
+                if parts:
+                    free = allowed.copy()
+                    if found:
+                        free[found[0][1]] = False
+                    groups = [(row[own], pattern[own], owners["terms"], 1), (row[own], pattern[own], owners["phrases"], 10)]
+                    found.append((1, *_best_rows(groups, n, len(texts), limit, lambda q, v: v, free)))
+                for kind, q, r, value in found:
+                    extra = value // EXTRA if kind == 0 else np.zeros(len(q), np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(pa.array(q)), pa.array(np.full(len(q), t, np.int32)), *[pa.concat_arrays(rows.column(c).chunks).take(pa.array(r)) for c in ("num", "row_id")],
+                         pa.array(np.full(len(q), kind, np.int32)), pa.array(value % EXTRA if kind == 0 else value), pa.array(n_stems[q]), pa.array(extra)],
+                        names=["question_id", "t", "num", "row_id", "kind", "n_found", "n_stems", "extra"])
+
+    return run
+
+
 def occurrences(held, text, out):
     """mapInArrow function: adds all places where one of the held (nth, name) occurs in a text column."""
 

@@ -1,9 +1,8 @@
 """Search in relational tables, and tables as text.
 
-A searchable table is a frame with a key column and text columns.  Terms are
-matched against the distinct words of the columns first, through equi-joins on
-word prefixes or word parts; rows are then found by word, and scored inside the
-partition of the row.
+A searchable table is a frame with a key column and text columns.  The terms of
+all questions are found in one pass over the rows of all tables, where they are
+read; only the best rows of each task are exchanged.
 """
 
 from __future__ import annotations
@@ -11,17 +10,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom import lexicon
-from corpusloom.functions import questions as qf
+from corpusloom.functions import kernels, questions as qf
 from corpusloom.functions.words import stem
 from corpusloom.operators.ordering import balanced
-from corpusloom.operators.sizing import best, cut_lineage, hinted, small
-from corpusloom.settings import DEFAULTS
+from corpusloom.operators.sizing import best, cut_lineage, size_in_bytes, small
+from corpusloom.settings import DEFAULTS, Settings
 
 PART = r"[\p{L}\p{N}_+]+"
-PHRASE_SLOT = 1000
 
 
 @dataclass(frozen=True)
@@ -52,111 +50,67 @@ def _keyed(table: Searchable) -> DataFrame:
     return table.rows.select(F.col(table.key).alias("row_id"), *table.text_columns)
 
 
-def _spread(table: Searchable, slots: list[Column]) -> DataFrame:
-    """(row_id, slot, word): the distinct words of each slot, and known phrases of each text column.
-
-    Rows are partitioned by their key before they are spread out, so that
-    whatever is grouped by row afterwards needs no further shuffle.
-    """
-    known = F.array(*[F.lit(f"{a} {b}") for a, b in lexicon.PHRASES])
-    parts = [F.struct(F.lit(i).alias("slot"), F.array_distinct(words).alias("words")) for i, words in enumerate(slots)]
-    for i, c in enumerate(table.text_columns):
-        low = F.lower(F.col(c).cast("string"))
-        parts.append(
-            F.struct(F.lit(PHRASE_SLOT + i).alias("slot"), F.filter(known, lambda p: low.contains(p)).alias("words"))  # noqa: B023
-        )
-    rows = _keyed(table).repartition("row_id").select("row_id", F.explode(F.array(*parts)).alias("x"))
-    return rows.select("row_id", "x.slot", "x.words").select("row_id", "slot", F.explode("words").alias("word"))
-
-
-def vocabulary(table: Searchable, slots: list[Column]) -> DataFrame:
-    """Distinct (slot, word) of a table."""
-    parts = [F.struct(F.lit(i).alias("slot"), F.array_distinct(words).alias("words")) for i, words in enumerate(slots)]
-    rows = table.rows.select(F.explode(F.array(*parts)).alias("x"))
-    return rows.select("x.slot", "x.words").select("slot", F.explode("words").alias("word")).distinct()
-
-
-def _sizes(terms: DataFrame) -> Column:
-    """The lengths that occur among the terms: only parts of those lengths are cut from words."""
-    found = sorted(r[0] for r in terms.select(F.length("term")).distinct().collect() if r[0])
-    return F.array(*[F.lit(n) for n in found]).cast("array<int>")
-
-
-def prefix_matches(vocab: DataFrame, terms: DataFrame) -> DataFrame:
-    """terms (.., term) with every word that starts with the term."""
-    fitting = F.filter(_sizes(terms), lambda n: n <= F.length("word"))
-    prefixes = vocab.select("*", F.explode(F.transform(fitting, lambda n: F.substring(F.col("word"), F.lit(1), n))).alias("term"))
-    return prefixes.join(terms, "term")
-
+def _asked(questions: DataFrame, routes: DataFrame | None, settings: Settings) -> tuple[list, DataFrame]:
+    """What the tasks get: slices of questions (question_id, terms, stems, phrases, tables) of a bounded size, as broadcasts."""
+    stems = F.filter(F.array_distinct(F.transform("terms", lambda t: stem(t, lexicon.STEM_SUFFIXES_TABLE))), lambda t: F.length(t) >= 2)
+    asked = questions.select(
+        "question_id", F.array_distinct(F.transform("terms", lambda t: F.lower(t))).alias("terms"), stems.alias("stems"),
+        F.array_distinct(F.transform("phrases", lambda p: F.lower(p))).alias("phrases"))
+    if routes is not None:
+        asked = asked.join(routes.groupBy("question_id").agg(F.collect_set("table").alias("tables")), "question_id")
+    asked = cut_lineage(asked)
+    n = max(1, -(-size_in_bytes(asked) // settings.pattern_bytes))
+    context = questions.sparkSession.sparkContext
+    slices = [asked.filter(F.pmod(F.xxhash64("question_id"), F.lit(n)) == i).toArrow().combine_chunks() for i in range(n)]  # pattern_bytes each
+    return [context.broadcast(x) for x in slices if x.num_rows], asked
+
+
+def _readable(tables: list[Searchable]) -> DataFrame:
+    """Rows of all tables alike: (t, num, row_id, texts, words), with the number of the table, an integer key as a number, lower-case texts and marked words."""
+    whole = {"tinyint", "smallint", "int", "bigint"}
+    found = []
+    for i, table in enumerate(tables):
+        key = F.col(table.key)
+        words = F.array_distinct(row_words(text_of(table.index)))
+        found.append(table.rows.select(
+            F.lit(i).alias("t"), (key if dict(table.rows.dtypes)[table.key] in whole else F.lit(None)).cast("long").alias("num"), key.cast("string").alias("row_id"),
+            F.array(*[F.lower(F.col(c).cast("string")) for c in _slots(table)]).alias("texts"),
+            F.concat(F.lit(kernels.WORD_START), F.array_join(words, kernels.WORD_START)).alias("words")))
+    return reduce(DataFrame.unionByName, found)
 
-def part_matches(vocab: DataFrame, terms: DataFrame) -> DataFrame:
-    """terms (.., term) with every word that contains the term."""
-    size = F.length("word")
-    fitting = F.filter(_sizes(terms), lambda n: n <= size)
-    parts = F.transform(fitting, lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(F.col("word"), i, n)))
-    return vocab.select("*", F.explode(F.array_distinct(F.flatten(parts))).alias("term")).join(terms, "term")
 
+def _slots(table: Searchable) -> list[str]:
+    """The text columns, and the name column behind them if it is none of them."""
+    named = table.name_column is not None and table.name_column not in table.text_columns
+    return [*table.text_columns, *([table.name_column] if named else [])]
 
-def _across_words(table: Searchable, slots: list[Column], texts: dict[int, Column], vocab: DataFrame, by_term: DataFrame) -> DataFrame:
-    """(question_id, row_id, slot, pos) of terms that are no single word, such as ``x-ray`` or ``quality lead``.
 
-    The longest word part of the term finds the rows, whose text must then hold
-    the whole term.  A term without a word part, such as ``%``, is found by its
-    first sign.  ``texts`` has the text of each slot.
-    """
-    parts = F.regexp_extract_all("term", F.lit(PART), F.lit(0))
-    longest = F.array_max(F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
-    multi = by_term.filter(~F.col("term").rlike(f"^{PART}$") & (F.size(parts) > 0)).select(
-        "question_id", "pos", F.col("term").alias("whole"), longest.alias("term"))
-    words = part_matches(vocab.filter(F.col("slot").isin(*texts)), multi).select("slot", "word", "question_id", "pos", "whole")
-    met = _spread(table, slots).join(small(words), ["slot", "word"]).select("row_id", "slot", "question_id", "pos", "whole").distinct()
-    signs = by_term.filter((F.size(parts) == 0) & (F.col("term") != "")).select("question_id", "pos", F.col("term").alias("whole"), F.substring("term", 1, 1).alias("sign"))
-    own = F.array(*[F.struct(F.lit(i).alias("slot"), F.array_distinct(F.split(F.regexp_replace(F.lower(c), PART, ""), "")).alias("signs")) for i, c in texts.items()])
-    held = _keyed(table).select("row_id", F.explode(own).alias("x")).select("row_id", "x.slot", F.explode("x.signs").alias("sign"))
-    met = met.unionByName(held.join(small(signs), "sign").select("row_id", "slot", "question_id", "pos", "whole"))
-    whole = F.create_map(*[x for i, c in texts.items() for x in (F.lit(i), F.lower(c))])
-    rows = _keyed(table).select("row_id", whole.alias("texts"))
-    return rows.join(small(met), "row_id").filter(F.col("texts")[F.col("slot")].contains(F.col("whole"))).select("question_id", "row_id", "slot", "pos")
-
-
-def _phrase_map(questions: DataFrame, table: Searchable) -> DataFrame:
-    slots = F.array(*[F.lit(PHRASE_SLOT + i) for i in range(len(table.text_columns))])
-    return questions.select("question_id", F.explode(F.array_distinct("phrases")).alias("word")).select(
-        F.explode(slots).alias("slot"), "word", "question_id", F.lit(0).alias("pos")
-    )
-
-
-def _matched(table: Searchable, slots: list[Column], mapping: DataFrame, more: DataFrame, n_terms: int) -> DataFrame:
-    """Per row and question: how many different terms each slot holds (n0, n1, ..) and its phrase hits.
+def _hits(
+    questions: DataFrame, tables: list[Searchable], limit: int, ranked: bool, parts: bool, routes: DataFrame | None = None, settings: Settings = DEFAULTS,
+) -> DataFrame:
+    """(question_id, table, row_id, num, kind, score): the best rows of each task; ``kind`` is 0 for word search and 1 for substring search.
 
-    Terms are numbered per question; the numbers found are gathered as bits, so
-    the grouping carries a few integers and runs in the partition of the row.
-    ``more`` has matches (question_id, row_id, slot, pos) that no single word makes.
+    Texts stay where they are read.  Every task finds all terms, stems and
+    phrases of a slice of questions in one pass over its texts and gives out at
+    most ``limit`` rows per question, table and batch, so neither texts nor pairs
+    of rows and questions are exchanged, however many rows a term matches.
     """
-    columns = ["question_id", "row_id", "slot", "pos"]
-    found = _spread(table, slots).join(hinted(mapping), ["slot", "word"]).select(*columns).unionByName(more.select(*columns))
-    masks = range(-(-n_terms // 63) or 1)
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("pos") % 63)
-    aggs = [
-        F.bit_or(F.when((F.col("slot") == i) & (F.floor(F.col("pos") / 63) == j), bit).otherwise(F.lit(0).cast("long"))).alias(f"m{i}_{j}")
-        for i in range(len(slots)) for j in masks
-    ]
-    grouped = found.groupBy("question_id", "row_id").agg(
-        *aggs, F.sum((F.col("slot") >= PHRASE_SLOT).cast("int")).alias("n_phrases")
-    )
-    counts = [
-        reduce(lambda a, b: a + b, [F.bit_count(f"m{i}_{j}") for j in masks]).alias(f"n{i}") for i in range(len(slots))
-    ]
-    return grouped.select("question_id", "row_id", *counts, "n_phrases")
+    slices, asked = _asked(questions, routes, settings)
+    layout = [(t.label, len(t.text_columns), _slots(t).index(t.name_column) if t.name_column is not None else None) for t in tables]
+    kind = asked.schema["question_id"].dataType.simpleString()
+    shape = f"question_id {kind}, t int, num bigint, row_id string, kind int, n_found bigint, n_stems bigint, extra bigint"
+    if not slices:
+        met = questions.sparkSession.createDataFrame([], shape)
+    else:
+        rows = _readable(tables)
+        met = reduce(DataFrame.unionByName, [rows.mapInArrow(kernels.table_hits(held, layout, limit, ranked, parts), shape) for held in slices])
+    labels = F.array(*[F.lit(t.label) for t in tables])
+    score = F.when(F.col("kind") == 0, F.round(F.col("n_found") / F.col("n_stems") + F.col("extra"), 6)).otherwise((F.col("n_found") + F.col("extra")).cast("double"))
+    return met.select("question_id", F.get(labels, F.col("t")).alias("table"), "row_id", "num", "kind", score.alias("score"))
 
 
-def _most(questions: DataFrame, column: Column) -> int:
-    return questions.agg(F.max(F.size(column)).alias("n")).first()["n"] or 1
-
-
-def _first_rows(scored: DataFrame, limit: int) -> DataFrame:
-    top = best(scored, ["question_id"], [F.desc("score"), F.asc("row_id")], limit).drop("rank")
-    return top.withColumn("row_id", F.col("row_id").cast("string"))
+def _row_order() -> list[Column]:
+    return [F.desc("score"), F.asc("num"), F.asc("row_id")]
 
 
 def search_ranked(questions: DataFrame, table: Searchable, limit: int = DEFAULTS.table_hit_limit) -> DataFrame:
@@ -164,75 +118,32 @@ def search_ranked(questions: DataFrame, table: Searchable, limit: int = DEFAULTS
 
     questions (question_id, terms, phrases).  The score is the share of stems
     found, plus 50 per term inside the name column and 20 per phrase and text
-    column.  A table without a name column gives no rows.
+    column.  A table without a name column gives no rows.  Equal scores go by
+    key: integers by value, other keys by their text.
     """
-    shape = "question_id {0}, row_id string, score double".format(questions.schema["question_id"].dataType.simpleString())
-    if table.name_column is None:
-        return questions.sparkSession.createDataFrame([], shape)
-    stems = F.filter(
-        F.array_distinct(F.transform("terms", lambda t: stem(t, lexicon.STEM_SUFFIXES_TABLE))), lambda t: F.length(t) >= 2
-    )
-    asked = cut_lineage(questions.select("question_id", F.array_distinct("terms").alias("terms"), "phrases", stems.alias("stems")))
-    slots = [row_words(text_of(table.index)), row_words(F.col(table.name_column).cast("string"))]
-    vocab = cut_lineage(vocabulary(table, slots))
-    by_stem = asked.select("question_id", F.posexplode("stems").alias("pos", "term"))
-    by_term = asked.select("question_id", F.posexplode(F.transform("terms", lambda t: F.lower(t))).alias("pos", "term"))
-    columns = ["slot", "word", "question_id", "pos"]
-    mapping = cut_lineage(
-        prefix_matches(vocab.filter(F.col("slot") == 0), by_stem).select(*columns)
-        .unionByName(part_matches(vocab.filter(F.col("slot") == 1), by_term).select(*columns))
-        .unionByName(_phrase_map(asked, table).select(*columns))
-    )
-    n_terms = _most(asked, F.concat("terms", "stems"))
-    more = _across_words(table, slots, {1: F.col(table.name_column).cast("string")}, vocab, by_term)
-    hits = _matched(table, slots, mapping, more, n_terms).filter(F.col("n0") > 0)
-    sizes = asked.select("question_id", F.size("stems").alias("n_stems"))
-    scored = hits.join(small(sizes), "question_id").select(
-        "question_id", "row_id",
-        F.round(F.col("n0") / F.col("n_stems") + 50.0 * F.col("n1") + 20.0 * F.col("n_phrases"), 6).alias("score"),
-    )
-    return _first_rows(scored, limit)
+    hits = _hits(questions, [table], limit, ranked=True, parts=False)
+    return best(hits, ["question_id"], _row_order(), limit).select("question_id", "row_id", "score")
 
 
 def search_parts(questions: DataFrame, table: Searchable, limit: int = DEFAULTS.table_hit_limit) -> DataFrame:
     """Substring search: one point per different term and column, ten per phrase and column."""
-    asked = cut_lineage(questions.select("question_id", F.array_distinct(F.transform("terms", lambda t: F.lower(t))).alias("terms"), "phrases"))
-    slots = [row_words(F.col(c).cast("string")) for c in table.text_columns]
-    columns = ["slot", "word", "question_id", "pos"]
-    by_term = asked.select("question_id", F.posexplode("terms").alias("pos", "term"))
-    vocab = cut_lineage(vocabulary(table, slots))
-    mapping = cut_lineage(
-        part_matches(vocab, by_term).select(*columns).unionByName(_phrase_map(asked, table).select(*columns))
-    )
-    more = _across_words(table, slots, {i: F.col(c).cast("string") for i, c in enumerate(table.text_columns)}, vocab, by_term)
-    hits = _matched(table, slots, mapping, more, _most(asked, F.col("terms")))
-    points = reduce(lambda a, b: a + b, [F.col(f"n{i}") for i in range(len(slots))]) + 10 * F.col("n_phrases")
-    return _first_rows(hits.select("question_id", "row_id", points.cast("double").alias("score")), limit)
+    hits = _hits(questions, [table], limit, ranked=False, parts=True)
+    return best(hits, ["question_id"], _row_order(), limit).select("question_id", "row_id", "score")
 
 
 def search_table(questions: DataFrame, table: Searchable, limit: int = DEFAULTS.table_hit_limit) -> DataFrame:
     """Word search first; substring search only for questions without any word hit."""
-    ranked = search_ranked(questions, table, limit)
-    if table.name_column is not None:
-        ranked = cut_lineage(ranked)
-    rest = questions.join(ranked.select("question_id").distinct(), "question_id", "left_anti")
-    return ranked.unionByName(search_parts(rest, table, limit)).withColumn("table", F.lit(table.label))
+    return search_tables(questions, [table], None, limit)
 
 
 def search_tables(
     questions: DataFrame, tables: list[Searchable], routes: DataFrame | None = None, limit: int = DEFAULTS.table_hit_limit
 ) -> DataFrame:
-    """Search every table, or only the tables that ``routes`` (question_id, table) names for a question."""
-    questions = cut_lineage(questions)
-    found = []
-    for table in tables:
-        asked = questions
-        if routes is not None:
-            asked = questions.join(
-                routes.filter(F.col("table") == table.label).select("question_id"), "question_id", "left_semi"
-            )
-        found.append(search_table(asked, table, limit))
-    return reduce(DataFrame.unionByName, found)
+    """Search every table, or only the tables that ``routes`` (question_id, table) names for a question, in one pass over all of them."""
+    hits = _hits(questions, tables, limit, True, True, routes)
+    first = best(hits, ["question_id", "table"], [F.asc("kind"), *_row_order()], limit)
+    found = first.withColumn("least", F.min("kind").over(Window.partitionBy("question_id", "table")))
+    return found.filter(F.col("kind") == F.col("least")).select("question_id", "row_id", "score", "table")
 
 
 def search_all_words(questions: DataFrame, tables: list[Searchable], limit: int = DEFAULTS.table_hit_limit) -> DataFrame:

@@ -40,6 +40,7 @@ class Settings:
     broadcast_bytes: int = 64 << 20
     order_block: int = 65_536
     question_block: int = 1024
+    pattern_bytes: int = 2 << 20
 
 
 DEFAULTS = Settings()
