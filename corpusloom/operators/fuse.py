@@ -13,18 +13,21 @@ def lexical_pool(k: int) -> int:
 
 
 def contributions(dense: DataFrame, lexical: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Both rankings as one frame: source order, rank, share of the fused score and shown similarity."""
+    """Both rankings as one frame: source order, rank, share of the fused score and shown similarity.
+
+    A lexical hit shows the least similarity among the dense hits of its question
+    and collection, 0.1 at least.  It is taken after the union, so neither
+    ranking is computed twice.
+    """
     by = ["question_id", "collection"]
-    floors = dense.groupBy(*by).agg(F.greatest(F.min("similarity"), F.lit(0.1)).alias("floor"))
-    share = 1.0 / (settings.rrf_k + F.col("rank"))
-    return dense.select(
-        *by, "chunk_id", F.lit(0).alias("origin"), "rank", share.alias("share"), F.col("similarity").alias("shown")
-    ).unionByName(
-        lexical.join(floors, by, "left").select(
-            *by, "chunk_id", F.lit(1).alias("origin"), "rank", share.alias("share"),
-            F.coalesce("floor", F.lit(0.1)).alias("shown"),
-        )
-    )
+    own = Window.partitionBy(*by)
+    none = F.lit(None).cast("double")
+    both = dense.select(*by, "chunk_id", F.lit(0).alias("origin"), "rank", "similarity").unionByName(
+        lexical.select(*by, "chunk_id", F.lit(1).alias("origin"), "rank", none.alias("similarity")))
+    least = both.withColumn("floor", F.greatest(F.min("similarity").over(own), F.lit(0.1)))
+    return least.select(
+        *by, "chunk_id", "origin", "rank", (1.0 / (settings.rrf_k + F.col("rank"))).alias("share"),
+        F.when(F.col("origin") == 0, F.col("similarity")).otherwise(F.col("floor")).alias("shown"))
 
 
 def fuse(dense: DataFrame, lexical: DataFrame, chunks: DataFrame, k: int, settings: Settings = DEFAULTS) -> DataFrame:
