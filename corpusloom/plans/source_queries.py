@@ -209,6 +209,21 @@ def folder_items(t: Tables):
     "UNION ALL SELECT 'r' || n_regionkey, 'o' || o_orderkey, 'file', 'order ' || o_orderkey || '.pdf', 3 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey",
 )
 def folder_tree(t: Tables):
+    return _tree(t, F.lit(".pdf"))
+
+
+@query(
+    "s14_wanted_files",
+    "SELECT 'r' || n_regionkey AS root, 'o' || o_orderkey AS id, 'file' AS item_type, 'order ' || o_orderkey || CASE o_orderkey % 4 WHEN 0 THEN '.PDF' ELSE '.md' END AS name, 3 AS depth "
+    "FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey % 4 IN (0, 1)",
+)
+def wanted_files(t: Tables):
+    """Files of the tree that can be read, by the end of their names; folders and other files are left out."""
+    kind = C("o_orderkey") % 4
+    return links.wanted_files(_tree(t, F.when(kind == 0, ".PDF").when(kind == 1, ".md").when(kind == 2, ".xlsx").otherwise(".md.bak")))
+
+
+def _tree(t: Tables, ending):
     def edges(df, parent, letter, key, kind, name):
         return df.select(
             F.concat(F.lit(parent[0]), F.col(parent[1]).cast("string")).alias("parent"),
@@ -218,7 +233,7 @@ def folder_tree(t: Tables):
     every = (
         edges(t.nation, ("r", "n_regionkey"), "n", "n_nationkey", "folder", C("n_name"))
         .unionByName(edges(t.customer, ("n", "c_nationkey"), "c", "c_custkey", "folder", C("c_name")))
-        .unionByName(edges(t.orders, ("c", "o_custkey"), "o", "o_orderkey", "file", F.concat(F.lit("order "), C("o_orderkey").cast("string"), F.lit(".pdf"))))
+        .unionByName(edges(t.orders, ("c", "o_custkey"), "o", "o_orderkey", "file", F.concat(F.lit("order "), C("o_orderkey").cast("string"), ending)))
         # the way back up closes cycles that the search has to survive
         .unionByName(edges(t.nation, ("n", "n_nationkey"), "r", "n_regionkey", "folder", F.lit("up")))
     )
