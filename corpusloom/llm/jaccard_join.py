@@ -511,9 +511,11 @@ def link_counts(docs: DataFrame, nodes: DataFrame, label: DataFrame, percent: in
 
 
 def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 80, width: int = WIDTH,
-                       count_links: bool = False) -> DataFrame:
+                       count_links: bool = False, with_group: bool = False) -> DataFrame:
     """One row per document: ``id``, ``key`` (text hash), ``n`` shingles and ``component``, the smallest id reachable over links.
 
+    With ``with_group`` also ``grp``, one value per group of linked rows, which tells groups without any id apart; null without words.
+
     With ``count_links`` also ``n_links``, the number of other rows with the wanted similarity, equal ones among them.
     """
     rows = docs.select(docs[id_column].alias("id"), text_of(docs, text_column).alias("text"))
@@ -523,13 +525,12 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     label = components(linked)
     placed = with_component(nodes.select("node", "id"), label)
     least = placed.groupBy("root").agg(F.min("id").alias("component"))
-    table = placed.join(least, "root").select("node", "component")
+    table = placed.join(least, "root").select("node", "component", *([F.col("root").alias("grp")] if with_group else []))
     if count_links:
         keyed = rows.select(F.col("id").cast("bigint"), "text", F.xxhash64("text").alias("key"))
         met = written(link_counts(keyed, nodes, label, percent, width))
         own = nodes.select("node", "copies").join(met, "node", "left")
         table = table.join(own.select("node", (F.col("copies") - 1 + F.coalesce("met", F.lit(0))).alias("n_links")), "node")
     out = spread_join(seen.select("id", "key", "node", "n"), table, "node", F.xxhash64("id"))
-    if count_links:
-        return out.select("id", "key", "n", F.coalesce("component", "id").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return out.select("id", "key", "n", F.coalesce("component", "id").alias("component"))
+    more = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if count_links else []
+    return out.select("id", "key", "n", F.coalesce("component", "id").alias("component"), *more, *(["grp"] if with_group else []))
