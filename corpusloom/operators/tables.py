@@ -16,7 +16,7 @@ from corpusloom import lexicon
 from corpusloom.functions import kernels, questions as qf
 from corpusloom.functions.words import stem
 from corpusloom.operators.ordering import balanced
-from corpusloom.operators.sizing import best, cut_lineage, size_in_bytes, small
+from corpusloom.operators.sizing import best, cut_lineage, distinct_sets, hinted, pattern_slices
 from corpusloom.settings import DEFAULTS, Settings
 
 PART = r"[\p{L}\p{N}_+]+"
@@ -46,36 +46,37 @@ def row_words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(PART), F.lit(0))
 
 
-def _keyed(table: Searchable) -> DataFrame:
-    return table.rows.select(F.col(table.key).alias("row_id"), *table.text_columns)
-
-
 def _asked(questions: DataFrame, routes: DataFrame | None, settings: Settings) -> tuple[list, DataFrame]:
-    """What the tasks get: slices of questions (question_id, terms, stems, phrases, tables) of a bounded size, as broadcasts."""
+    """What the tasks get: slices of the different sets (set_id, terms, stems, phrases, tables) of a bounded size, as broadcasts; and (set_id, question_id)."""
+    def listed(c: Column) -> Column:
+        return F.sort_array(F.array_distinct(c))
+
     stems = F.filter(F.array_distinct(F.transform("terms", lambda t: stem(t, lexicon.STEM_SUFFIXES_TABLE))), lambda t: F.length(t) >= 2)
     asked = questions.select(
-        "question_id", F.array_distinct(F.transform("terms", lambda t: F.lower(t))).alias("terms"), stems.alias("stems"),
-        F.array_distinct(F.transform("phrases", lambda p: F.lower(p))).alias("phrases"))
+        "question_id", listed(F.transform("terms", lambda t: F.lower(t))).alias("terms"), F.sort_array(stems).alias("stems"),
+        listed(F.transform("phrases", lambda p: F.lower(p))).alias("phrases"))
+    lists = ["terms", "stems", "phrases"]
     if routes is not None:
-        asked = asked.join(routes.groupBy("question_id").agg(F.collect_set("table").alias("tables")), "question_id")
-    asked = cut_lineage(asked)
-    n = max(1, -(-size_in_bytes(asked) // settings.pattern_bytes))
+        asked = asked.join(routes.groupBy("question_id").agg(F.sort_array(F.collect_set("table")).alias("tables")), "question_id")
+    owners, sets = distinct_sets(asked, asked.columns[1:])
     context = questions.sparkSession.sparkContext
-    slices = [asked.filter(F.pmod(F.xxhash64("question_id"), F.lit(n)) == i).toArrow().combine_chunks() for i in range(n)]  # pattern_bytes each
-    return [context.broadcast(x) for x in slices if x.num_rows], asked
+    return [context.broadcast(x) for x in pattern_slices(sets, lists, settings)], owners
+
 
+def _readable(tables: list[Searchable], ranked: bool) -> DataFrame:
+    """Rows of all tables alike: (t, num, row_id, texts, words), with the number of the table, an integer key as a number, lower-case texts and marked words.
 
-def _readable(tables: list[Searchable]) -> DataFrame:
-    """Rows of all tables alike: (t, num, row_id, texts, words), with the number of the table, an integer key as a number, lower-case texts and marked words."""
+    Only a word search of a table with a name column reads words.
+    """
     whole = {"tinyint", "smallint", "int", "bigint"}
     found = []
     for i, table in enumerate(tables):
         key = F.col(table.key)
-        words = F.array_distinct(row_words(text_of(table.index)))
+        words = F.concat(F.lit(kernels.WORD_START), F.array_join(F.array_distinct(row_words(text_of(table.index))), kernels.WORD_START))
         found.append(table.rows.select(
             F.lit(i).alias("t"), (key if dict(table.rows.dtypes)[table.key] in whole else F.lit(None)).cast("long").alias("num"), key.cast("string").alias("row_id"),
             F.array(*[F.lower(F.col(c).cast("string")) for c in _slots(table)]).alias("texts"),
-            F.concat(F.lit(kernels.WORD_START), F.array_join(words, kernels.WORD_START)).alias("words")))
+            (words if ranked and table.name_column is not None else F.lit(None).cast("string")).alias("words")))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -88,25 +89,28 @@ def _slots(table: Searchable) -> list[str]:
 def _hits(
     questions: DataFrame, tables: list[Searchable], limit: int, ranked: bool, parts: bool, routes: DataFrame | None = None, settings: Settings = DEFAULTS,
 ) -> DataFrame:
-    """(question_id, table, row_id, num, kind, score): the best rows of each task; ``kind`` is 0 for word search and 1 for substring search.
-
-    Texts stay where they are read.  Every task finds all terms, stems and
-    phrases of a slice of questions in one pass over its texts and gives out at
-    most ``limit`` rows per question, table and batch, so neither texts nor pairs
-    of rows and questions are exchanged, however many rows a term matches.
+    """(question_id, table, row_id, num, kind, score): the best rows of each question and table; ``kind`` is 0 for word search and 1 for substring search.
+
+    Questions with the same terms and phrases are searched once.  Texts stay where
+    they are read: every task finds all terms, stems and phrases of a slice of
+    questions in one pass over its texts.  Rows with the same matches are alike to
+    every question, so a task looks at the first ``limit`` of them only, and it
+    gives out rows that can still be among the best, so neither texts nor pairs of
+    rows and questions are exchanged, however many rows a term matches.
     """
-    slices, asked = _asked(questions, routes, settings)
+    slices, owners = _asked(questions, routes, settings)
     layout = [(t.label, len(t.text_columns), _slots(t).index(t.name_column) if t.name_column is not None else None) for t in tables]
-    kind = asked.schema["question_id"].dataType.simpleString()
-    shape = f"question_id {kind}, t int, num bigint, row_id string, kind int, n_found bigint, n_stems bigint, extra bigint"
+    shape = "set_id bigint, t int, num bigint, row_id string, kind int, n_found bigint, n_stems bigint, extra bigint"
     if not slices:
         met = questions.sparkSession.createDataFrame([], shape)
     else:
-        rows = _readable(tables)
+        rows = _readable(tables, ranked)
         met = reduce(DataFrame.unionByName, [rows.mapInArrow(kernels.table_hits(held, layout, limit, ranked, parts), shape) for held in slices])
     labels = F.array(*[F.lit(t.label) for t in tables])
     score = F.when(F.col("kind") == 0, F.round(F.col("n_found") / F.col("n_stems") + F.col("extra"), 6)).otherwise((F.col("n_found") + F.col("extra")).cast("double"))
-    return met.select("question_id", F.get(labels, F.col("t")).alias("table"), "row_id", "num", "kind", score.alias("score"))
+    met = met.select("set_id", F.get(labels, F.col("t")).alias("table"), "row_id", "num", "kind", score.alias("score"))
+    found = cut_lineage(best(met, ["set_id", "table"], [F.asc("kind"), *_row_order()], limit).drop("rank"))
+    return found.join(hinted(owners, settings), "set_id").select("question_id", "table", "row_id", "num", "kind", "score")
 
 
 def _row_order() -> list[Column]:
@@ -148,24 +152,31 @@ def search_tables(
 
 def search_all_words(questions: DataFrame, tables: list[Searchable], limit: int = DEFAULTS.table_hit_limit) -> DataFrame:
     """Rows that hold all words of a question, one ranking over all tables.  questions (question_id, words)."""
-    asked = questions.select("question_id", F.array_distinct("words").alias("terms"))
-    wanted = asked.select("question_id", F.size("terms").alias("n_words"), F.explode("terms").alias("word"))
-    wanted = small(wanted)
-    found = []
-    for table in tables:
-        spread = _keyed(table).repartition("row_id").select(
-            "row_id", F.explode(F.array_distinct(row_words(text_of(table.index)))).alias("word")
-        )
-        hits = spread.join(wanted, "word").groupBy("question_id", "row_id").agg(
-            F.count(F.lit(1)).alias("n"), F.max("n_words").alias("n_words")
-        )
-        found.append(
-            hits.filter(F.col("n") == F.col("n_words")).select(
-                "question_id", F.col("row_id").cast("string").alias("row_id"), F.lit(table.label).alias("table")
-            )
-        )
+    one = F.array_distinct("words")
+    asked = questions.groupBy("question_id").agg(
+        F.sort_array(F.flatten(F.collect_list(one))).alias("patterns"), F.max(F.size(one)).cast("long").alias("need")).filter(F.size("patterns") > 0)
+    owners, sets = distinct_sets(asked, ["patterns", "need"])
+    sets = sets.withColumn("weights", F.transform("patterns", lambda w: F.lit(1).cast("long")))
+    # rows with the same key are one
+    rows = reduce(DataFrame.unionByName, [
+        table.rows.select(F.col(table.key).cast("string").alias("row_id"), F.array_distinct(row_words(text_of(table.index))).alias("words"))
+        .groupBy("row_id").agg(F.flatten(F.collect_list("words")).alias("found")).withColumn("table", F.lit(table.label))
+        for table in tables])
     order = [F.asc("table"), F.asc(F.length("row_id")), F.asc("row_id")]
-    return best(reduce(DataFrame.unionByName, found), ["question_id"], order, limit)
+    found = list_matches(rows, sets, limit).select("set_id", "row_id", "table")
+    first = cut_lineage(best(found, ["set_id"], order, limit).drop("rank"))
+    return best(first.join(hinted(owners), "set_id").drop("set_id"), ["question_id"], order, limit).select("question_id", "row_id", "table", "rank")
+
+
+def list_matches(rows: DataFrame, sets: DataFrame, limit: int, settings: Settings = DEFAULTS) -> DataFrame:
+    """(set_id, table, row_id, score): rows (table, row_id, found) that may be among the best of the sets (set_id, patterns, weights, need)."""
+    context = rows.sparkSession.sparkContext
+    held = [context.broadcast(x) for x in pattern_slices(sets, ["patterns"], settings)]
+    shape = "set_id bigint, table string, row_id string, score double"
+    if not held:
+        return rows.sparkSession.createDataFrame([], shape)
+    rows = cut_lineage(rows.select("table", "row_id", "found")) if len(held) > 1 else rows
+    return reduce(DataFrame.unionByName, [rows.mapInArrow(kernels.list_hits(x, limit), shape) for x in held])
 
 
 def like_any(rows: DataFrame, columns: list[str], terms: list[str], limit: int | None = None, order: str | None = None) -> DataFrame:

@@ -15,8 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusloom.operators.ordering import balanced
-from corpusloom.operators.sizing import best, cut_lineage, small
-from corpusloom.operators.tables import Searchable
+from corpusloom.operators.sizing import best, cut_lineage, distinct_sets, hinted, small
+from corpusloom.operators.tables import Searchable, list_matches
 from corpusloom.settings import DEFAULTS
 
 BLOCK = 1024
@@ -67,7 +67,8 @@ def matches(spark: SparkSession, folder: str, terms: DataFrame, block_rows: int
     verified = texts.select("n", "texts").join(small(long), "n").filter(F.col("texts")[F.col("slot")].contains(F.col("term"))).select("term", "n", "slot")
     brief = terms.filter(F.length("term") < 3)
     within = sizes.select("gram", F.explode(F.array_distinct(F.concat(grams(F.col("gram"), 1), grams(F.col("gram"), 2)))).alias("term")).join(small(brief), "term")
-    short = postings.join(small(within), "gram").select("term", "slot", "block", F.explode("rows").alias("row")).distinct()
+    short = postings.join(small(within), "gram").groupBy("term", "slot", "block").agg(
+        F.array_distinct(F.flatten(F.collect_list("rows"))).alias("rows")).select("term", "slot", "block", F.explode("rows").alias("row"))  # block_rows at most
     return verified.unionByName(short.select("term", (F.col("block") * block_rows + F.col("row")).alias("n"), "slot"))
 
 
@@ -77,11 +78,21 @@ def search_indexed(questions: DataFrame, folder: str, limit: int = DEFAULTS.tabl
     One point per different term and column, ten per phrase and column; equal scores go by row id, shorter ones first.
     """
     spark = questions.sparkSession
-    asked = cut_lineage(
-        questions.select("question_id", F.explode(F.array_distinct(F.transform("terms", lambda t: F.lower(t)))).alias("term"), F.lit(1).alias("points"))
-        .unionByName(questions.select("question_id", F.explode(F.array_distinct(F.transform("phrases", lambda p: F.lower(p)))).alias("term"), F.lit(10).alias("points"))))
-    hits = matches(spark, folder, asked.select("term"), block_rows).join(small(asked), "term")
-    scored = hits.groupBy("question_id", "n").agg(F.sum("points").cast("double").alias("score"))
-    named = spark.read.parquet(f"{folder}/texts").select("n", "table", "row_id")
+
+    def lower(c: str) -> Column:
+        none = F.array().cast("array<string>")
+        return F.sort_array(F.filter(F.array_distinct(F.transform(F.coalesce(F.col(c), none), lambda t: F.lower(t))), lambda t: t != ""))
+
+    owners, sets = distinct_sets(questions.select("question_id", lower("terms").alias("terms"), lower("phrases").alias("phrases")), ["terms", "phrases"])
+
+    def all_of(c: str, points: int) -> Column:
+        return F.transform(c, lambda t: F.lit(points).cast("long"))
+
+    asked = sets.select("set_id", F.concat("terms", "phrases").alias("patterns"), F.concat(all_of("terms", 1), all_of("phrases", 10)).alias("weights"), F.lit(None).cast("long").alias("need"))
+    # a row with its terms meets the questions in one place; pairs of rows and questions are no rows
+    met = matches(spark, folder, asked.select(F.explode("patterns").alias("term")), block_rows)
+    met = met.groupBy("n").agg(F.collect_list("term").alias("found"))
+    rows = met.join(spark.read.parquet(f"{folder}/texts").select("n", "table", "row_id"), "n")
     order = [F.desc("score"), F.asc(F.length("row_id")), F.asc("row_id")]
-    return best(scored.join(named, "n"), ["question_id", "table"], order, limit).select("question_id", "table", "row_id", "score")
+    found = cut_lineage(best(list_matches(rows, asked, limit), ["set_id", "table"], order, limit).drop("rank"))
+    return best(found.join(hinted(owners), "set_id"), ["question_id", "table"], order, limit).select("question_id", "table", "row_id", "score")
