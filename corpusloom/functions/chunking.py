@@ -21,6 +21,14 @@ def split_column(
     return F.pandas_udf(body, T.ArrayType(T.StringType()))(c)
 
 
+def chunk_lists(
+    documents: DataFrame, size: int = DEFAULTS.chunk_size, overlap: int = DEFAULTS.chunk_overlap, separators=None,
+    text: str = "text", out: str = "chunks",
+) -> DataFrame:
+    """The documents with the list of their chunks."""
+    return documents.filter(F.trim(text) != "").withColumn(out, split_column(F.col(text), size, overlap, separators))
+
+
 def chunks_of(
     documents: DataFrame, size: int = DEFAULTS.chunk_size, overlap: int = DEFAULTS.chunk_overlap, separators=None,
     text: str = "text",
