@@ -80,10 +80,12 @@ def search_indexed(questions: DataFrame, folder: str, limit: int = DEFAULTS.tabl
     spark = questions.sparkSession
 
     def lower(c: str) -> Column:
+        """The different terms of a row; those of a question that comes in several rows count several times."""
         none = F.array().cast("array<string>")
-        return F.sort_array(F.filter(F.array_distinct(F.transform(F.coalesce(F.col(c), none), lambda t: F.lower(t))), lambda t: t != ""))
+        each = F.filter(F.array_distinct(F.transform(F.coalesce(F.col(c), none), lambda t: F.lower(t))), lambda t: t != "")
+        return F.sort_array(F.flatten(F.collect_list(each))).alias(c)
 
-    owners, sets = distinct_sets(questions.select("question_id", lower("terms").alias("terms"), lower("phrases").alias("phrases")), ["terms", "phrases"])
+    owners, sets = distinct_sets(questions.groupBy("question_id").agg(lower("terms"), lower("phrases")), ["terms", "phrases"])
 
     def all_of(c: str, points: int) -> Column:
         return F.transform(c, lambda t: F.lit(points).cast("long"))

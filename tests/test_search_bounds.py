@@ -57,3 +57,16 @@ def test_all_words_of_many_questions(spark):
         keys = sorted((r.k is not None, len(str(r.k)), str(r.k)) for r in held)[:4]
         want |= {(q, k[2] if k[0] else None, "t", i) for i, k in enumerate(keys, 1)}
     assert {tuple(r) for r in tables.search_all_words(questions, [table], 4).collect()} == want
+
+
+def test_trigram_points_of_a_question_in_two_rows_add_up(spark, tmp_path):
+    from corpusloom.operators import trigrams
+
+    table = tables.Searchable("t", spark.createDataFrame([(i, "a-b" if i % 2 else "a+b") for i in range(300)], "k long, a string"), "k", ("a",))
+    questions = spark.createDataFrame([(1, ["a", "-"], []), (1, ["-"], ["a-b"]), *[(i, ["-"], None) for i in range(2, 200)]], "question_id long, terms array<string>, phrases array<string>")
+    trigrams.save_tables([table], str(tmp_path / "g"))
+    got = {}
+    for r in trigrams.search_indexed(questions, str(tmp_path / "g"), 2).collect():
+        got.setdefault(r.question_id, []).append((r.row_id, r.score))
+    assert sorted(got[1]) == [("1", 13.0), ("3", 13.0)]
+    assert all(sorted(got[i]) == [("1", 1.0), ("3", 1.0)] for i in range(2, 200))
