@@ -30,12 +30,12 @@ def contributions(dense: DataFrame, lexical: DataFrame, settings: Settings = DEF
         F.when(F.col("origin") == 0, F.col("similarity")).otherwise(F.col("floor")).alias("shown"))
 
 
-def fuse(dense: DataFrame, lexical: DataFrame, chunks: DataFrame, k: int, settings: Settings = DEFAULTS) -> DataFrame:
+def fuse(dense: DataFrame, lexical: DataFrame, chunks: DataFrame, k: int | DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Fused ranking of ``dense`` (.., chunk_id, rank, similarity) and ``lexical`` (.., chunk_id, rank).
 
     ``chunks`` (collection, chunk_id, source) supplies the source of each hit; no
     text is moved.  Every window below runs over the candidates of one question
-    and collection, at most k + max(3k, 10) rows.
+    and collection, at most k + max(3k, 10) rows.  ``k`` may differ by question: (question_id, k).
     """
     by = ["question_id", "collection"]
     side = small(contributions(dense, lexical, settings), settings)
@@ -57,19 +57,23 @@ def fuse(dense: DataFrame, lexical: DataFrame, chunks: DataFrame, k: int, settin
         fused.withColumn("over", (F.row_number().over(per_source) > settings.per_source_cap).cast("int"))
         .withColumn("place", F.row_number().over(everything))
     )
-    if k > 1:
+    several = isinstance(k, DataFrame)
+    most = F.col("k") if several else F.lit(k)
+    if several:
+        placed = placed.join(small(k, settings), "question_id")
+    if several or k > 1:
         # the best lexical hit takes the last place when it is not among the first k
         placed = placed.withColumn(
             "place",
-            F.when((F.col("lexical_rank") == 1) & (F.col("place") > k), F.lit(k)).otherwise(
+            F.when((most > 1) & (F.col("lexical_rank") == 1) & (F.col("place") > most), most).otherwise(
                 F.col("place")
                 + F.when(
-                    (F.col("place") == k)
-                    & (F.max(F.when(F.col("lexical_rank") == 1, F.col("place"))).over(Window.partitionBy(*by)) > k),
+                    (most > 1) & (F.col("place") == most)
+                    & (F.max(F.when(F.col("lexical_rank") == 1, F.col("place"))).over(Window.partitionBy(*by)) > most),
                     F.lit(1),
                 ).otherwise(F.lit(0))
             ),
         )
-    return placed.filter(F.col("place") <= k).select(
+    return placed.filter(F.col("place") <= most).select(
         *by, "place", "chunk_id", "source", F.round("shown", 6).alias("shown"), "fused"
     )

@@ -53,13 +53,12 @@ def weighted_questions(questions: DataFrame) -> DataFrame:
     return base.select("*", *[c.alias(n) for n, c in qf.weights_of(F.col("kind"), lexicon.INTENT_WEIGHTS).items()])
 
 
-def _by_class(questions: DataFrame, weight: int, least: int, run, settings: Settings) -> DataFrame:
-    """Run a search once per distinct k that the weight classes lead to."""
-    groups: dict[int, list[str]] = {}
+def _with_k(asked: DataFrame, weight: int, least: int, settings: Settings) -> DataFrame:
+    """(question_id, text, k): how many hits the weight class of a question leads to; without those that it leads to none."""
+    k = F
     for kind, weights in lexicon.INTENT_WEIGHTS.items():
-        k = max(int(settings.k_per_collection * weights[weight]), least)
-        groups.setdefault(k, []).append(kind)
-    return union_all([run(questions.filter(F.col("kind").isin(*kinds)), k) for k, kinds in groups.items() if k > 0])
+        k = k.when(F.col("kind") == kind, F.lit(max(int(settings.k_per_collection * weights[weight]), least)))
+    return asked.select("question_id", "text", k.alias("k")).filter(F.col("k") > 0)
 
 
 def _fresh(asked: DataFrame, chunks: DataFrame, weight: str, kind: str, label: str, least: int, settings: Settings, embed) -> DataFrame:
@@ -85,9 +84,7 @@ def hybrid_results(
     chunks (collection, chunk_id, text, source).
     """
     asked = cut_lineage(weighted_questions(questions))
-    docs = _by_class(
-        asked, 1, 0, lambda q, k: search.search_collections(q.select("question_id", "text"), documents, k, settings, embed), settings
-    ).join(asked.select("question_id", "document_weight"), "question_id").select(
+    docs = search.search_collections(_with_k(asked, 1, 0, settings), documents, settings=settings, embed=embed).join(asked.select("question_id", "document_weight"), "question_id").select(
         "question_id", F.lit("pdf").alias("type"), F.col("rank").cast("long").alias("item"), "content",
         F.concat(F.lit("PDF: "), "source").alias("source"), (F.col("score") * F.col("document_weight")).alias("score"),
     )
@@ -113,9 +110,7 @@ def hybrid_results(
         F.concat(F.lit("DB: "), "table").alias("source"), (F.col("score") * F.col("table_weight")).alias("score"),
     )
 
-    chat_hits = _by_class(
-        asked, 2, 6, lambda q, k: search.search_chats(q.select("question_id", "text"), chats, chat_keywords, k, settings, embed), settings
-    )
+    chat_hits = search.search_chats(_with_k(asked, 2, 6, settings), chats, chat_keywords, settings=settings, embed=embed)
     talk = chats.select("collection", "chunk_id", F.col("text").alias("content")).join(
         small(chat_hits, settings), ["collection", "chunk_id"]
     ).join(asked.select("question_id", "chat_weight"), "question_id").select(
