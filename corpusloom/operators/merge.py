@@ -120,24 +120,19 @@ def people_first(results: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def stated_values(results: DataFrame) -> DataFrame:
-    """(question_id, entity, value, ...) for numbers by type and for ``Role: Name`` pairs."""
-    base = results.select("question_id", "rank", "type", "source", "confidence", "content")
-    numbers = base.select(
-        "question_id", "rank", "type", "source", "confidence",
-        F.concat(F.lit("price_"), "type").alias("entity"),
-        F.posexplode(F.regexp_extract_all("content", F.lit(lexicon.NUMBER_PATTERN), F.lit(1))).alias("p", "value"),
-    )
+    """(question_id, entity, value, ...) for numbers by type and for ``Role: Name`` pairs, found in one pass over the results."""
+    keys = ["question_id", "rank", "type", "source", "confidence"]
     pattern = F.lit(lexicon.ROLE_PATTERN)
-    pairs = F.arrays_zip(
-        F.regexp_extract_all("content", pattern, F.lit(1)).alias("role"),
-        F.regexp_extract_all("content", pattern, F.lit(2)).alias("name"),
-    )
-    roles = base.select("question_id", "rank", "type", "source", "confidence", F.posexplode(pairs).alias("p", "x")).select(
-        "question_id", "rank", "type", "source", "confidence",
-        F.concat(F.lit("role_"), F.replace(F.lower("x.role"), F.lit(" "), F.lit("_"))).alias("entity"), "p",
-        F.col("x.name").alias("value"),
-    )
-    return numbers.unionByName(roles)
+    found = results.select(
+        *keys, F.regexp_extract_all("content", F.lit(lexicon.NUMBER_PATTERN), F.lit(1)).alias("numbers"),
+        F.regexp_extract_all("content", pattern, F.lit(1)).alias("roles"), F.regexp_extract_all("content", pattern, F.lit(2)).alias("names"))
+    # posexplode_outer, since a plain one makes Spark find the values once more to test their number
+    each = found.select(*keys, "roles", F.size("numbers").alias("n"), F.posexplode_outer(F.concat("numbers", "names")).alias("i", "value"))
+    number, at = F.col("i") < F.col("n"), F.col("i") - F.col("n")
+    role = F.concat(F.lit("role_"), F.replace(F.lower(F.get("roles", at)), F.lit(" "), F.lit("_")))
+    return each.filter(F.col("i").isNotNull()).select(
+        *keys, F.when(number, F.concat(F.lit("price_"), "type")).otherwise(role).alias("entity"),
+        F.when(number, F.col("i")).otherwise(at).alias("p"), "value")
 
 
 def value_conflicts(results: DataFrame) -> DataFrame:
@@ -149,12 +144,11 @@ def value_conflicts(results: DataFrame) -> DataFrame:
         F.round(F.avg("confidence"), 8).alias("avg_confidence"),
         F.round(F.sum("confidence"), 6).alias("total"),
         F.min(F.struct("rank", "p")).alias("first"),
-    )
-    winners = values.groupBy("question_id", "entity").agg(
-        F.count(F.lit(1)).alias("n_values"),
-        F.min_by("value", F.struct((-F.col("total")).alias("t"), "first")).alias("winner"),
-    ).filter(F.col("n_values") > 1)
-    return values.join(winners, ["question_id", "entity"]).select(
+    ).filter(F.col("question_id").isNotNull() & F.col("entity").isNotNull())
+    # the values of an entity come from the few results of a question, so a window holds them and nothing is read twice
+    own = Window.partitionBy("question_id", "entity")
+    winner = F.min_by("value", F.struct((-F.col("total")).alias("t"), "first")).over(own)
+    return values.withColumn("n_values", F.count(F.lit(1)).over(own)).withColumn("winner", winner).filter(F.col("n_values") > 1).select(
         "question_id", "entity", "value", "n", "sources", "types", "avg_confidence", "n_values",
         (F.col("value") == F.col("winner")).alias("wins"),
     )
