@@ -8,10 +8,11 @@ token within the first |x| - ceil(t |x|) + 1 of each (prefix filter).
 1. Equal sets are one set; its place is its first occurrence.
 2. A word that occurs once in the corpus is shared by no two lines; a filter of all
    other words keeps such tokens out.  Rows of prefix tokens are sorted by token and size and read as a stream.  Sets
-   that share a token are candidates if they pass the length filter, the
-   positional filter (words left after the shared token bound the overlap) and a
-   bitmap filter (64 parity bits, whose Hamming distance bounds the words in
-   which two sets differ).
+   that share a token are candidates if they pass the length filter and a filter
+   on the words in which they differ.  Two sets meet at the first token they share:
+   the words before it differ, and those from it on differ at least in as many
+   words as their numbers or their parity bits do.  Sets of many words have more
+   than 64 such bits, since two large sets may differ in more words than that.
 3. A token with many candidates per set (a group of near copies), or with more
    sets than a task holds, gives out its rows instead.  There each set meets the
    first one; the later of two similar sets is settled: its lines go.  Sets not
@@ -43,10 +44,10 @@ PERCENT = 80
 MIN_WORDS = 3
 RARE = 1_000_000
 FILTER_BITS = 1 << 28
+MOST_WIDE = 16
 BREAK = 10
 HELD = 10_000
 DENSE = 8
-NO_ID = -(1 << 63)
 
 
 class Lines:
@@ -54,7 +55,8 @@ class Lines:
 
     ``where`` has (row, line number) per line, ``word`` the distinct words of the
     piece from rare to frequent, ``rank`` the words of all lines as places in it,
-    each line's from the rarest, ``first`` the start of each line in ``rank``.
+    each line's from the rarest, ``first`` the start of each line in ``rank``,
+    ``bits`` the parity bits of a line's words from each place in ``rank`` on.
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, common: tuple[np.ndarray, np.ndarray] | None = None):
@@ -76,13 +78,37 @@ class Lines:
         self.rank, line = cell & 0xFFFFFFFF, cell >> 32
         self.first = np.searchsorted(line, np.arange(self.where.shape[1] + 1))
         self.size = np.diff(self.first)
-        odd = mix(self.word ^ np.uint64(mixed(7)))
+        self.odd = odd = mix(self.word ^ np.uint64(mixed(7)))
         parts = odd[self.rank]
-        flips = (np.uint64(1) << (odd & np.uint64(63)))[self.rank]
-        self.bits = (np.bitwise_xor.reduceat(flips, self.first[:-1]) if len(flips) else np.zeros(0, np.uint64)).view(np.int64)
+        before = np.zeros(len(self.rank) + 1, np.uint64)
+        np.bitwise_xor.accumulate((np.uint64(1) << (odd & np.uint64(63)))[self.rank], out=before[1:])
+        self.bits = (before[np.repeat(self.first[1:], self.size)] ^ before[:-1]).view(np.int64)
         sums = np.add.reduceat(parts, self.first[:-1]) if len(parts) else np.zeros(0, np.uint64)
         self.node = mix(sums + self.size.astype(np.uint64)).view(np.int64)
 
+    def more_bits(self, line: np.ndarray, at: np.ndarray, wide: np.ndarray) -> pa.ListArray:
+        """Parity bits of the words of ``line`` from its place ``at`` on, in ``wide`` numbers; null where that is 1."""
+        count = np.where(wide > 1, wide, 0)
+        first = np.concatenate(([0], np.cumsum(count)))
+        out = np.zeros(first[-1], np.uint64)
+        for w in np.unique(count[count > 0]):
+            rows = np.flatnonzero(count == w)
+            lines, own = np.unique(line[rows], return_inverse=True)
+            begin = np.concatenate(([0], np.cumsum(self.size[lines])))
+            place = np.arange(begin[-1]) + np.repeat(self.first[lines] - begin[:-1], self.size[lines])
+            odd = self.odd[self.rank[place]]
+            before = np.zeros((len(odd) + 1, w), np.uint64)
+            before[np.arange(1, len(odd) + 1), ((odd >> np.uint64(6)) & np.uint64(w - 1)).astype(np.int64)] = np.uint64(1) << (odd & np.uint64(63))
+            before = np.bitwise_xor.accumulate(before, axis=0)
+            out[first[rows][:, None] + np.arange(w)] = before[begin[own + 1]] ^ before[begin[own] + at[rows]]
+        return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(out.view(np.int64)), mask=pa.array(count == 0))
+
+
+def width(size: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
+    """How many numbers of 64 parity bits a row has: a power of two, so that there are three bits for each word in which two such sets may differ from there on."""
+    differ = 2 * size * (100 - percent) // (100 + percent) - at
+    return np.minimum(1 << np.ceil(np.log2(np.maximum(differ * 3, 64) / 64)).astype(np.int64), MOST_WIDE)
+
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) of all texts, added up per task."""
@@ -145,8 +171,8 @@ def rarity(words: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarr
 
 
 def line_sets(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], shared: Shared, percent: int, least: int) -> DataFrame:
-    """(id, line, node, n, bits, prefix) per line; the prefix, tokens with their places, only once per set and task and without words that occur once."""
-    names = ["id", "line", "node", "n", "bits", "prefix"]
+    """(id, line, node, n, prefix) per line; the prefix, tokens with their places and the parity bits from there on, only once per set and task and without words that occur once."""
+    names = ["id", "line", "node", "n", "prefix"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -163,49 +189,72 @@ def line_sets(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], shared: Sh
                 keep = np.where(use, x.size - -(-x.size * percent // 100) + 1, 0)
                 line = np.repeat(np.arange(len(keep)), keep)
                 at = np.arange(len(line)) - np.repeat(np.cumsum(keep) - keep, keep)
-                token = x.word[x.rank[x.first[line] + at]]
+                place = x.first[line] + at
+                token = x.word[x.rank[place]]
                 held = shared.holds(token)
-                token, at, line = token[held].view(np.int64), at[held].astype(np.int32), line[held]
+                token, at, line, bits = token[held].view(np.int64), at[held].astype(np.int32), line[held], x.bits[place[held]]
                 starts = np.searchsorted(line, np.arange(len(keep) + 1)).astype(np.int32)
-                prefix = pa.ListArray.from_arrays(pa.array(starts), pa.StructArray.from_arrays([pa.array(token), pa.array(at)], names=["token", "at"]))
+                more = x.more_bits(line, at, width(x.size[line], at, percent))
+                prefix = pa.StructArray.from_arrays([pa.array(token), pa.array(at), pa.array(bits), more], names=["token", "at", "bits", "more"])
                 yield pa.record_batch(
                     [ids.take(pa.array(x.where[0] + row)), pa.array(x.where[1].astype(np.int32)), pa.array(x.node), pa.array(x.size),
-                     pa.array(x.bits, mask=starts[1:] == starts[:-1]), prefix], names=names)
+                     pa.ListArray.from_arrays(pa.array(starts), prefix)], names=names)
 
-    return docs.select("id", "text").mapInArrow(run, "id bigint, line int, node bigint, n bigint, bits bigint, prefix array<struct<token: bigint, at: int>>")
+    return docs.select("id", "text").mapInArrow(run, "id bigint, line int, node bigint, n bigint, prefix array<struct<token: bigint, at: int, bits: bigint, more: array<bigint>>>")
 
 
 def prefix_rows(lines: DataFrame) -> DataFrame:
-    """(token, id, node, size, bits): size is packed with the token's place."""
-    rows = lines.filter(F.size("prefix") > 0).select("id", "node", "n", "bits", F.inline("prefix"))
-    return rows.select("token", "id", "node", F.shiftleft("n", 32).bitwiseOR(F.col("at").cast("bigint")).alias("size"), "bits")
+    """(token, node, size, bits, more): size is packed with the token's place."""
+    rows = lines.filter(F.size("prefix") > 0).select("node", "n", F.inline("prefix"))
+    return rows.select("token", "node", F.shiftleft("n", 32).bitwiseOR(F.col("at").cast("bigint")).alias("size"), "bits", "more")
 
 
 def near(size_x, size_y, bits_x, bits_y, percent: int) -> np.ndarray:
-    """Length, positional and bitmap filter on arrays."""
-    nx, ny, room_x, room_y = size_x >> 32, size_y >> 32, (size_x >> 32) - (size_x & 0xFFFFFFFF), (size_y >> 32) - (size_y & 0xFFFFFFFF)
-    total = nx + ny
-    ok = (np.minimum(nx, ny) * 100 >= np.maximum(nx, ny) * percent) & (np.minimum(room_x, room_y) * (100 + percent) >= total * percent)
-    differ = np.bitwise_count((bits_x ^ bits_y).view(np.uint64)).astype(np.int64)
-    return ok & (differ * (100 + percent) <= total * (100 - percent))
+    """Length filter and least number of differing words on arrays, for sets whose first shared token is at these places."""
+    nx, ny, at_x, at_y = size_x >> 32, size_y >> 32, size_x & 0xFFFFFFFF, size_y & 0xFFFFFFFF
+    after = np.maximum(np.bitwise_count((bits_x ^ bits_y).view(np.uint64)).astype(np.int64), np.abs((nx - at_x) - (ny - at_y)))
+    return (np.minimum(nx, ny) * 100 >= np.maximum(nx, ny) * percent) & ((at_x + at_y + after) * (100 + percent) <= (nx + ny) * (100 - percent))
+
+
+def spread_out(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of lists of numbers, 0 for null, and their values in rows of ``MOST_WIDE``, filled up with 0."""
+    wide = lists.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+    out = np.zeros((len(wide), MOST_WIDE), np.uint64)
+    row = np.repeat(np.arange(len(wide)), wide)
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(wide) - wide, wide)] = lists.flatten().to_numpy().view(np.uint64)
+    return wide, out
+
+
+def apart(wide_x: np.ndarray, wide_y: np.ndarray, more_x: np.ndarray, more_y: np.ndarray) -> np.ndarray:
+    """In how many of their wider parity bits sets differ; bits of the wider one are folded to those of the other."""
+    out, least = np.zeros(len(wide_x), np.int64), np.minimum(wide_x, wide_y)
+    for w in np.unique(least[least > 0]):
+        i = np.flatnonzero(least == w)
+        x, y = (np.bitwise_xor.reduce(m[i].reshape(len(i), -1, w), axis=1) for m in (more_x, more_y))
+        out[i] = np.bitwise_count(x ^ y).sum(axis=1)
+    return out
 
 
 def candidates(rows: DataFrame, percent: int, most: int, dense: int) -> DataFrame:
-    """(x, y) pairs of sets to verify; and, of tokens with more than ``most`` sets or ``dense`` candidates per set, rows (token, x, size, bits) with the id as y.
+    """(x, y) pairs of sets to verify; and, of tokens with more than ``most`` sets or ``dense`` candidates per set, rows (token, x, size, bits, more).
 
     Reads sorted rows as a stream; what is held of a token is at most ``most`` rows and a batch.
     """
-    names = ["token", "x", "y", "size", "bits"]
+    names, numbers = ["token", "x", "y", "size", "bits", "more"], pa.list_(pa.int64())
 
     def pairs(x, y):
-        return pa.record_batch([pa.nulls(len(x), pa.int64()), pa.array(x), pa.array(y), pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.int64())], names=names)
+        none = pa.nulls(len(x), pa.int64())
+        return pa.record_batch([none, pa.array(x), pa.array(y), none, none, pa.nulls(len(x), numbers)], names=names)
 
-    def members(token, node, ids, size, bits):
-        return pa.record_batch([pa.array(token), pa.array(node), pa.array(ids, mask=ids == NO_ID), pa.array(size), pa.array(bits)], names=names)
+    def members(token, node, size, bits, wide, more):
+        first = np.concatenate(([0], np.cumsum(wide))).astype(np.int32)
+        values = more[np.arange(MOST_WIDE) < wide[:, None]].view(np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(first), pa.array(values), mask=pa.array(wide == 0))
+        return pa.record_batch([pa.array(token), pa.array(node), pa.nulls(len(node), pa.int64()), pa.array(size), pa.array(bits), lists], names=names)
 
     def close(columns):
         """What the complete tokens of these rows give."""
-        token, node, _, size, bits = columns
+        token, node, size, bits, wide, more = columns
         n = len(token)
         group = np.cumsum(np.concatenate(([0], token[1:] != token[:-1]))) if n else token
         sets = np.bincount(group) if n else group
@@ -218,6 +267,10 @@ def candidates(rows: DataFrame, percent: int, most: int, dense: int) -> DataFram
             i = i[(group[i] == group[i + d]) & ~full[group[i]] & ((size[i] >> 32) * 100 >= (size[i + d] >> 32) * percent)]
             hit = i[near(size[i], size[i + d], bits[i], bits[i + d], percent) & (node[i] != node[i + d])]
             if len(hit):
+                over = apart(wide[hit], wide[hit + d], more[hit], more[hit + d])
+                total = (size[hit] >> 32) + (size[hit + d] >> 32)
+                before = (size[hit] & 0xFFFFFFFF) + (size[hit + d] & 0xFFFFFFFF)
+                hit = hit[(before + over) * (100 + percent) <= total * (100 - percent)]
                 left.append(hit)
                 right.append(hit + d)
                 count += np.bincount(group[hit], minlength=len(sets))
@@ -230,9 +283,9 @@ def candidates(rows: DataFrame, percent: int, most: int, dense: int) -> DataFram
             yield members(*[c[full[group]] for c in columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, open_token = [np.zeros(0, np.int64)] * 5, None
+        held, open_token = [np.zeros(0, np.int64)] * 5 + [np.zeros((0, MOST_WIDE), np.uint64)], None
         for batch in batches:
-            new = [batch.column(c).fill_null(NO_ID).to_numpy() for c in ("token", "node", "id", "size", "bits")]
+            new = [*[batch.column(c).to_numpy() for c in ("token", "node", "size", "bits")], *spread_out(batch.column("more"))]
             if open_token is not None:  # more rows of a token that is too large to be held
                 k = int(np.searchsorted(new[0], open_token, "right"))
                 if k:
@@ -244,7 +297,7 @@ def candidates(rows: DataFrame, percent: int, most: int, dense: int) -> DataFram
             columns = [np.concatenate((a, b)) for a, b in zip(held, new)]
             if not len(columns[0]):
                 continue
-            # a set comes once per task that has it; its first row has the smallest id
+            # a set comes once per task that has it
             once = np.concatenate(([True], (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])))
             columns = [c[once] for c in columns]
             last = int(np.searchsorted(columns[0], columns[0][-1]))
@@ -254,19 +307,30 @@ def candidates(rows: DataFrame, percent: int, most: int, dense: int) -> DataFram
             held = [c[last:] for c in columns]
         yield from close(held)
 
-    sorted_ = rows.repartition("token").sortWithinPartitions("token", "size", "node", "id").select("token", "node", "id", "size", "bits")
-    return sorted_.mapInArrow(run, "token bigint, x bigint, y bigint, size bigint, bits bigint")
+    sorted_ = rows.repartition("token").sortWithinPartitions("token", "size", "node").select("token", "node", "size", "bits", "more")
+    return sorted_.mapInArrow(run, "token bigint, x bigint, y bigint, size bigint, bits bigint, more array<bigint>")
 
 
 def may_match(x: str, y: str, percent: int):
-    """Length, positional and bitmap filter on columns size (packed with the token's place) and bits."""
+    """As ``near``, on columns size (packed with the token's place), bits and more."""
     nx, ny = (F.shiftright(f"size_{s}", 32) for s in (x, y))
     at_x, at_y = (F.col(f"size_{s}").bitwiseAND(0xFFFFFFFF) for s in (x, y))
-    overlap = F.ceil((nx + ny) * percent / (100 + percent))
-    differ = F.bit_count(F.col(f"bits_{x}").bitwiseXOR(F.col(f"bits_{y}")))
+    more_x, more_y = F.col(f"more_{x}"), F.col(f"more_{y}")
+    w = F.least(F.size(more_x), F.size(more_y))
+
+    def folded(more):
+        part = lambda i: F.filter(more, lambda _, k: F.pmod(k, w) == i)
+        return F.transform(F.sequence(F.lit(0), w - 1), lambda i: F.aggregate(part(i), F.lit(0).cast("bigint"), lambda a, b: a.bitwiseXOR(b)))
+
+    wider = F.aggregate(F.zip_with(folded(more_x), folded(more_y), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, m: n + m)
+    narrow = F.bit_count(F.col(f"bits_{x}").bitwiseXOR(F.col(f"bits_{y}")))
+
+    def within(after):
+        return (at_x + at_y + after) * (100 + percent) <= (nx + ny) * (100 - percent)
+
     return (
-        (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (F.least(nx - at_x, ny - at_y) >= overlap)
-        & (differ * (100 + percent) <= (nx + ny) * (100 - percent))
+        (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & within(F.abs((nx - at_x) - (ny - at_y))) & within(narrow.cast("bigint"))
+        & F.when(more_x.isNull() | more_y.isNull(), True).otherwise(within(wider.cast("bigint")))
     )
 
 
@@ -304,7 +368,10 @@ def similar(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
 def settled_by(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
     """Nodes with a similar one at an earlier place, written.  Each is first compared with its earliest candidate, and with the others only if that fails."""
-    places = firsts.select("node", "place")
+    met = written(pairs)
+    nodes = written(met.select(F.explode(F.array("x", "y")).alias("node")).distinct())
+    places = small(written(firsts.select("node", "place").join(small(nodes), "node", "left_semi")))
+    pairs = met
     for side in "xy":
         pairs = pairs.join(places.select(F.col("node").alias(side), F.col("place").alias(f"place_{side}")), side)
     early = F.col("place_x") < F.col("place_y")
@@ -312,10 +379,10 @@ def settled_by(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, percent: in
     pairs = written(pairs.select(*[F.when(early, F.col(c)).otherwise(F.col(d)).alias(c) for c, d in turned.items()]))
     first = written(pairs.groupBy("y").agg(F.min(F.struct("place_x", "x", "place_y")).alias("e")).select("e.x", "y", "e.place_x", "e.place_y"))
     found = similar(first, docs, percent)
-    rest = pairs.join(found.withColumnRenamed("node", "y"), "y", "left_anti").join(first.select("x", "y"), ["x", "y"], "left_anti")
+    rest = pairs.join(small(found).withColumnRenamed("node", "y"), "y", "left_anti").join(small(first).select("x", "y"), ["x", "y"], "left_anti")
     later = similar(rest, docs, percent)
     both = written(found.unionByName(later))
-    deleted(pairs, first, found, later)
+    deleted(met, nodes, places, pairs, first, found, later)
     return both
 
 
@@ -328,20 +395,18 @@ def matched_lines(docs: DataFrame, percent: int = PERCENT, least: int = MIN_WORD
     place = F.struct("id", "line")
     firsts = written(lines.filter(F.col("n") >= least).groupBy("node").agg(F.min(place).alias("place"), F.count("*").alias("lines")))
     made = written(candidates(prefix_rows(lines), percent, HELD, DENSE))
-    hot = made.filter("token is not null").groupBy("token", "x", F.col("size").alias("size_x"), F.col("bits").alias("bits_x")).agg(F.min("y").alias("id"))
-    hot = written(hot)
-    lead = hot.groupBy("token").agg(F.min_by(F.struct("x", "size_x", "bits_x"), F.struct("id", "x")).alias("y"))
-    lead = lead.select("token", F.col("y.x").alias("y"), F.col("y.size_x").alias("size_y"), F.col("y.bits_x").alias("bits_y"))
-    star = hot.drop("id").join(lead, "token").filter((F.col("x") != F.col("y")) & may_match("x", "y", percent))
+    hot = made.filter("token is not null").select("token", "x", F.col("size").alias("size_x"), F.col("bits").alias("bits_x"), F.col("more").alias("more_x")).distinct()
+    hot = written(hot.join(firsts.select(F.col("node").alias("x"), "place"), "x"))
+    lead = hot.groupBy("token").agg(F.min_by(F.struct("x", "size_x", "bits_x", "more_x"), F.struct("place", "x")).alias("y"))
+    lead = lead.select("token", F.col("y.x").alias("y"), F.col("y.size_x").alias("size_y"), F.col("y.bits_x").alias("bits_y"), F.col("y.more_x").alias("more_y"))
+    star = hot.drop("place").join(lead, "token").filter((F.col("x") != F.col("y")) & may_match("x", "y", percent))
     first = made.filter("token is null").select("x", "y").unionByName(star.select("x", "y"))
     first = first.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    first = written(first)
-    deleted(made)
     settled = settled_by(first, docs, firsts, percent)
-    deleted(first)
+    deleted(made)
     # a set of a hot token that is not settled meets the others of the token
-    mine = hot.join(settled.withColumnRenamed("node", "x"), "x", "left_anti").select("token", "x", "size_x", "bits_x")
-    others = hot.select("token", F.col("x").alias("y"), F.col("size_x").alias("size_y"), F.col("bits_x").alias("bits_y"))
+    mine = hot.join(settled.withColumnRenamed("node", "x"), "x", "left_anti").select("token", "x", "size_x", "bits_x", "more_x")
+    others = hot.select("token", F.col("x").alias("y"), F.col("size_x").alias("size_y"), F.col("bits_x").alias("bits_y"), F.col("more_x").alias("more_y"))
     pairs = mine.join(others, "token").filter((F.col("x") != F.col("y")) & may_match("x", "y", percent))
     pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     settled = settled.unionByName(settled_by(pairs, docs, firsts, percent)).distinct()

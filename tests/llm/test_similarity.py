@@ -186,6 +186,27 @@ def test_lines_equal_brute_force(documents, monkeypatch, held, dense):
         assert r["kept_text"] == (r["text"] if not mine else "\n".join(x for i, x in enumerate(lines) if i not in mine))
 
 
+@pytest.mark.parametrize("dense", [8, 0])
+def test_long_lines_meet_only_where_they_may_match(documents, monkeypatch, dense):
+    """Lines of many words that share rare words but not enough others are no pairs to verify; similar ones are all found."""
+    monkeypatch.setattr(line_dedup, "DENSE", dense)
+    rng, seen, similar = random.Random(9), [], line_dedup.similar
+    monkeypatch.setattr(line_dedup, "similar", lambda pairs, *rest: seen.append(pairs.count()) or similar(pairs, *rest))
+    rows = []
+    for i in range(60):
+        size = rng.choice([220, 300, 700])
+        words = [f"q{rng.randrange(5)}"] + [f"w{rng.randrange(4000)}" for _ in range(size)]
+        rows.append((i, " ".join(words)))
+        if i % 6 == 0:  # near copies: below, at and above the threshold, and of another width
+            for j, n in enumerate([5, size // 10, size // 5]):
+                rows.append((100 + 3 * i + j, " ".join(words[: size - n] + [f"x{i}y{k}" for k in range(n if j else 0)])))
+    want = line_matches(rows, 80, 3)
+    assert len(want) > 15
+    got = {(r["doc_id"], i) for r in line_dedup.without_similar_lines(documents(rows)).collect() for i in r["removed_lines"]}
+    assert got == want
+    assert sum(seen) < 120
+
+
 def test_empty_tables(documents):
     empty = documents([])
     assert jaccard_join.jaccard_components(empty).collect() == []
