@@ -388,7 +388,8 @@ def settled_by(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, percent: in
 
 def matched_lines(docs: DataFrame, percent: int = PERCENT, least: int = MIN_WORDS) -> DataFrame:
     """(id, line) of every line that goes, written; ``docs`` has id and text.  What else is written is deleted after its last reader."""
-    recurring = written(word_counts(docs).groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1"))
+    # each task has a word once, so adding up before the shuffle would save nothing
+    recurring = written(word_counts(docs).repartition("word").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1"))
     common, shared = common_words(recurring), Shared(recurring)
     deleted(recurring)
     lines = written(line_sets(docs, common, shared, percent, least))
