@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from corpusloom.llm.common import text_of, written
+from corpusloom.llm.common import small_batches, text_of, written
 from corpusloom.llm.textkernel import LOWER, mix, pieces, span_hashes
 
 BUCKETS = 1 << 13
@@ -103,7 +103,8 @@ def context_rows(texts: DataFrame) -> DataFrame:
 def word_vectors(texts: DataFrame) -> np.ndarray:
     """The table of context vectors plus index vectors, rows of unit length: BUCKETS x DIM for any corpus."""
     names = [f"v{i}" for i in range(DIM)]
-    rows = context_rows(texts).groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
+    with small_batches(texts.sparkSession):
+        rows = context_rows(texts).groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
     place, sign = index_vectors()
     own = np.zeros((BUCKETS, DIM))
     for k in range(NONZERO):
@@ -196,7 +197,8 @@ def fitted(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_c
     known = labels.groupBy(labels[id_column].cast("bigint").alias("id")).agg(F.avg(labels[label_column]).alias("y")).filter("y is not null and id is not null")
     known = written(known.filter(~held_out(F.col("id"))).orderBy(F.xxhash64("id")).limit(sample))
     rows = pooled(texts.join(F.broadcast(known.select("id")), "id", "left_semi"), vectors)
-    rows = rows.join(known, "id").orderBy("id", F.xxhash64("features")).limit(sample).toPandas()
+    with small_batches(docs.sparkSession):
+        rows = rows.join(known, "id").orderBy("id", F.xxhash64("features")).limit(sample).toPandas()
     x = np.stack(rows["features"].to_numpy()).astype(float) if len(rows) else np.zeros((0, 2 * DIM))
     return vectors, Network(x, (rows["y"].to_numpy(float) >= 0.5).astype(float))
 
