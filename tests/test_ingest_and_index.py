@@ -302,6 +302,20 @@ def test_segments_equal_a_fresh_index(spark, tmp_path):
     same(live | {("y", 1): "the t1w1", ("y", 2): "cow"})
 
 
+def test_segments_hold_a_row_for_each_chunk(spark, tmp_path):
+    from corpusloom.sources import segments
+
+    place, kind = str(tmp_path / "index"), "collection string, chunk_id long, text string"
+    rows = [("x", 1, "a b a c"), ("x", 2, "b b d"), ("x", 2, "b b d"), ("x", 3, ""), ("x", 4, None), ("y", 1, "e")] + [("x", i, f"w{i}") for i in range(10, 20)]
+    segments.add_segment(spark, place, spark.createDataFrame(rows, kind))
+    assert spark.read.parquet(f"{place}/segments/1/postings").count() == 15  # a chunk without text is none, one without words is
+    segments.add_segment(spark, place, spark.createDataFrame([("x", 1, "d d f")], kind), spark.createDataFrame([("y", 1)], "collection string, chunk_id long"))
+    assert spark.read.parquet(f"{place}/segments/2/postings").count() == 1
+    # a chunk that comes twice is one hit
+    asked = spark.createDataFrame([(7, "f b"), (8, "a e")], "question_id long, text string")
+    assert sorted((r.question_id, r.chunk_id) for r in segments.search_segments(asked, place, 3).collect()) == [(7, 1), (7, 2)]
+
+
 def test_common_subsequence_equals_the_table():
     import time
 
