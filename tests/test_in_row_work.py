@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import kernels
 from corpusloom.functions.vectors import hashed_buckets, hashed_vector
 from corpusloom.operators import merge, search
+from corpusloom.settings import Settings
 
 
 def plan_of(df):
@@ -60,3 +61,36 @@ def test_saved_words_are_not_joined_by_shuffle(spark):
         assert all("chunk_id" in x for x in lines) and len(found.collect()) == 2
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_texts_of_chats_are_not_dealt_by_question(spark):
+    chunks = spark.createDataFrame([(f"c{i % 4}", i, f"Harga motor {i}", "s") for i in range(40)], "collection string, chunk_id long, text string, source string").repartition(7)
+    questions = spark.createDataFrame([(1, "harga motor 3"), (2, "stok motor 12")], "question_id long, text string")
+    words = spark.createDataFrame([("c0", "harga"), ("c0", "motor")], "collection string, word string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = search.search_chats(questions, chunks, words, 2, Settings(broadcast_bytes=0))
+        told = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+        dealt = [x for x in told.split("\n\n") if ") Exchange" in x and "hashpartitioning(question_id" in x]
+        assert dealt and not any("text#" in x or "low#" in x for x in dealt)
+        rows = sorted(map(str, found.collect()))
+        assert rows and rows == sorted(map(str, search.search_chats(questions, chunks, words, 2).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    vectors = search.by_collection(search.hashed(chunks, 8))
+    held = vectors.select(F.spark_partition_id().alias("p"), "collection").distinct().groupBy("p").count()
+    assert vectors.count() == 40 and max(r["count"] for r in held.collect()) <= 2
+
+
+def test_near_vectors_equal_all_distances():
+    rng = np.random.default_rng(5)
+    for scale, dim in ((1.0, 16), (1e-3, 3), (1e4, 8)):
+        q, m = (np.round(rng.random((n, dim)), 2) * scale for n in (50, 200))
+        m[150:], q[:10] = m[:50], m[:10]
+        every = kernels._nearest(q, m, 3)[2]
+        far = np.sort(every, axis=1)[:, 2]
+        row, col, dist = kernels._near(q, m, 3, far)
+        assert np.all(np.abs(dist - every[row, col]) <= 2e-9)
+        want = {(i, j) for i, j in zip(*np.nonzero(every < (far - 1e-8)[:, None]))}
+        assert want <= {*zip(row, col)} and np.all(every[row, col] <= far[row] + 2e-8)
